@@ -1 +1,205 @@
-"""Registered queries."""
+"""Registered queries for sources and evidence capture."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reefline.constants import SUBJECT_TERMS, TRUSTED_TERMS
+from reefline.operators import capture
+from reefline.plans.registry import query
+from reefline.schemas import RAW_ITEMS, SOURCE_DOCUMENTS, SPECIES, conform
+from reefline.sources import feeds, pages, register, seeds
+
+# Entries of the three feed kinds, written as feed markup by SQL from the documents table.
+ENTRIES = """
+SELECT doc_id, source AS feed_name, doc_id AS position, lang, doc_id % 700 AS page, text,
+ concat('Entry ', cast(doc_id AS string), CASE WHEN doc_id % 3 = 0 THEN ' shark' ELSE '' END) AS title,
+ cast('2024-01-01' AS date) + cast(doc_id % 27 AS int) AS day
+FROM documents"""
+
+TIDY = "replace(replace(replace(text, '&', ' '), '<', ' '), '>', ' ')"
+
+NEWS_XML = f"""SELECT doc_id, feed_name, position, concat('<item><title>', title, '</title><link>https://n.example/', cast(page AS string),
+ '</link><description>', {TIDY}, '</description><pubDate>Mon, ', lpad(cast(day(day) AS string), 2, '0'), ' Jan 2024 10:00:00 GMT</pubDate>',
+ CASE WHEN doc_id % 2 = 0 THEN '<source url="https://p.example">Paper</source>' ELSE '' END, '</item>') AS entry_xml FROM entries"""
+
+FORUM_XML = f"""SELECT doc_id, feed_name, position, concat('<entry><title>', title, '</title><link href="https://f.example/r/', lang, '/', cast(page AS string),
+ '"/><content type="html">&lt;p&gt;', {TIDY}, '&lt;/p&gt;</content><author><name>/u/w', cast(page AS string), '</name></author>',
+ CASE WHEN doc_id % 5 = 0 THEN '<category term="Sharks"/>' ELSE '' END,
+ '<updated>2024-01-', lpad(cast(day(day) AS string), 2, '0'), 'T08:00:00+00:00</updated></entry>') AS entry_xml FROM entries"""
+
+VIDEO_XML = f"""SELECT doc_id, feed_name, position, concat('<entry><title>', title, '</title><link rel="alternate" href="https://v.example/', cast(page AS string),
+ '"/><published>2024-01-', lpad(cast(day(day) AS string), 2, '0'), 'T08:00:00+00:00</published>',
+ CASE WHEN doc_id % 2 = 0 THEN concat('<group><description>', {TIDY}, '</description></group>') ELSE '<summary>a sighting</summary>' END,
+ '</entry>') AS entry_xml FROM entries"""
+
+
+def _entries(fx, xml: str, kind: str, cap: int):
+    fx.sql(ENTRIES).createOrReplaceTempView("entries")
+    rows = fx.sql(xml)
+    first = capture.first_per_source(rows, cap, "feed_name", "position")
+    return feeds.ITEM_BUILDERS[kind](feeds.parse_entries(first, kind))
+
+
+@query("A02_news_feed_items", f"""
+WITH entries AS ({ENTRIES}), top AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY feed_name ORDER BY position) <= 15)
+SELECT feed_name, position, 'news_rss' AS source_platform, concat('https://n.example/', cast(page AS string)) AS source_url, title,
+ length(concat(title, chr(10), chr(10), trim({TIDY}, concat(' ', chr(10), chr(9), chr(13))), CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), 'Publisher: Paper') ELSE '' END)) AS chars,
+ concat(cast(day AS string), ' 10:00:00') AS published_at, CASE WHEN doc_id % 2 = 0 THEN 'Paper' END AS author FROM top""")
+def _(fx):
+    items = _entries(fx, NEWS_XML, "news_rss", 15)
+    return items.select("feed_name", "position", "source_platform", "source_url", "title",
+                        F.length("content").cast("bigint").alias("chars"), "published_at", "author")
+
+
+SUBJECT_RE = "|".join(SUBJECT_TERMS)
+TRUSTED_RE = "|".join(TRUSTED_TERMS)
+
+
+@query("A02_video_feed_items", f"""
+WITH entries AS ({ENTRIES}), top AS (SELECT *, lower(CASE WHEN doc_id % 2 = 0 THEN concat(title, ' ', text) ELSE concat(title, ' a sighting') END) AS t
+  FROM entries QUALIFY row_number() OVER (PARTITION BY feed_name ORDER BY position) <= 10)
+SELECT feed_name, position, concat('https://v.example/', cast(page AS string)) AS source_url, title, feed_name AS author,
+ concat(cast(day AS string), ' 08:00:00') AS published_at, true AS trusted
+FROM top WHERE regexp_matches(t, '{SUBJECT_RE}') OR regexp_matches(t, '{TRUSTED_RE}')""")
+def _(fx):
+    return _entries(fx, VIDEO_XML, "youtube", 10).select(
+        "feed_name", "position", "source_url", "title", "author", "published_at", "trusted")
+
+
+@query("A02_forum_feed_items", f"""
+WITH entries AS ({ENTRIES}), top AS (SELECT *, lower(concat(title, ' ', text)) AS t
+  FROM entries QUALIFY row_number() OVER (PARTITION BY feed_name ORDER BY position) <= 100)
+SELECT feed_name, position, concat('https://f.example/r/', lang, '/', cast(page AS string)) AS source_url,
+ CASE WHEN doc_id % 5 = 0 THEN 'r/Sharks' ELSE concat('r/', lang) END AS source_name, concat('w', cast(page AS string)) AS author,
+ concat(cast(day AS string), ' 08:00:00') AS published_at, doc_id % 5 = 0 AS trusted
+FROM top WHERE regexp_matches(t, '{SUBJECT_RE}') OR (doc_id % 5 = 0 AND regexp_matches(t, '{TRUSTED_RE}'))""")
+def _(fx):
+    return _entries(fx, FORUM_XML, "reddit", 100).select(
+        "feed_name", "position", "source_url", "source_name", "author", "published_at", "trusted")
+
+
+# --- pages: an index page per page of the table, linking to it -------------------------
+INDEX_PAGES = """SELECT page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)', 1), '/index') AS url,
+ concat('<nav><a href="/skip">a skipped navigation link</a></nav><article><h2><a class="t" href="', url, '"><b>', regexp_extract(html, '<title>([^<]*)', 1),
+ '</b></a></h2></article><h3><a href="/all-2021-shark-attacks/">every attack of that year</a></h3><h2><a href="https://other.example/x/y">an off-site link</a></h2>') AS html FROM pages"""
+
+
+@query("A03_page_harvest", f"""
+WITH linked AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS site, url, regexp_extract(html, '<title>([^<]*)', 1) AS title0, html FROM pages),
+first AS (SELECT * FROM linked WHERE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) NOT IN ('', '/')
+  QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id) = 1),
+ordered AS (SELECT *, trim(title0) AS title, row_number() OVER (PARTITION BY site ORDER BY page_id) AS seen FROM first),
+body AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>((?s:.*?))</article>', 1), '<(?s:script|style|nav)\\b(?s:.*?)</(script|style|nav)\\s*>', ' ', 'g'), '<!--(?s:.*?)-->', ' ', 'g'), '<(?s:[^>]*)>', chr(10), 'g') AS body
+  FROM pages),
+items AS (SELECT o.*, row_number() OVER (PARTITION BY site ORDER BY seen) AS item FROM ordered o JOIN body b ON b.url = o.url
+  WHERE length(o.title) >= 10 AND regexp_matches(lower(b.body), 'shark|bite|on the|de la|und ')),
+kept AS (SELECT *, lag(seen) OVER (PARTITION BY site ORDER BY seen) AS before FROM items WHERE item <= 10)
+SELECT site, url AS source_url, title FROM kept WHERE coalesce(before, 0) < 25""")
+def _(fx):
+    return pages.harvest(
+        fx.sql(INDEX_PAGES), fx["pages"], terms=["shark", "bite", "on the", "de la", "und "]).select("site", "source_url", "title")
+
+
+@query("A04_register_import", """
+SELECT id, strftime(make_date(cast(year_text AS int), m, d), '%Y-%m-%d') AS incident_date, 'exact' AS date_precision, country, classification, victim_activity,
+ victim_injury_severity, fatal, incident_time, shark_species_suspected, shark_size_estimate, victim_sex, victim_age, description
+FROM (SELECT id, year_text, cast(regexp_extract(date_text, '^(\\d+)', 1) AS int) AS d,
+  list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(substr(regexp_extract(date_text, ' (\\w+)$', 1), 1, 3))) AS m,
+  CASE country_text WHEN 'USA' THEN 'United States' WHEN 'AUSTRALIA' THEN 'Australia' WHEN 'REUNION ISLAND' THEN 'Réunion' ELSE 'Atlantis' END AS country,
+  CASE type_text WHEN 'Unprovoked' THEN 'unprovoked' WHEN 'Provoked' THEN 'provoked' WHEN 'Watercraft' THEN 'boat_bite' WHEN 'Sea Disaster' THEN 'scavenge' WHEN 'Invalid' THEN 'doubtful' ELSE 'not_confirmed' END AS classification,
+  CASE activity_text WHEN 'Surfing' THEN 'surfing' WHEN 'spearfishing at reef' THEN 'fishing' WHEN 'Scuba diving' THEN 'diving' END AS victim_activity,
+  CASE WHEN fatal_text = 'Y' OR injury_text = 'FATAL' THEN 'fatal' WHEN injury_text = 'No injury' THEN 'no_injury' WHEN injury_text = 'Minor laceration' THEN 'minor' WHEN injury_text = 'Leg severed' THEN 'severe' ELSE 'moderate' END AS victim_injury_severity,
+  fatal_text = 'Y' AS fatal, CASE time_text WHEN '1715hrs' THEN '17:15:00' WHEN '9:05' THEN '09:05:00' END AS incident_time,
+  CASE species_text WHEN 'White shark, 3.5m' THEN 'Carcharodon carcharias' WHEN 'scalloped hammerhead' THEN 'Sphyrna mokarran' WHEN '6ft bull shark' THEN 'Carcharhinus leucas' END AS shark_species_suspected,
+  CASE species_text WHEN 'White shark, 3.5m' THEN '3.5m' WHEN '6ft bull shark' THEN '6ft bull shark' END AS shark_size_estimate,
+  CASE sex_text WHEN 'M' THEN 'male' WHEN 'F' THEN 'female' END AS victim_sex,
+  CASE WHEN cast(age_text AS int) <= 120 THEN cast(age_text AS int) END AS victim_age,
+  concat_ws(' ', CASE WHEN activity_text <> '' THEN concat('Victim was ', lower(activity_text), '.') END, concat('Injury: ', injury_text, '.'),
+    CASE WHEN species_text <> 'unknown' THEN concat('Species: ', species_text, '.') END) AS description
+ FROM register_v WHERE cast(year_text AS int) BETWEEN 1996 AND 2000)""")
+def _(fx):
+    return register.import_register(fx["register_v"], 1996, 2000).select(
+        "id", "incident_date", "date_precision", "country", "classification", "victim_activity",
+        "victim_injury_severity", "fatal", "incident_time", "shark_species_suspected",
+        "shark_size_estimate", "victim_sex", "victim_age", "description")
+
+
+@query("A05_seed_dimension", """
+SELECT row_number() OVER (ORDER BY name) AS place, name AS common_name FROM (
+ SELECT DISTINCT coalesce(shark_species_suspected, 'Unlisted') AS name FROM incidents_v
+ WHERE coalesce(shark_species_suspected, 'Unlisted') NOT IN (SELECT scientific_name FROM species_v WHERE id = 2))""")
+def _(fx):
+    # seed every species named by an incident unless the dimension already has it
+    names = fx["incidents_v"].select(
+        F.coalesce("shark_species_suspected", F.lit("Unlisted")).alias("scientific_name")).distinct()
+    seed = conform(names.withColumn("common_name", F.col("scientific_name")), SPECIES)
+    existing = conform(fx["species_v"].filter("id = 2"), SPECIES)
+    new = seeds.species_listing(seeds.seed_rows(seed, existing, "scientific_name"))
+    from pyspark.sql import Window as W
+    # the dimension is small by nature: one row per species
+    return new.select(F.row_number().over(W.orderBy("common_name")).cast("bigint").alias("place"),
+                      "common_name")
+
+
+@query("A07_evidence_shape", """
+SELECT id, CASE WHEN length(concat(source_platform, ':', source_url)) <= 512 THEN concat(source_platform, ':', source_url)
+  ELSE concat(source_platform, ':sha256:', sha256(source_url)) END AS dedup_key,
+ sha256(content) AS content_sha256, cast(length(substr(content, 1, 12000)) AS int) AS excerpt_chars, cast(length(substr(content, 1, 2000)) AS int) AS summary_chars
+FROM (SELECT id, source_platform, CASE WHEN id % 10 = 0 THEN concat(source_url, repeat('x', 600)) ELSE source_url END AS source_url, content FROM raw_items_v)""")
+def _(fx):
+    items = fx["raw_items_v"].withColumn("source_url", F.when(
+        F.col("id") % 10 == 0, F.concat("source_url", F.repeat(F.lit("x"), 600)))
+        .otherwise(F.col("source_url")))
+    return capture.shape_evidence(items).select(
+        "id", "dedup_key", "content_sha256", F.length("body_excerpt").alias("excerpt_chars"),
+        F.length("summary").alias("summary_chars"))
+
+
+@query("A08_relevance_gate", """
+SELECT id, trusted FROM raw_items_v
+WHERE regexp_matches(lower(concat(title, ' ', content)), 'shark|erenes|mako')
+ OR (trusted AND regexp_matches(lower(concat(title, ' ', content)), 'attack|ition|the beach'))""")
+def _(fx):
+    return capture.keep_relevant(
+        fx["raw_items_v"], subject=["shark", "erenes", "mako"],
+        trusted=["attack", "ition", "the beach"]).select("id", "trusted")
+
+
+SEEN = "timestamp '2024-03-01 00:00:00' + id * INTERVAL 1 SECOND"
+
+
+@query("A09_idempotent_capture", f"""
+WITH batch AS (SELECT id, concat(source_platform, ':', source_url) AS dedup_key, title, {SEEN} AS seen FROM raw_items_v),
+folded AS (SELECT dedup_key, arg_min(title, id) AS title, min(seen) AS captured_at, max(seen) AS last_seen_at FROM batch GROUP BY 1),
+stored AS (SELECT dedup_key, concat('stored ', title) AS title, captured_at - INTERVAL 1 DAY AS captured_at, captured_at - INTERVAL 1 DAY AS last_seen_at
+  FROM folded WHERE length(title) % 2 = 0 OR dedup_key LIKE 'youtube%')
+SELECT f.dedup_key, coalesce(s.title, f.title) AS title, cast(coalesce(s.captured_at, f.captured_at) AS string) AS captured_at, cast(f.last_seen_at AS string) AS last_seen_at
+FROM folded f LEFT JOIN stored s ON s.dedup_key = f.dedup_key""")
+def _(fx):
+    items = fx["raw_items_v"].withColumn("seen_at", F.expr(SEEN))
+    shaped = capture.shape_evidence(conform(items, RAW_ITEMS))
+    folded = capture.fold_repeats(shaped)
+    a_day = F.expr("INTERVAL 1 DAY")
+    stored = conform(
+        folded.filter((F.length("title") % 2 == 0) | F.startswith("dedup_key", F.lit("youtube")))
+        .withColumns({"title": F.concat(F.lit("stored "), "title"),
+                      "captured_at": F.col("captured_at") - a_day,
+                      "last_seen_at": F.col("captured_at") - a_day}), SOURCE_DOCUMENTS)
+    return capture.capture(stored, folded).select(
+        "dedup_key", "title", "captured_at", "last_seen_at")
+
+
+@query("C07_insert_if_absent", """
+SELECT DISTINCT concat('reddit:https://r.example/', cast(user_id AS string)) AS dedup_key FROM events WHERE user_id % 3 <> 0""")
+def _(fx):
+    stored = fx["events"].filter("user_id % 3 = 0").select(
+        F.concat(F.lit("reddit:https://r.example/"), F.col("user_id").cast("string"))
+        .alias("dedup_key"))
+    return capture.insert_absent(fx["news_batch_v"], stored, ["dedup_key"]).select("dedup_key")
+
+
+@query("E05_first_per_source", """
+SELECT id, source_name FROM raw_items_v QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY id) <= 15""")
+def _(fx):
+    return capture.first_per_source(fx["raw_items_v"], 15).select("id", "source_name")
