@@ -162,8 +162,8 @@ def attach_sources(incidents: DataFrame, sources: DataFrame,
 
 
 def disclosed_point(column: str) -> Column:
-    return F.when(F.col("location_precision") == "exact", F.round(column, 3)).otherwise(
-        F.round(column, 2))
+    return F.when(F.col("location_precision") == "exact", F.bround(column, 3)).otherwise(
+        F.bround(column, 2))
 
 
 def public_view(incidents: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -150,8 +150,8 @@ FROM incidents_v v
     "submissions_v": """
 SELECT id * 10 + 7 AS submission_id, incident_date, date_precision, location_description, country, classification,
   victim_age, victim_sex, fatal, description,
-  CASE WHEN id % 3 = 0 THEN longitude + 0.0005e0 ELSE longitude + 0.03e0 END AS longitude, latitude,
-  CASE id % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'verified_contributor' ELSE 'public' END AS role, submitted_at
+  CASE WHEN id % 5 < 2 THEN longitude + 0.0005e0 ELSE longitude + 0.03e0 END AS longitude, latitude,
+  CASE id % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'verified_contributor' ELSE 'public' END AS role, submitted_at
 FROM incidents_v WHERE verification_status = 'needs_review'
 """,
     "submission_sources_v": """
@@ -203,6 +203,8 @@ def with_views(body: str) -> str:
             frontier += VIEWS[name]
     ctes = [f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in needed]
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join([*ctes, body[5:]])
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body

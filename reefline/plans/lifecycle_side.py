@@ -1 +1,313 @@
-"""Registered queries."""
+"""Registered queries for submissions, reviews, updates, lineage and jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reefline.operators import jobs, lifecycle, lineage
+from reefline.operators.capture import fill_source_ids, insert_absent
+from reefline.plans.registry import query
+from reefline.plans.resolve_side import CASCADE, HEAD, HEADLINE
+from reefline.schemas import (
+    AUDIT, CANDIDATES, INCIDENTS, JOBS, NEWS, OBSERVATIONS, SOURCES, conform,
+)
+
+YEAR = 1998
+COUNTERS = f"SELECT {YEAR} AS year, cast(max(o_orderkey) + 7 AS int) AS last_value FROM orders WHERE year(o_orderdate) = {YEAR}"
+
+
+@query("D11_highest_suffix", r"""
+SELECT cast(regexp_extract(case_number, '^CASE-(\d{4})-(\d+)$', 1) AS int) AS year, max(cast(regexp_extract(case_number, '^CASE-(\d{4})-(\d+)$', 2) AS int)) AS last_value
+FROM incidents_v WHERE id % 7 <> 0 GROUP BY 1""")
+def _(fx):
+    odd = F.when(F.col("id") % 7 == 0, F.concat("case_number", F.lit("x"))).otherwise(F.col("case_number"))
+    return lifecycle.highest_suffix(fx["incidents_v"].withColumn("case_number", odd))
+
+
+@query("E06_case_numbers", f"""
+WITH floor AS (SELECT y, max(v) AS v FROM (SELECT cast(substr(case_number, 6, 4) AS int) AS y, cast(substr(case_number, 11) AS int) AS v FROM incidents_v
+  UNION ALL SELECT year, last_value FROM ({COUNTERS})) GROUP BY 1),
+n AS (SELECT submission_id, coalesce(cast(year(submitted_at) AS int), 0) AS y, submitted_at FROM submissions_v)
+SELECT submission_id, concat('CASE-', cast(n.y AS string), '-', lpad(cast(coalesce(f.v, 0) + row_number() OVER (PARTITION BY n.y ORDER BY submitted_at, submission_id) AS string), 5, '0')) AS case_number
+FROM n LEFT JOIN floor f ON f.y = n.y""".replace("lpad(cast(coalesce(f.v, 0) + row_number() OVER (PARTITION BY n.y ORDER BY submitted_at, submission_id) AS string), 5, '0')",
+ "CASE WHEN coalesce(f.v, 0) + row_number() OVER w < 1000 THEN lpad(cast(coalesce(f.v, 0) + row_number() OVER w AS string), 4, '0') ELSE cast(coalesce(f.v, 0) + row_number() OVER w AS string) END")
+ + " WINDOW w AS (PARTITION BY n.y ORDER BY submitted_at, submission_id)")
+def _(fx):
+    new = fx["submissions_v"].select("submission_id", "submitted_at", F.year("submitted_at").alias("year"))
+    return lifecycle.allocate_case_numbers(
+        new, fx["incidents_v"], fx.sql(COUNTERS), ["submitted_at", "submission_id"]).select(
+        "submission_id", "case_number")
+
+
+# --- I8: every submission's sources laid on the incident it came from ------------------------
+COVERAGE = "SELECT s.*, cast((submission_id - 7) / 10 AS bigint) AS incident_id FROM submission_sources_v s"
+
+
+@query("I08_attached_sources", f"""
+WITH c AS (SELECT submission_id, position, source_url, (submission_id - 7) // 10 AS incident_id FROM submission_sources_v),
+held AS (SELECT DISTINCT incident_id, source_url FROM sources_v WHERE source_url <> '')
+SELECT submission_id, incident_id, source_url FROM c WHERE source_url IS NULL
+UNION ALL SELECT submission_id, incident_id, source_url FROM (SELECT c.* FROM c LEFT JOIN held h ON h.incident_id = c.incident_id AND h.source_url = c.source_url WHERE c.source_url <> '' AND h.source_url IS NULL)
+ QUALIFY row_number() OVER (PARTITION BY incident_id, source_url ORDER BY submission_id, position) = 1""")
+def _(fx):
+    added, _ = lifecycle.attach_coverage(fx.sql(COVERAGE), fx["sources_v"])
+    return added.select("submission_id", "incident_id", "source_url")
+
+
+@query("I08_attach_audit", f"""
+WITH c AS (SELECT submission_id, position, source_url, source_publisher, (submission_id - 7) // 10 AS incident_id FROM submission_sources_v),
+held AS (SELECT DISTINCT incident_id, source_url FROM sources_v WHERE source_url <> ''),
+added AS (SELECT * FROM c WHERE source_url IS NULL UNION ALL SELECT * FROM (SELECT c.* FROM c LEFT JOIN held h ON h.incident_id = c.incident_id AND h.source_url = c.source_url
+ WHERE c.source_url <> '' AND h.source_url IS NULL) QUALIFY row_number() OVER (PARTITION BY incident_id, source_url ORDER BY submission_id, position) = 1),
+n AS (SELECT submission_id, string_agg(source_publisher, ', ' ORDER BY position, source_publisher) AS l FROM added GROUP BY 1)
+SELECT DISTINCT c.submission_id, c.incident_id, 'source_merged' AS action, coalesce('Merged duplicate coverage: ' || n.l, 'Duplicate submission (no new sources)') AS notes
+FROM c LEFT JOIN n ON n.submission_id = c.submission_id""")
+def _(fx):
+    _, audit = lifecycle.attach_coverage(fx.sql(COVERAGE), fx["sources_v"])
+    return audit.select("submission_id", "incident_id", "action", "notes")
+
+
+# --- I9: the whole submission batch ------------------------------------------------------------
+BATCH = f"""WITH RECURSIVE {CASCADE}, fresh AS (SELECT s.* FROM submissions_v s JOIN cascade c ON c.submission_id = s.submission_id WHERE c.case_number IS NULL),
+heads AS (SELECT submission_id, source_url, {HEAD} AS h FROM submission_sources_v WHERE submission_id IN (SELECT submission_id FROM fresh)),
+keys AS (SELECT submission_id, concat('u:', source_url) AS k FROM heads WHERE source_url <> ''
+ UNION SELECT submission_id, concat('h:', h) FROM heads WHERE {HEADLINE.format(t='h')} IS NOT NULL
+ UNION SELECT submission_id, concat_ws('|', 'p:', cast(incident_date AS string), classification, cast(round(longitude, 3) AS string), cast(round(latitude, 3) AS string)) FROM fresh
+  WHERE date_precision = 'exact' AND incident_date IS NOT NULL AND longitude IS NOT NULL),
+edges AS (SELECT k.submission_id, min(f.first) AS parent FROM keys k JOIN (SELECT k, min(submission_id) AS first FROM keys GROUP BY 1) f ON f.k = k.k GROUP BY 1),
+parents AS (SELECT s.submission_id, coalesce(e.parent, s.submission_id) AS parent FROM fresh s LEFT JOIN edges e ON e.submission_id = s.submission_id),
+walk AS (SELECT submission_id, parent AS leader FROM parents UNION SELECT w.submission_id, p.parent FROM walk w JOIN parents p ON p.submission_id = w.leader WHERE p.parent <> w.leader),
+leaders AS (SELECT submission_id, min(leader) AS leader FROM walk GROUP BY 1)"""
+
+
+def _batch(fx):
+    return lifecycle.submit(
+        fx["submissions_v"].drop("case_number"), fx["submission_sources_v"], fx["incidents_v"],
+        fx["sources_v"], fx.sql(COUNTERS), YEAR)
+
+
+@query("I09_submission_outcome", f"""
+{BATCH} SELECT submission_id, leader AS incident_id, CASE WHEN leader = submission_id THEN 'created' ELSE 'batch' END AS matched_by FROM leaders
+UNION ALL SELECT c.submission_id, i.id AS incident_id, c.matched_by FROM cascade c JOIN incidents_v i ON i.case_number = c.case_number""")
+def _(fx):
+    return _batch(fx)["outcome"]
+
+
+@query("I09_created_incidents", f"""
+{BATCH} SELECT s.submission_id AS id, concat('CASE-{YEAR}-', cast((SELECT last_value FROM ({COUNTERS})) + row_number() OVER (ORDER BY s.submitted_at, s.submission_id) AS string)) AS case_number,
+ CASE WHEN s.role IN ('admin', 'verified_contributor') THEN 'verified' ELSE 'pending' END AS verification_status, s.country
+FROM leaders l JOIN submissions_v s ON s.submission_id = l.submission_id WHERE l.leader = l.submission_id""")
+def _(fx):
+    return _batch(fx)["incidents"].select("id", "case_number", "verification_status", "country")
+
+
+# --- I10: decisions on incidents, some of them repeated -------------------------------------------
+DECISIONS = """SELECT incident_id * 2 + r AS decision_id, incident_id, CASE WHEN r = 1 AND incident_id % 4 = 0 THEN 'verify' WHEN r = 1 THEN 'reject' ELSE action END AS action,
+ decided_at + r * INTERVAL 1 HOUR AS decided_at, 'admin' AS decided_by, concat('note ', cast(r AS string)) AS notes
+FROM decisions_v CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1 AS r) WHERE r = 0 OR incident_id % 2 = 0"""
+REVIEWED = f"""d AS (SELECT * FROM ({DECISIONS}) WHERE action IN ('verify','reject')),
+j AS (SELECT d.*, i.verification_status AS stored, lag(d.action) OVER (PARTITION BY d.incident_id ORDER BY d.decided_at, d.decision_id) AS before FROM d JOIN incidents_v i ON i.id = d.incident_id),
+e AS (SELECT *, action = 'verify' AND CASE before WHEN 'verify' THEN 'verified' WHEN 'reject' THEN 'rejected' ELSE stored END = 'verified' AS bad FROM j),
+last AS (SELECT incident_id, arg_max(CASE action WHEN 'verify' THEN 'verified' ELSE 'rejected' END, decided_at) AS status, max(decided_at) AS at FROM e WHERE NOT bad GROUP BY 1)"""
+
+
+def _reviewed(fx):
+    return lifecycle.review(conform(fx["incidents_v"], INCIDENTS), fx.sql(DECISIONS))
+
+
+@query("I10_reviewed_incidents", f"""
+WITH {REVIEWED} SELECT i.id, coalesce(l.status, i.verification_status) AS verification_status, cast(l.at AS string) AS verified_at FROM incidents_v i LEFT JOIN last l ON l.incident_id = i.id""")
+def _(fx):
+    return _reviewed(fx)["incidents"].select("id", "verification_status", "verified_at")
+
+
+@query("I10_review_audit", f"""
+WITH {REVIEWED} SELECT incident_id, CASE action WHEN 'verify' THEN 'verified' ELSE 'rejected' END AS action, cast(decided_at AS string) AS changed_at, notes FROM e WHERE NOT bad""")
+def _(fx):
+    return _reviewed(fx)["audit"].select("incident_id", "action", "changed_at", "notes")
+
+
+@query("I10_review_errors", f"WITH {REVIEWED} SELECT decision_id, incident_id, action, 'Already verified' AS error FROM e WHERE bad")
+def _(fx):
+    return _reviewed(fx)["errors"]
+
+
+# --- I11: decisions on candidates --------------------------------------------------------------------
+CANDIDATE_ROWS = """SELECT concat('c', cast(id AS string)) AS id, CASE id % 5 WHEN 0 THEN 'published' ELSE 'needs_review' END AS status, submitted_at AS created_at FROM incidents_v"""
+CANDIDATE_OBS = """SELECT id, id % 3000 AS source_document_id, concat('c', cast(CASE WHEN id % 11 = 0 THEN id + 1 ELSE id END AS string)) AS candidate_id,
+ CASE WHEN classification = 'sighting' THEN 'sighting' ELSE 'attack' END AS event_type, submitted_at AS created_at, incident_date, location_description, country, classification,
+ CASE WHEN id % 13 = 0 THEN 'awful' END AS victim_injury_severity FROM incidents_v"""
+CANDIDATE_DECISIONS = """SELECT incident_id AS decision_id, concat('c', cast(incident_id AS string)) AS candidate_id, CASE incident_id % 3 WHEN 1 THEN 'reject' ELSE 'publish' END AS action,
+ decided_at, 'admin' AS decided_by, 'seen' AS notes FROM decisions_v
+UNION ALL SELECT -1 - incident_id, concat('c', cast(incident_id AS string)), 'reject', decided_at + INTERVAL 1 DAY, 'admin', 'again' FROM decisions_v WHERE incident_id % 10 = 1"""
+JUDGED = f"""cand AS ({CANDIDATE_ROWS}), obs AS ({CANDIDATE_OBS}), dec AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY decided_at, decision_id) AS nth FROM ({CANDIDATE_DECISIONS})),
+newest AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY created_at DESC, id DESC) = 1),
+judged AS (SELECT d.*, o.id AS obs_id, o.country, o.event_type, CASE WHEN c.id IS NULL THEN 'Incident candidate not found' WHEN d.nth > 1 OR c.status <> 'needs_review' THEN 'Candidate has already been reviewed'
+ WHEN d.action = 'publish' AND o.id IS NULL THEN 'Candidate has no supporting observation' WHEN d.action = 'publish' AND o.victim_injury_severity = 'awful' THEN 'Candidate data is not publishable' END AS error
+ FROM dec d LEFT JOIN cand c ON c.id = d.candidate_id LEFT JOIN newest o ON o.candidate_id = d.candidate_id)"""
+
+
+def _judged(fx):
+    from reefline.operators.candidates import with_payload
+    rows = conform(fx.sql(CANDIDATE_ROWS), CANDIDATES)
+    observed = with_payload(
+        fx.sql(CANDIDATE_OBS).withColumn("incident_date", F.col("incident_date").cast("string")),
+        ["incident_date", "location_description", "country", "classification", "victim_injury_severity"])
+    documents = observed.groupBy(F.col("source_document_id").alias("id")).agg(
+        F.concat(F.lit("https://d.example/"), F.min("id").cast("string")).alias("source_url"),
+        F.lit("Evidence").alias("title"), F.lit("Desk").alias("source_name"))
+    return rows, observed, lifecycle.judge_candidates(rows, fx.sql(CANDIDATE_DECISIONS), observed, documents)
+
+
+@query("I11_candidate_decisions", f"WITH {JUDGED} SELECT decision_id, candidate_id, action, error FROM judged")
+def _(fx):
+    return _judged(fx)[2].select("decision_id", "candidate_id", "action", "error")
+
+
+def _published(judged):
+    """Stand-in outcome: every published candidate becomes the incident numbered after it."""
+    submissions, _ = lifecycle.candidate_submissions(judged)
+    return submissions.select("submission_id", (F.substring("submission_id", 2, 20).cast("bigint") + 500000)
+                              .alias("incident_id"))
+
+
+@query("I11_reviewed_candidates", f"""
+WITH {JUDGED} SELECT c.id, CASE WHEN j.action = 'publish' THEN 'published' WHEN j.action = 'reject' THEN 'rejected' ELSE c.status END AS status,
+ CASE WHEN j.action = 'publish' THEN cast(substr(c.id, 2) AS bigint) + 500000 END AS canonical_incident_id, j.notes AS review_notes
+FROM cand c LEFT JOIN (SELECT * FROM judged WHERE error IS NULL) j ON j.candidate_id = c.id""")
+def _(fx):
+    rows, _, judged = _judged(fx)
+    return lifecycle.review_candidates(judged, rows, _published(judged)).select(
+        "id", "status", "canonical_incident_id", "review_notes")
+
+
+@query("I11_published_sources", f"""
+WITH {JUDGED}, docs AS (SELECT source_document_id AS id, min(id) AS first FROM obs GROUP BY 1)
+SELECT j.candidate_id AS submission_id, concat('https://d.example/', cast(d.first AS string)) AS source_url, 'Evidence' AS source_title, 'Desk' AS source_publisher, 'other' AS source_type
+FROM judged j JOIN docs d ON d.id = j.obs_id % 3000 WHERE j.action = 'publish' AND j.error IS NULL""")
+def _(fx):
+    _, sources = lifecycle.candidate_submissions(_judged(fx)[2])
+    return sources.select("submission_id", "source_url", "source_title", "source_publisher", "source_type")
+
+
+@query("I11_linked_news", f"""
+WITH {JUDGED}, s AS (SELECT DISTINCT candidate_id, source_document_id FROM obs),
+l AS (SELECT s.source_document_id, j.candidate_id, j.country, j.event_type FROM s JOIN judged j ON j.candidate_id = s.candidate_id WHERE j.action = 'publish' AND j.error IS NULL
+ QUALIFY row_number() OVER (PARTITION BY s.source_document_id ORDER BY j.decided_at DESC, j.decision_id DESC) = 1)
+SELECT n.id, CASE WHEN l.candidate_id IS NULL THEN n.promoted_incident_id ELSE cast(substr(l.candidate_id, 2) AS bigint) + 500000 END AS promoted_incident_id,
+ coalesce(l.event_type, n.event_type) AS event_type, coalesce(l.country, n.country) AS country FROM news_v n LEFT JOIN l ON l.source_document_id = n.id % 3000""")
+def _(fx):
+    _, observed, judged = _judged(fx)
+    news = conform(fx["news_v"].withColumn("source_document_id", F.col("id") % 3000), NEWS)
+    return lifecycle.link_reviewed_news(news, judged, observed, _published(judged)).select(
+        "id", "promoted_incident_id", "event_type", "country")
+
+
+@query("I12_partial_update", """
+SELECT i.id, CASE WHEN d.incident_id IS NOT NULL AND i.id % 2 = 0 THEN NULL ELSE i.description END AS description,
+ CASE WHEN d.incident_id IS NOT NULL THEN 'Patched' ELSE i.country END AS country,
+ CASE WHEN d.incident_id IS NOT NULL AND i.id % 3 = 2 THEN 44 ELSE i.victim_age END AS victim_age,
+ CASE WHEN d.incident_id IS NOT NULL AND i.id % 5 = 0 THEN NULL ELSE i.longitude END AS longitude, i.fatal
+FROM incidents_v i LEFT JOIN decisions_v d ON d.incident_id = i.id""")
+def _(fx):
+    patch = """CASE seq WHEN 0 THEN map('country', 'Early', 'unknown_field', 'x') ELSE map_filter(map('country', 'Patched', 'description', NULL,
+      'victim_age', '44', 'longitude', NULL), (k, v) -> k = 'country' OR (k = 'description' AND incident_id % 2 = 0)
+      OR (k = 'victim_age' AND incident_id % 3 = 2) OR (k = 'longitude' AND incident_id % 5 = 0)) END"""
+    twice = fx["decisions_v"].select("incident_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"))
+    patches = twice.withColumn("patch", F.expr(patch))
+    return lifecycle.partial_update(conform(fx["incidents_v"], INCIDENTS), patches).select(
+        "id", "description", "country", "victim_age", "longitude", "fatal")
+
+
+@query("I13_delete_cascade", """
+WITH gone AS (SELECT incident_id AS id FROM decisions_v)
+SELECT 'incidents' AS t, count(*) AS n, cast(sum(id) AS bigint) AS total FROM incidents_v WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'sources', count(*), cast(sum(incident_id) AS bigint) FROM sources_v WHERE incident_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'audit', count(*), cast(sum(incident_id) AS bigint) FROM audit_v WHERE incident_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'news', count(*), cast(sum(promoted_incident_id) FILTER (promoted_incident_id NOT IN (SELECT id FROM gone)) AS bigint) FROM news_v
+UNION ALL SELECT 'candidates', count(*), cast(sum(id) FILTER (id NOT IN (SELECT id FROM gone)) AS bigint) FROM incidents_v""")
+def _(fx):
+    candidates = conform(fx["incidents_v"].select(
+        F.col("id").cast("string").alias("id"), F.col("id").alias("canonical_incident_id")), CANDIDATES)
+    left = lifecycle.delete_incidents(
+        fx["decisions_v"].select(F.col("incident_id").alias("id")), conform(fx["incidents_v"], INCIDENTS),
+        conform(fx["sources_v"], SOURCES), conform(fx["audit_v"], AUDIT), conform(fx["news_v"], NEWS),
+        candidates)
+    columns = {"incidents": "id", "sources": "incident_id", "audit": "incident_id",
+               "news": "promoted_incident_id", "candidates": "canonical_incident_id"}
+    out = None
+    for name, column in columns.items():
+        part = left[name].agg(F.count(F.lit(1)).alias("n"), F.sum(column).alias("total")).select(
+            F.lit(name).alias("t"), "n", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("I14_news_from_incidents", """
+WITH s AS (SELECT * FROM sources_v QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY id) = 1)
+SELECT concat('backfill:', cast(i.id AS string)) AS dedup_key, coalesce(i.report_platform, 'web_scrape') AS source_platform, coalesce(s.source_publisher, i.report_source, 'registry') AS source_name,
+ coalesce(s.source_url, '') AS source_url, coalesce(s.source_title, concat(list_aggregate(list_transform(string_split(i.classification, '_'), lambda w: concat(upper(w[1]), w[2:])), 'string_agg', ' '), ' — ', i.location_description)) AS title,
+ cast(coalesce(cast(i.incident_date AS timestamp) + INTERVAL 12 HOUR, i.submitted_at) AS string) AS captured_at, CASE i.classification WHEN 'sighting' THEN 'sighting' ELSE 'attack' END AS event_type
+FROM incidents_full_v i LEFT JOIN s ON s.incident_id = i.id WHERE i.id % 3 <> 0""")
+def _(fx):
+    made = lineage.news_from_incidents(conform(fx["incidents_full_v"], INCIDENTS), fx["sources_v"])
+    stored = fx["incidents_v"].filter("id % 3 = 0").select(
+        F.concat(F.lit("backfill:"), F.col("id").cast("string")).alias("dedup_key"))
+    return insert_absent(made, stored, ["dedup_key"]).select(
+        "dedup_key", "source_platform", "source_name", "source_url", "title", "captured_at", "event_type")
+
+
+@query("I15_evidence_and_jobs", """
+SELECT id AS source_document_id, dedup_key, summary AS body_excerpt, 'completed' AS status, '{"outcome": "migrated"}' AS result, cast(captured_at AS string) AS completed_at FROM news_v WHERE id % 4 <> 0""")
+def _(fx):
+    documents = lineage.evidence_from_news(fx["news_v"].withColumns({
+        "source_name": F.lit("feed"), "source_url": F.lit(""), "author": F.lit(None).cast("string")}))
+    fresh = insert_absent(documents, fx["news_v"].filter("id % 4 = 0"), ["dedup_key"])
+    made = lineage.jobs_from_evidence(fresh).select("source_document_id", "status", "result", "completed_at")
+    return fresh.select(F.col("id").alias("source_document_id"), "dedup_key", "body_excerpt").join(
+        made, "source_document_id")
+
+
+@query("D10_lineage_candidates", """
+SELECT concat('m-', cast(i.id AS string)) AS id, CASE WHEN i.incident_date IS NOT NULL THEN concat_ws('|', cast(i.incident_date AS string), lower(i.country), lower(i.location_description), i.classification) END AS match_key,
+ cast(min(n.captured_at) AS string) AS created_at, cast(max(n.captured_at) AS string) AS updated_at FROM incidents_v i JOIN news_v n ON n.promoted_incident_id = i.id GROUP BY i.id, i.incident_date, i.country, i.location_description, i.classification""")
+def _(fx):
+    return lineage.lineage_candidates(fx["incidents_v"], fx["news_v"]).select(
+        "id", "match_key", "created_at", "updated_at")
+
+
+@query("C09_lineage_observations", """
+SELECT n.id AS source_document_id, i.id AS incident_id, concat('m-', cast(i.id AS string)) AS candidate_id,
+ sha256(concat('{"incident_id": ', cast(i.id AS string), ', "classification": "', i.classification, '", "source_document_id": ', cast(n.id AS string), '}')) AS payload_sha256,
+ CASE WHEN n.event_type IN ('attack','sighting') THEN n.event_type WHEN i.classification = 'sighting' THEN 'sighting' ELSE 'attack' END AS event_type,
+ i.country, i.description, n.title AS source_title, cast(cast(n.published_at AS date) AS string) AS source_date
+FROM news_v n JOIN incidents_v i ON i.id = n.promoted_incident_id WHERE n.id % 4 <> 0""")
+def _(fx):
+    news = conform(fx["news_v"], NEWS)
+    documents = news.filter("id % 4 <> 0").select("id", "dedup_key")
+    incidents = conform(fx["incidents_v"], INCIDENTS)
+    rows = lineage.lineage_observations(
+        fill_source_ids(news, documents), documents, incidents,
+        lineage.lineage_candidates(incidents, news))
+    at = lambda key: F.get_json_object("payload", f"$.{key}").alias(key)
+    return rows.select("source_document_id", "incident_id", "candidate_id", "payload_sha256", "event_type",
+                       at("country"), at("description"), at("source_title"), at("source_date"))
+
+
+# --- jobs -----------------------------------------------------------------------------------------------
+@query("J02_retry_schedule", """
+SELECT source_document_id, CASE WHEN NOT retryable OR attempts >= max_attempts THEN 'dead_letter' ELSE 'retrying' END AS status,
+ cast(available_at + to_seconds(CASE WHEN NOT retryable OR attempts >= max_attempts THEN 0 ELSE least(300 * pow(2, greatest(attempts - 1, 0)), 21600) END) AS string) AS available_at FROM jobs_v""")
+def _(fx):
+    rows = conform(fx["jobs_v"], JOBS)
+    failures = fx["jobs_v"].select("source_document_id", F.lit("broken").alias("error"), "retryable",
+                                   F.col("available_at").alias("failed_at"))
+    return jobs.fail_jobs(rows, failures).select("source_document_id", "status", "available_at")
+
+
+@query("J03_due_jobs", """
+SELECT source_document_id, status FROM jobs_v WHERE (status IN ('queued','retrying') AND available_at <= timestamp '2024-01-15 12:00:00')
+ OR (status = 'leased' AND (leased_until IS NULL OR leased_until <= timestamp '2024-01-15 12:00:00'))""")
+def _(fx):
+    now = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    return jobs.due_jobs(conform(fx["jobs_v"], JOBS), now).select("source_document_id", "status")

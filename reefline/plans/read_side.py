@@ -98,8 +98,8 @@ def _(fx):
 @query("B07_public_view", """
 WITH s AS (SELECT incident_id, count(*) AS n_sources, min(source_title) AS first_title FROM sources_v GROUP BY 1)
 SELECT i.id, i.case_number, i.location_precision,
- CASE WHEN location_precision = 'exact' THEN round(longitude, 3) ELSE round(longitude, 2) END AS longitude,
- CASE WHEN location_precision = 'exact' THEN round(latitude, 3) ELSE round(latitude, 2) END AS latitude,
+ CASE WHEN location_precision = 'exact' THEN round_even(longitude, 3) ELSE round_even(longitude, 2) END AS longitude,
+ CASE WHEN location_precision = 'exact' THEN round_even(latitude, 3) ELSE round_even(latitude, 2) END AS latitude,
  i.victim_sex, i.fatal, coalesce(s.n_sources, 0) AS n_sources, s.first_title
 FROM incidents_v i LEFT JOIN s ON s.incident_id = i.id WHERE i.verification_status = 'verified'""")
 def _(fx):
