@@ -12,6 +12,16 @@ def pg_order(name: str, descending: bool) -> Column:
     return F.desc_nulls_first(name) if descending else F.asc_nulls_last(name)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`withColumn` for a costly value that later steps mention many times.
+
+    Catalyst substitutes a projected column into the filters and projections above it; it
+    does not look through a generator, so the value is computed once per row.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1,
                 rank: str | None = None) -> DataFrame:
     """First k rows per key.

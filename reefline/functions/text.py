@@ -58,7 +58,7 @@ def best_option(value: Column, options: list[str]) -> Column:
     """
     tidy = F.replace(F.lower(F.trim(value)), F.lit(" "), F.lit("_"))
     by_length = sorted(options, key=len, reverse=True)
-    return first_contained(tidy, {o: o for o in by_length})
+    return let(tidy, lambda text: first_contained(text, {o: o for o in by_length}))
 
 
 def lookup(value: Column, table: Mapping[str, str]) -> Column:
@@ -67,14 +67,31 @@ def lookup(value: Column, table: Mapping[str, str]) -> Column:
     return F.try_element_at(F.create_map(*flat), value)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body mentions it.
+
+    Plain column expressions are substituted at every mention, which repeats costly text
+    work; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def headlines(title: Column) -> Column:
+    """Array with the headline without its outlet suffix; empty when too short or generic."""
+    suffix = F.substring_index(title, " - ", -1)
+    head = F.when(F.contains(title, F.lit(" - ")),
+                  F.left(title, F.length(title) - F.length(suffix) - 3)).otherwise(title)
+
+    def specific(key: Column) -> Column:
+        keep = F.length(key) >= HEADLINE_MIN_CHARS
+        for prefix in GENERIC_HEADLINES:
+            keep = keep & ~F.startswith(key, F.lit(prefix))
+        return F.coalesce(keep, F.lit(False))
+    return F.filter(F.array(F.lower(squash(head))), specific)
+
+
 def headline_key(title: Column) -> Column:
-    """Headline without its outlet suffix; null when too short or generic."""
-    head = F.regexp_replace(title, r"(?s)^(.*) - .*$", "$1")
-    key = F.lower(squash(head))
-    generic = F.lit(False)
-    for prefix in GENERIC_HEADLINES:
-        generic = generic | F.startswith(key, F.lit(prefix))
-    return F.when((F.length(key) >= HEADLINE_MIN_CHARS) & ~generic, key)
+    return F.get(headlines(title), 0)
 
 
 def strip_tags(html: Column) -> Column:

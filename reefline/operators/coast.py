@@ -13,6 +13,8 @@ from reefline.constants import (
     COAST_SNAP_KM, GENERIC_COAST_WORDS, PLACE_ALIASES, VAGUE_MODIFIERS,
 )
 from reefline.functions.geo import haversine_km
+from reefline.functions.frames import once
+from reefline.functions.text import let
 
 # Cells for the on-land test.  The odd origin keeps cell borders off round coordinates.
 LAND_CELL = 0.25
@@ -32,17 +34,19 @@ def normal_place(value: Column) -> Column:
 
 def is_vague(place: Column, country: Column, state: Column) -> Column:
     """No text, a bare region name, or nothing left beside modifiers and coast words."""
-    loc = normal_place(place)
-    regions = [normal_place(country), normal_place(state)]
     filler = F.array(*[F.lit(w) for w in (*VAGUE_MODIFIERS, *GENERIC_COAST_WORDS)])
-    tokens = F.array_except(F.split(loc, " "), filler)
-    vague = (loc == "") | (F.size(tokens) == 0)
-    for region in regions:
-        words = F.array_distinct(F.split(region, " "))
-        same = (F.size(F.array_except(tokens, words)) == 0) & (
-            F.size(F.array_except(words, tokens)) == 0)
-        vague = vague | ((region != "") & ((loc == region) | same))
-    return vague
+
+    def judge(parts: Column) -> Column:
+        loc = parts[0]
+        tokens = F.array_except(F.split(loc, " "), filler)
+        vague = (loc == "") | (F.size(tokens) == 0)
+        for region in (parts[1], parts[2]):
+            words = F.split(region, " ")
+            same = (F.size(F.array_except(tokens, words)) == 0) & (
+                F.size(F.array_except(words, tokens)) == 0)
+            vague = vague | ((region != "") & ((loc == region) | same))
+        return vague
+    return let(F.array(*[normal_place(v) for v in (place, country, state)]), judge)
 
 
 # --- on land ----------------------------------------------------------------------------------
@@ -178,7 +182,7 @@ def coast_snap(incidents: DataFrame, edges: DataFrame, threshold_km: float = COA
     """
     placed = incidents.filter(F.col("longitude").isNotNull() & F.col("latitude").isNotNull())
     vague = is_vague(F.col("location_description"), F.col("country"), F.col("state_province"))
-    marked = placed.withColumn("_vague", vague)
+    marked = once(placed, "_vague", vague)
     found = inland(marked.filter("_vague"), edges).filter(F.col("km") >= threshold_km)
     joined = marked.join(found.withColumn("_vague", F.lit(True)), [*POINT, "_vague"], "left")
     moved = F.col("km").isNotNull()

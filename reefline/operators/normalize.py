@@ -10,7 +10,8 @@ from reefline.constants import (
     PLATFORM_REPORT_SOURCE, PLATFORM_SOURCE_TYPE, SEVERITIES, SPECIES_BY_COMMON_NAME,
     UNVERIFIED_OK_CONFIDENCE,
 )
-from reefline.functions.text import best_option, blank_to_null, first_contained, lookup
+from reefline.functions.frames import once
+from reefline.functions.text import best_option, blank_to_null, first_contained, let, lookup
 
 ANSWER_FIELDS = [
     "is_relevant", "classification", "victim_injury_severity", "victim_activity",
@@ -22,25 +23,31 @@ ANSWER_FIELDS = [
 ANSWER = T.StructType([T.StructField(f, T.StringType(), True) for f in ANSWER_FIELDS])
 
 
+JSON_LOOK = r'(?s)^\s*(\{.*\}|\[.*\]|".*"|-?\d[\d.eE+-]*|true|false|null)\s*$'
+
+
 # --- stage: answer text to object ------------------------------------------------------
 def json_object(text: Column) -> Column:
     """The JSON object in an answer: whole text, else fenced block, else outer braces.
 
     The first form that is JSON decides; if it is not an object there is none.
     """
-    whole = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    fenced = F.trim(F.regexp_extract(whole, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1))
-    braces = F.regexp_extract(whole, r"(?s)(\{.*\})", 1)
-    chosen = F.when(F.lit(False), F.lit(None).cast("string"))
-    for form in (whole, fenced, braces):
-        chosen = chosen.when(F.try_parse_json(form).isNotNull(), form)
-    return F.when(chosen.rlike(r"^\s*\{"), chosen)
+    def chosen(whole: Column) -> Column:
+        fenced = F.trim(F.regexp_extract(whole, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1))
+        braces = F.regexp_extract(whole, r"(?s)(\{.*\})", 1)
+        parsed = F.when(F.lit(False), F.lit(None).cast("string"))
+        for form in (whole, fenced, braces):
+            # the pattern spares the parser, which fails by exception, most plain prose
+            parsed = parsed.when(form.rlike(JSON_LOOK) & F.try_parse_json(form).isNotNull(), form)
+        return parsed
+    form = let(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), chosen)
+    return F.get(F.filter(F.array(form), lambda f: f.rlike(r"^\s*\{")), 0)
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Adds `object_text` and the typed-later `answer`; rejects keep both null."""
-    return responses.withColumn("object_text", json_object(F.col("response_text"))).withColumn(
-        "answer", F.from_json("object_text", ANSWER))
+    found = once(responses, "object_text", json_object(F.col("response_text")))
+    return once(found, "answer", F.from_json("object_text", ANSWER))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
@@ -49,16 +56,15 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 # --- stages: repair of single fields -----------------------------------------------------
 def canonical_country(value: Column) -> Column:
-    tidy = F.trim(value)
-    return F.coalesce(lookup(F.lower(tidy), COUNTRY_ALIASES), tidy)
+    return let(F.trim(value), lambda tidy: F.coalesce(lookup(F.lower(tidy), COUNTRY_ALIASES), tidy))
 
 
 def canonical_species(value: Column) -> Column:
     """First listed common name contained, else the text: trimmed if it is a binomial."""
     tidy = F.trim(value)
     binomial = tidy.rlike(r"(?U)^\p{Lu}\S*\s+\p{Ll}\S*$")
-    return F.coalesce(first_contained(F.lower(value), SPECIES_BY_COMMON_NAME),
-                      F.when(binomial, tidy), blank_to_null(value))
+    common = let(F.lower(value), lambda v: first_contained(v, SPECIES_BY_COMMON_NAME))
+    return F.coalesce(common, F.when(binomial, tidy), blank_to_null(value))
 
 
 def to_bool(value: Column, default: Column) -> Column:

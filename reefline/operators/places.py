@@ -8,8 +8,9 @@ from reefline.constants import (
     GAZETTEER_SNAP_KM, INLAND_WATER_TERMS, MAX_CORRECTION_KM, MAX_INLAND_KM, MIN_CORRECTION_KM,
     PLACE_CORRECTIONS, STATE_ALIASES, STATE_BOUNDS,
 )
+from reefline.functions.frames import once
 from reefline.functions.geo import haversine_km
-from reefline.functions.text import any_term, blank_to_null, lookup, title_case
+from reefline.functions.text import any_term, blank_to_null, let, lookup, title_case
 from reefline.operators.coast import is_vague, with_inland
 
 PLACE_KEY = ["location_description", "state_province", "country"]
@@ -31,38 +32,43 @@ def in_state(lat: Column, lon: Column, state: Column) -> Column:
 
 
 # --- query variants -----------------------------------------------------------------------
-def search_variants(place: Column, country: Column, state: Column) -> Column:
-    """Array of queries, most specific first, without repeats."""
-    canonical = canonical_state(state)
-    label = title_case(canonical)
-    land = blank_to_null(country)
+def _corrected(place: Column, canonical: Column) -> Column:
     loc = F.regexp_replace(F.trim(F.coalesce(place, F.lit(""))), r"(?i)\bPoint Plomber\b", "Point Plomer")
     for (name, where), better in PLACE_CORRECTIONS.items():
         loc = F.when((F.lower(loc) == name) & canonical.eqNullSafe(F.lit(where)), F.lit(better)).otherwise(loc)
+    return loc
+
+
+def _variants() -> Column:
+    """Array of queries, most specific first, without repeats, from the staged columns."""
+    loc, state, label, land = (F.col(c) for c in ("_loc", "_state", "_label", "_land"))
     anchor = F.coalesce(label, land)
     region = F.array(F.array_join(F.array_distinct(F.array_compact(F.array(anchor, land))), ", "))
     bare = F.regexp_replace(loc, r"(?i)^(?:near|off|at|outside)\s+", "")
     around = F.split(loc, r"(?i)\s+(?:north|south|east|west)\s+of\s+", -1)
-    two = F.size(around) == 2
-    forms = F.array_compact(F.array(
-        loc, F.when(bare != loc, bare),
-        F.when(F.contains(loc, F.lit(",")), F.trim(F.substring_index(loc, ",", 1))),
-        F.when(two, F.trim(F.get(around, 0))), F.when(two, F.trim(F.get(around, 1)))))
+    sides = let(around, lambda a: F.when(F.size(a) == 2, F.transform(a, F.trim)))
+    forms = F.concat(
+        F.array(loc, bare, F.trim(F.substring_index(loc, ",", 1))),
+        F.coalesce(sides, F.array().cast("array<string>")))
 
     def in_context(form: Column) -> Column:
         lower = F.lower(form)
         return F.concat_ws(
-            ", ", form, F.when(~F.contains(lower, canonical), label),
+            ", ", form, F.when(~F.contains(lower, state), label),
             F.when(~F.contains(lower, F.lower(land)), land))
-    vague = is_vague(loc, country, state) & anchor.isNotNull()
-    return F.when(vague, region).otherwise(F.array_distinct(F.transform(forms, in_context)))
+    return F.when(F.col("_vague") & anchor.isNotNull(), region).otherwise(
+        F.array_distinct(F.transform(F.array_distinct(forms), in_context)))
 
 
 def ranked_queries(incidents: DataFrame) -> DataFrame:
-    """id, query_rank, query."""
-    return incidents.select("id", F.posexplode(search_variants(
-        F.col("location_description"), F.col("country"), F.col("state_province"))).alias(
-        "query_rank", "query"))
+    """id, query_rank, query; each stage is computed once per row."""
+    rows = incidents.select("id", "location_description", "country", "state_province",
+                            blank_to_null(F.col("country")).alias("_land"))
+    rows = once(rows, "_state", canonical_state(F.col("state_province")))
+    rows = once(rows, "_label", title_case(F.col("_state")))
+    rows = once(rows, "_loc", _corrected(F.col("location_description"), F.col("_state")))
+    rows = once(rows, "_vague", is_vague(F.col("_loc"), F.col("country"), F.col("state_province")))
+    return rows.select("id", F.posexplode(_variants()).alias("query_rank", "query"))
 
 
 # --- ranking ----------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from reefline.constants import (
 )
 from reefline.functions.frames import top_per_key
 from reefline.functions.geo import haversine_km, match_block, match_cell
-from reefline.functions.text import headline_key
+from reefline.functions.text import headlines
 from reefline.operators.normalize import json_object
 from reefline.session import durable
 
@@ -46,6 +46,9 @@ def match_by_url(reports: DataFrame, sources: DataFrame, incidents: DataFrame,
     return _best(wanted.join(known, "source_url"), report)
 
 
+ODD_BLANKS = r"(?U)^\s|\s\s|[\s&&[^ ]]"
+
+
 def _stored_headlines(sources: DataFrame, incidents: DataFrame) -> DataFrame:
     """headline -> lowest case whose sources show it in the searchable form.
 
@@ -53,20 +56,25 @@ def _stored_headlines(sources: DataFrame, incidents: DataFrame) -> DataFrame:
     for letter, with the first 80 characters.  Nearly always it is the same source; the few
     headlines with odd blanks are looked up among the incident's other titles.
     """
-    titled = _sources_of_live(sources, incidents).filter(
-        F.col("source_title").isNotNull()).select(
-        "incident_id", "case_number", F.lower("source_title").alias("title"),
-        headline_key(F.col("source_title")).alias("headline"))
-    prefix = F.substring("headline", 1, HEADLINE_PREFIX_CHARS)
-    keyed = titled.filter(F.col("headline").isNotNull()).withColumn("prefix", prefix)
+    def keyed(rows: DataFrame) -> DataFrame:
+        titles = _sources_of_live(rows, incidents).select(
+            "incident_id", "case_number", "source_title").distinct()
+        found = titles.select(
+            "incident_id", "case_number", F.lower("source_title").alias("title"),
+            F.explode(headlines(F.col("source_title"))).alias("headline"))
+        return found.withColumn("prefix", F.substring("headline", 1, HEADLINE_PREFIX_CHARS))
+
     direct = F.startswith("title", F.col("prefix"))
-    plain = keyed.filter(direct).select("headline", "incident_id", "case_number")
-    odd = keyed.filter(~direct).select("headline", "incident_id", "case_number", "prefix").distinct()
+    titled = sources.filter(F.col("source_title").isNotNull())
+    plain = keyed(titled).filter(direct).select("headline", "incident_id", "case_number")
+    # only odd white space can make a title differ from its own headline: a small remainder
+    odd = keyed(titled.filter(F.col("source_title").rlike(ODD_BLANKS))).filter(~direct).select(
+        "headline", "incident_id", "case_number", "prefix").distinct()
     # prefixes have 30..80 characters: offer each title of those incidents at every length
     other = titled.join(odd.select("incident_id").distinct(), "incident_id", "left_semi").select(
         "incident_id", F.explode(F.transform(
             F.sequence(F.lit(HEADLINE_MIN_CHARS), F.lit(HEADLINE_PREFIX_CHARS)),
-            lambda n: F.substring(F.col("title"), F.lit(1), n))).alias("prefix")).distinct()
+            lambda n: F.substring(F.lower("source_title"), F.lit(1), n))).alias("prefix")).distinct()
     backed = odd.join(other, ["incident_id", "prefix"], "left_semi").select(
         "headline", "incident_id", "case_number")
     return plain.unionByName(backed).groupBy("headline").agg(
@@ -75,8 +83,8 @@ def _stored_headlines(sources: DataFrame, incidents: DataFrame) -> DataFrame:
 
 def match_by_headline(reports: DataFrame, sources: DataFrame, incidents: DataFrame,
                       report: str = "submission_id") -> DataFrame:
-    wanted = reports.select(report, headline_key(F.col("source_title")).alias("headline")).filter(
-        F.col("headline").isNotNull()).distinct()
+    wanted = reports.select(report, F.explode(headlines(F.col("source_title"))).alias("headline")
+                            ).distinct()
     return _best(wanted.join(_stored_headlines(sources, incidents), "headline"), report)
 
 
@@ -150,7 +158,8 @@ def leaders_within(reports: DataFrame, report_sources: DataFrame, order: str = "
     urls = report_sources.filter(F.length("source_url") > 0).select(
         order, F.concat(F.lit("u:"), "source_url").alias("key"))
     titles = report_sources.select(
-        order, F.concat(F.lit("h:"), headline_key(F.col("source_title"))).alias("key"))
+        order, F.explode(headlines(F.col("source_title"))).alias("key")).withColumn(
+        "key", F.concat(F.lit("h:"), "key"))
     spots = reports.filter(
         (F.col("date_precision") == "exact") & F.col("incident_date").isNotNull()
         & F.col("longitude").isNotNull()).select(

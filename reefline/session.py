@@ -16,6 +16,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM leaves methods above 8000 bytes of bytecode uncompiled.  Wide projections (the
+    # register import, claim rows) would become one such method; past this limit Spark
+    # generates per-operator code in small methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -9,7 +9,8 @@ from reefline.constants import (
     REGISTER_DEFAULT_NOTE, REGISTER_PUBLISHER, REGISTER_SEVERITY_WORDS, REGISTER_TITLE,
     REGISTER_YEARS, SPECIES_BY_COMMON_NAME,
 )
-from reefline.functions.text import any_term, blank_to_null, first_contained, lookup, title_case
+from reefline.functions.frames import once
+from reefline.functions.text import any_term, blank_to_null, first_contained, let, lookup, title_case
 
 # the first columns of the register, in file order
 COLUMNS = [
@@ -32,6 +33,11 @@ def read_register(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("_bad").isNull() | (fields >= MIN_COLUMNS)).drop("_bad")
 
 
+def _digits(text: Column, pattern: str, group: int = 1) -> Column:
+    """A short run of digits as a number; null, not a failed cast, where there is none."""
+    return blank_to_null(F.regexp_extract(text, pattern, group)).cast("int")
+
+
 def _text(name: str) -> Column:
     return F.coalesce(F.trim(name), F.lit(""))
 
@@ -50,38 +56,36 @@ def _real_date(year: Column, month: Column, day: Column) -> Column:
 
 def _date_and_precision(text: Column, year: Column) -> Column:
     """Day and month, else the first month named, else the year alone."""
-    plain = F.regexp_replace(text, r"(?i)(\d+)(st|nd|rd|th)", "$1")
+    def pair(when: Column, precision: str) -> Column:
+        return F.when(when.isNotNull(), F.struct(when.alias("date"), F.lit(precision).alias("precision")))
 
-    def from_pattern(pattern: str, day_group: int, month_group: int) -> Column:
-        day = F.regexp_extract(plain, pattern, day_group).try_cast("int")
-        month = _month_number(F.regexp_extract(plain, pattern, month_group))
-        return F.when(day.between(1, 31), _real_date(year, month, day))
+    def day_and_month(plain: Column, pattern: str, day_group: int, month_group: int) -> Column:
+        found = F.struct(
+            _digits(plain, pattern, day_group).alias("day"),
+            _month_number(F.regexp_extract(plain, pattern, month_group)).alias("month"))
+        return let(found, lambda f: F.when(
+            f["day"].between(1, 31) & f["month"].isNotNull(), _real_date(year, f["month"], f["day"])))
 
-    exact = F.coalesce(
-        from_pattern(r"^(\d{1,2})\s+(\w+)", 1, 2), from_pattern(r"^(\w+)\s+(\d{1,2})", 2, 1))
+    plain = F.regexp_replace(text, r"(?i)(\d+)(st|nd|rd|th)", "$1")
+    exact = let(plain, lambda p: F.coalesce(
+        day_and_month(p, r"^(\d{1,2})\s+(\w+)", 1, 2), day_and_month(p, r"^(\w+)\s+(\d{1,2})", 2, 1)))
     # full names first, then abbreviations, each in calendar order
     names = {m: str(i) for i, m in enumerate(MONTH_NAMES, 1)}
     names.update({m[:3]: str(i) for i, m in enumerate(MONTH_NAMES, 1)})
     month = first_contained(F.lower(text), names).cast("int")
-    by_month = _real_date(year, month, F.lit(1))
-    by_year = _real_date(year, F.lit(1), F.lit(1))
-
-    def pair(when: Column, precision: str) -> Column:
-        return F.struct(when.alias("date"), F.lit(precision).alias("precision"))
-    empty = F.length(text) == 0
-    return (
-        F.when(empty, pair(F.lit(None).cast("date"), "year"))
-        .when(exact.isNotNull(), pair(exact, "exact"))
-        .when(by_month.isNotNull(), pair(by_month, "month"))
-        .otherwise(pair(by_year, "year")))
+    nothing = F.struct(F.lit(None).cast("date").alias("date"), F.lit("year").alias("precision"))
+    return F.when(F.length(text) == 0, nothing).otherwise(F.coalesce(
+        let(exact, lambda d: pair(d, "exact")),
+        let(_real_date(year, month, F.lit(1)), lambda d: pair(d, "month")),
+        pair(F.make_date(year, F.lit(1), F.lit(1)), "year")))
 
 
 def _time(text: Column) -> Column:
     def clock(pattern: str) -> Column:
-        hour = F.regexp_extract(text, pattern, 1).try_cast("int")
-        minute = F.regexp_extract(text, pattern, 2).try_cast("int")
-        return F.when(hour.between(0, 23) & minute.between(0, 59),
-                      F.format_string("%02d:%02d:00", hour, minute))
+        clock_parts = F.array(_digits(text, pattern, 1), _digits(text, pattern, 2))
+        return let(clock_parts, lambda p: F.when(
+            p[0].between(0, 23) & p[1].between(0, 59),
+            F.format_string("%02d:%02d:00", p[0], p[1])))
     return F.coalesce(clock(r"(?i)^(\d{2})(\d{2})\s*h"), clock(r"^(\d{1,2}):(\d{2})"))
 
 
@@ -102,7 +106,7 @@ def _country(text: Column) -> Column:
 def _species(text: Column) -> Column:
     lower = F.lower(text)
     unsure = any_term(lower, ["unknown", "involvement", "not confirmed"])
-    return F.when(~unsure, first_contained(lower, SPECIES_BY_COMMON_NAME))
+    return F.when(~unsure, let(lower, lambda t: first_contained(t, SPECIES_BY_COMMON_NAME)))
 
 
 def import_register(rows: DataFrame, year_from: int = REGISTER_YEARS[0],
@@ -111,17 +115,18 @@ def import_register(rows: DataFrame, year_from: int = REGISTER_YEARS[0],
     for name in COLUMNS:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
-    years = F.trim("year_text").try_cast("double").cast("int")
+    years = _digits(F.trim("year_text"), r"^(\d{4})(?:\.0*)?$")
     dated = rows.withColumn("_year", years).filter(
         F.col("_year").between(max(year_from, REGISTER_YEARS[0]), min(year_to, REGISTER_YEARS[1])))
+    dated = once(dated, "_when", _date_and_precision(_text("date_text"), F.col("_year")))
+    dated = once(dated, "_species", _species(_text("species_text")))
     activity, injury, species = _text("activity_text"), _text("injury_text"), _text("species_text")
     location, state, name = _text("location_text"), _text("state_text"), _text("name_text")
     fatal = F.startswith(F.upper(_text("fatal_text")), F.lit("Y"))
     country = _country(_text("country_text"))
     act = F.lower(activity)
-    found = _species(species)
-    when = _date_and_precision(_text("date_text"), F.col("_year"))
-    age = F.regexp_extract(_text("age_text"), r"^(\d+)", 1).try_cast("int")
+    found = F.col("_species")
+    age = _digits(_text("age_text"), r"^(\d{1,9})")
     size = F.trim(F.regexp_extract(
         species, r"(?iU)(\d+[.\d]*\s*(?:ft|foot|feet|m|meter|metre|cm)[\w\s]*)", 1))
     sentence = F.concat_ws(
@@ -134,7 +139,7 @@ def import_register(rows: DataFrame, year_from: int = REGISTER_YEARS[0],
         F.concat(state, F.lit(", "), country), r"^[, ]+|[, ]+$", "")
     keep = [c for c in rows.columns if c not in COLUMNS]
     return dated.select(
-        *keep, when.alias("_when"), F.col("_year").alias("register_year"),
+        *keep, "_when", F.col("_year").alias("register_year"),
         _time(_text("time_text")).alias("incident_time"),
         F.coalesce(blank_to_null(location), fallback_place).alias("location_description"),
         country.alias("country"),
