@@ -16,7 +16,6 @@ from reefline.session import durable
 
 # Matching always reduces the stored side to its lowest case per key before the join, so a
 # URL, headline or spot shared by very many incidents still meets each report once.
-_LOWEST = F.min(F.struct("case_number", "id"))
 
 
 def _live(incidents: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def match_by_place(reports: DataFrame, incidents: DataFrame,
     """
     placed = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
     stored = _live(incidents).filter(placed & F.col("incident_date").isNotNull()).groupBy(
-        *SIGNATURE).agg(_LOWEST.alias("hit"))
+        *SIGNATURE).agg(F.min(F.struct("case_number", "id")).alias("hit"))
     stored = stored.select(
         "incident_date", "classification", match_cell(F.col("latitude"), F.col("longitude"))
         .alias("cell"), F.struct(*SIGNATURE[2:]).alias("s"), "hit")

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reefline.constants import ATTACK_CLASSES, JOB_STATUSES, SPECIES_CHART_LABELS
 from reefline.functions.text import lookup
 
-FATAL = F.col("fatal").eqNullSafe(F.lit(True))
-NOT_FATAL = F.col("fatal").eqNullSafe(F.lit(False))
+def is_fatal(value: bool = True) -> Column:
+    return F.col("fatal").eqNullSafe(F.lit(value))
 
 
 def attacks(incidents: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _tally(*extra: Column) -> list[Column]:
 
 
 def _fatal() -> Column:
-    return F.count_if(FATAL).alias("fatal")
+    return F.count_if(is_fatal()).alias("fatal")
 
 
 def overview(incidents: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def overview(incidents: DataFrame) -> DataFrame:
     cells = attacks(incidents).groupBy(
         F.col("country"), species_label().alias("species")
     ).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(FATAL).alias("f"),
+        F.count(F.lit(1)).alias("n"), F.count_if(is_fatal()).alias("f"),
         F.min(year).alias("y0"), F.max(year).alias("y1"),
     )
     country, species = F.col("country"), F.col("species")
@@ -97,7 +97,7 @@ def fatality_trend(incidents: DataFrame) -> DataFrame:
     return (
         attacks(incidents).filter(F.col("incident_date").isNotNull())
         .groupBy(F.year("incident_date").alias("year"))
-        .agg(_fatal(), F.count_if(NOT_FATAL).alias("non_fatal")).orderBy("year")
+        .agg(_fatal(), F.count_if(is_fatal(False)).alias("non_fatal")).orderBy("year")
     )
 
 
