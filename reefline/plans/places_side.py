@@ -175,16 +175,16 @@ def _(fx):
 
 
 @query("G12_place_reuse", """
-SELECT id, cast(length(location_description) AS double) AS longitude, (SELECT count(DISTINCT concat(location_description, '|', coalesce(state_province, ''), '|', country)) FROM incidents_full_v) AS lookups
-FROM incidents_full_v""")
+SELECT id, cast(length(location_description) AS double) AS longitude FROM incidents_full_v
+UNION ALL SELECT -count(DISTINCT concat(location_description, '|', coalesce(state_province, ''), '|', country)) AS id, cast(NULL AS double) AS longitude FROM incidents_full_v""")
 def _(fx):
     rows = conform(fx["incidents_full_v"], INCIDENTS)
     keys = places.distinct_places(rows)
     answers = keys.select("place_key", F.length("location_description").cast("double").alias("longitude"),
                           F.lit(1.0).alias("latitude"))
-    counted = places.reuse_points(rows, answers).select("id", "longitude")
-    total = keys.agg(F.count(F.lit(1)).alias("lookups")).withColumn("_one", F.lit(1))
-    return counted.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    # the extra row tells how many lookups were needed, as a negative id
+    lookups = keys.agg((-F.count(F.lit(1))).alias("id")).withColumn("longitude", F.lit(None).cast("double"))
+    return places.reuse_points(rows, answers).select("id", "longitude").unionByName(lookups)
 
 
 MANIFEST = """SELECT CASE WHEN o_orderkey % 5 = 0 THEN concat('GONE-', cast(o_orderkey AS string)) ELSE concat('CASE-', cast(year(o_orderdate) AS string), '-', lpad(cast(o_orderkey AS string), 7, '0')) END AS case_number,
