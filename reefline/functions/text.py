@@ -128,6 +128,12 @@ def search_tokens(text: Column) -> Column:
 
 
 def matches_all_tokens(text: Column, query: str) -> Column:
-    """Every token of the query occurs in the text; an empty query matches nothing."""
+    """Every token of the query occurs in the text; an empty query matches nothing.
+
+    A stem begins the word it comes from, so a text lacking a stem as plain substring is
+    refused without being split into words.
+    """
     wanted = search_tokens(F.lit(query))
-    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, search_tokens(text))) == 0)
+    plausible = let(F.lower(text), lambda low: F.forall(wanted, lambda t: F.contains(low, t)))
+    return (F.size(wanted) > 0) & plausible & (
+        F.size(F.array_except(wanted, search_tokens(text))) == 0)

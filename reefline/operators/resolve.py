@@ -132,18 +132,22 @@ def match_cascade(reports: DataFrame, report_sources: DataFrame, sources: DataFr
                   incidents: DataFrame, report: str = "submission_id") -> DataFrame:
     """report, incident_id, case_number, matched_by: URL first, then headline, then place.
 
-    Each step only sees the reports the step before left open.
+    The reduction of the stored side dominates each step and does not depend on the reports,
+    so the steps run side by side and the first one with a hit counts.
     """
-    def open_after(rows: DataFrame, done: DataFrame) -> DataFrame:
-        return rows.join(done.select(report), report, "left_anti")
-    by_url = match_by_url(report_sources, sources, incidents, report)
-    by_title = match_by_headline(open_after(report_sources, by_url), sources, incidents, report)
-    rest = open_after(open_after(reports, by_url), by_title)
-    by_place = match_by_place(rest, incidents, report)
-    found = by_url.withColumn("matched_by", F.lit("url")).unionByName(
-        by_title.withColumn("matched_by", F.lit("headline"))).unionByName(
-        by_place.withColumn("matched_by", F.lit("place")))
-    return reports.select(report).join(found, report, "left")
+    steps = (
+        ("url", match_by_url(report_sources, sources, incidents, report)),
+        ("headline", match_by_headline(report_sources, sources, incidents, report)),
+        ("place", match_by_place(reports, incidents, report)))
+    found = None
+    for n, (name, rows) in enumerate(steps):
+        part = rows.select(report, F.struct(
+            F.lit(n).alias("step"), "case_number", "incident_id", F.lit(name).alias("matched_by"))
+            .alias("hit"))
+        found = part if found is None else found.unionByName(part)
+    first = found.groupBy(report).agg(F.min("hit").alias("hit"))
+    return reports.select(report).join(first, report, "left").select(
+        report, "hit.incident_id", "hit.case_number", "hit.matched_by")
 
 
 def leaders_within(reports: DataFrame, report_sources: DataFrame, order: str = "submission_id",

@@ -83,7 +83,7 @@ leaders AS (SELECT submission_id, min(leader) AS leader FROM walk GROUP BY 1)"""
 def _batch(fx):
     return lifecycle.submit(
         fx["submissions_v"].drop("case_number"), fx["submission_sources_v"], fx["incidents_v"],
-        fx["sources_v"], fx.sql(COUNTERS), YEAR)
+        fx.spread("sources_v", "lineitem", "incident_id"), fx.sql(COUNTERS), YEAR)
 
 
 @query("I09_submission_outcome", f"""

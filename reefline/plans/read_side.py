@@ -80,7 +80,7 @@ SELECT doc_id AS id FROM words WHERE list_contains(t, 'ention') AND list_contain
 UNION ALL
 SELECT doc_id AS id FROM documents WHERE contains(concat('DOC-', cast(doc_id AS string)), 'the entions whin')""")
 def _(fx):
-    docs = fx["documents"].select(
+    docs = fx.spread("documents", "documents", "doc_id").select(
         F.col("doc_id").alias("id"), F.col("text").alias("description"),
         F.lit(None).cast("string").alias("location_description"),
         F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("victim_name"),
