@@ -80,7 +80,7 @@ def capture(documents: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def insert_absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Only the rows whose key is not stored yet; the first row wins inside the batch."""
+    """Only the rows whose key is not stored yet, one per key.  Rows of one key are taken as equal."""
     return new.join(existing.select(*keys), keys, "left_anti").dropDuplicates(keys)
 
 

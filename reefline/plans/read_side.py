@@ -197,6 +197,13 @@ def _(fx):
     return stats.country_chart(fx["incidents_v"])
 
 
+@query("D07_year_chart", f"""
+SELECT cast(year(incident_date) AS int) AS year, count(*) FILTER (fatal) AS fatal, count(*) - count(*) FILTER (fatal) AS non_fatal
+FROM incidents_v WHERE {ATTACK} AND incident_date IS NOT NULL GROUP BY 1""")
+def _(fx):
+    return stats.year_chart(fx["incidents_v"])
+
+
 @query("D07_species_chart", f"""
 SELECT CASE species WHEN 'Carcharodon carcharias' THEN 'Great White' WHEN 'Galeocerdo cuvier' THEN 'Tiger Shark'
  WHEN 'Carcharhinus leucas' THEN 'Bull Shark' ELSE species END AS species, count FROM ({SPECIES_SQL})""")

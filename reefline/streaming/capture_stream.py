@@ -32,12 +32,14 @@ def without_redeliveries(items: DataFrame) -> DataFrame:
 def capture_batch(root: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folded = fold_repeats(batch.drop("_at"))
+        # read three times below; the stateful part of the plan must run once
+        folded = fold_repeats(batch.drop("_at")).persist()
         stored = store.get(spark, root, "evidence", SOURCE_DOCUMENTS, before=batch_id)
         fresh = store.unseen(folded, stored, "dedup_key")
         store.put(conform(fresh, SOURCE_DOCUMENTS), root, "evidence", batch_id)
         store.put(folded.select("dedup_key", F.col("last_seen_at").alias("seen_at")), root,
                   "sightings", batch_id)
+        folded.unpersist()
     return run
 
 

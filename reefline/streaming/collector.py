@@ -49,10 +49,10 @@ def route_batch(items: DataFrame, responses: DataFrame, verifications: DataFrame
 def collect_batch(root: str, responses: DataFrame, verifications: DataFrame):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folded = fold_repeats(batch.drop("_at"))
+        folded = fold_repeats(batch.drop("_at")).persist()
         stored = store.get(spark, root, "evidence", SOURCE_DOCUMENTS, before=batch_id)
         fresh = store.unseen(folded, stored, "dedup_key")
-        # three tables come from the same routed rows: keep them for the three writes
+        # four tables come from the same routed rows: keep them for the writes
         routed = route_batch(fresh, responses, verifications).persist()
         store.put(conform(routed, SOURCE_DOCUMENTS), root, "evidence", batch_id)
         promoted = F.col("route") == "candidate"
@@ -70,6 +70,7 @@ def collect_batch(root: str, responses: DataFrame, verifications: DataFrame):
         store.put(conform(observed, OBSERVATIONS), root, "observations", batch_id)
         store.put(routed.select(*ROUTES.names), root, "routes", batch_id)
         routed.unpersist()
+        folded.unpersist()
     return run
 
 
