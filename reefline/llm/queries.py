@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reefline.llm import packing, quality
-from reefline.llm.common import read
+from reefline.llm import exact_dedup, mixing, packing, quality, sharding
+from reefline.llm.common import read, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.group_documents(read(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept",
+        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP3_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32"))
+    return sharding.shuffle_into_shards(rows).withColumns(
+        {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), F.array("source")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(quality.HOLD_OUT_MOD)) == 0
 
@@ -36,6 +62,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_sharding": op5_sharding,
+    "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": OP3_SQL,
+    "op8_mixing": mixing.ORACLE,
+}
