@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reefline.llm import exact_dedup, mixing, packing, quality, sharding
+from reefline.llm import chat, exact_dedup, mixing, packing, quality, sharding, topk
 from reefline.llm.common import read, text_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +42,61 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+TOP_K, QUERY_EVERY = 5, 50
+
+
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("vec"))
+    queries = vectors.filter(F.col("vec_id") % QUERY_EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    return topk.top_k(vectors, queries, TOP_K)
+
+
+OP1_SQL = f"""
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS vec FROM embeddings
+           WHERE embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec::DOUBLE[], c.vec::DOUBLE[])::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % {QUERY_EVERY} = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP_K}
+"""
+
+
+# A conversation whose texts hold the template's own control strings
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(
+            ("user", "assistant"))])).alias("t")).select(
+        F.lit(-1).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(CONTROL_TEXT).alias("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    formatted = chat.format_turns(chat.canonical_turns(chat.records(rows)).select("conv_id", "turns"))
+    back = chat.read_back(formatted.select("conv_id", "formatted", "loss_spans"))
+    told = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("read_turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP6_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, role, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS own(i, role)),
+marked AS (
+  SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^<\\[\\\\]', '', 'g')) + 3
+            + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END AS chars FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), F.array("source")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -61,13 +116,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sharding": op5_sharding,
+    "op6_chat_formatting": op6_chat_formatting,
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {
+    "op1_exact_topk": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op6_chat_formatting": OP6_SQL,
     "op8_mixing": mixing.ORACLE,
 }
