@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reefline.llm import chat, exact_dedup, mixing, packing, quality, sharding, topk
+from reefline.llm import chat, exact_dedup, minhash, mixing, packing, quality, sharding, topk
 from reefline.llm.common import read, text_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,14 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP4_RULE = minhash.Rule(width=3, percent=85)
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), OP4_RULE).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"),
@@ -119,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_mixing": op8_mixing,
