@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reefline.llm import chat, exact_dedup, minhash, mixing, packing, quality, sharding, topk
+from reefline.llm import chat, exact_dedup, minhash, mixing, packing, quality, recompression, sharding, suffix_sort, topk
 from reefline.llm.common import read, text_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -105,6 +105,11 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sort.remove_repeated_bytes(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), F.array("source")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -123,6 +128,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeated_words(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_packing": op2_packing,
@@ -130,8 +140,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_topk": OP1_SQL,
