@@ -15,9 +15,9 @@ from reefline.session import work_folder
 # bytes.split() without an argument splits at exactly these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # Bytes of text that a Python worker turns into arrays at once.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 # Entries of a worker's word cache, and the longest word it holds.
-CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 200_000, 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """Arrow batches of fewer rows for the session: whole texts are long, and both sides hold a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def bounded(df: DataFrame, rows: int, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
     """Broadcast only where the counted rows fit the limit; beyond it the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

@@ -19,10 +19,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from reefline.llm.common import CACHE_WORDS, bounded, buffers, chunks, ragged, running_totals, stored, text_of
+from reefline.llm.common import CACHE_WORDS, bounded, chunks, ragged, running_totals, small_batches, stored, text_of
 
 WINDOW = 4096
 END_ID = 2
@@ -131,7 +132,7 @@ class ChunkTokens:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind, and the count for each text."""
-        if self.chunks.full(2 * CACHE_WORDS):
+        if self.chunks.full(CACHE_WORDS):
             self._start_chunks()
         words: list[str | None] = []
         ends = []
@@ -152,7 +153,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
     coder = ChunkTokens(path, end_id)
     part, before = TaskContext.get().partitionId(), 0
     for batch in batches:
-        sizes = np.diff(buffers(batch.column("text"))[0])
+        sizes = pc.binary_length(batch.column("text")).to_numpy()
         for start, stop in chunks(sizes):
             rows = batch.slice(start, stop - start)
             ids, counts = coder.encode(rows.column("text").to_pylist())
@@ -187,24 +188,43 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         ], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("ids")
+        values = lists.flatten().to_numpy().astype("<u4")
+        borders = np.concatenate([[0], np.cumsum(batch.column("length").to_numpy())])
+        view = memoryview(values.tobytes())
+        sums = [zlib.crc32(view[4 * a:4 * b]) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+        kept = [c for c in batch.schema.names if c != "ids"]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c) for c in kept] + [pa.array(sums, pa.int64())], [*kept, "ids_crc32"])
+
+
+PLACE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long"
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID,
+         digests: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
+    With `digests` a piece has `ids_crc32`, the CRC-32 of its ids as little-endian 32-bit values, in
+    place of the ids.
     Only `doc_id` and `text` of `docs` are read.  A null or empty text gives the end id alone.
     Repeated rows and null ids are packed like any other row.  A text of any length is cut over as
     many windows as it needs.  No documents give no pieces.  All windows but the last are full.
     """
     tokens = stored(
-        docs.select("doc_id", text_of().alias("text")).mapInArrow(
+        small_batches(docs).select("doc_id", text_of().alias("text")).mapInArrow(
             partial(_tokenize, path=tokenizer_path, end_id=end_id),
             "doc_id long, part int, before long, doc_tokens long, ids array<int>"), "tokens")
     totals = stored(running_totals(
         tokens.groupBy("part").agg(F.sum("doc_tokens").alias("_tokens")), "part", "_tokens", "base"), "places")
     # at most one row for each partition of the first pass
     places = bounded(totals, totals.count(), 32)
-    return tokens.join(places, "part").mapInArrow(
-        partial(_cut, window=window),
-        "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    placed = tokens.join(places, "part")
+    if digests:
+        return placed.mapInArrow(lambda batches: _digest(_cut(batches, window)), f"{PLACE}, ids_crc32 long")
+    return placed.mapInArrow(partial(_cut, window=window), f"{PLACE}, ids array<int>")
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = PAD_ID) -> DataFrame:
@@ -220,21 +240,3 @@ def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = PAD_ID) ->
         F.concat("_ids", F.array_repeat(F.lit(pad_id), F.lit(window) - n)))
     return joined.select("sequence_id", ids.alias("_ids")).select(
         "sequence_id", n.cast("long").alias("tokens"), padded.alias("ids"))
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("ids")
-        values = lists.flatten().to_numpy().astype("<u4")
-        borders = np.concatenate([[0], np.cumsum(batch.column("length").to_numpy())])
-        view = memoryview(values.tobytes())
-        sums = [zlib.crc32(view[4 * a:4 * b]) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
-        kept = [c for c in batch.schema.names if c != "ids"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in kept] + [pa.array(sums, pa.int64())], [*kept, "ids_crc32"])
-
-
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with the CRC-32 of their ids (as little-endian 32-bit values) in place of the ids."""
-    return pieces.mapInArrow(
-        _digest, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
