@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from reefline.llm.common import WORD_PATTERN, bounded, text_of
+from reefline.llm.common import WORD_PATTERN, bounded, stored, text_of
 
 MAX_USES = 2
 SHARE = 1.5
@@ -62,42 +62,44 @@ def route(patterns: list[Pattern], quotas: dict, uses: int = MAX_USES) -> None:
     used = {pattern.key: 0 for pattern in patterns}
     for use in range(1, uses + 1):
         for start in patterns:
-            while used[start.key] < use * start.words:
-                came: dict = {start.key: None}
-                queue, end = deque([start]), None
-                while queue and end is None:
-                    at = queue.popleft()
-                    for source in at.sources:
-                        if ("source", source) in came:
-                            continue
-                        came["source", source] = at
-                        if missing.get(source, 0) > 0:
-                            end = source
-                            break
-                        for other in owners[source]:
-                            if other.key not in came and other.flow[source] > 0:
-                                came[other.key] = source
-                                queue.append(other)
-                if end is None:
-                    break
-                steps, source = [], end
-                while True:
-                    pattern = came["source", source]
-                    back = came[pattern.key]
-                    steps.append((pattern, source, back))
-                    if back is None:
-                        break
-                    source = back
-                amount = min([missing[end], use * start.words - used[start.key],
-                              *(p.flow[b] for p, _, b in steps if b is not None)])
-                for pattern, source, back in steps:
+            while used[start.key] < use * start.words and (path := _path(start, owners, missing)):
+                amount = min(missing[path[0][1]], use * start.words - used[start.key],
+                             *(pattern.flow[back] for (pattern, _), (_, back) in zip(path, path[1:])))
+                for pattern, source in path:
                     pattern.flow[source] += amount
-                    if back is not None:
-                        pattern.flow[back] -= amount
-                missing[end] -= amount
+                for (pattern, _), (_, back) in zip(path, path[1:]):
+                    pattern.flow[back] -= amount
+                missing[path[0][1]] -= amount
                 used[start.key] += amount
 
 
+def _path(start: Pattern, owners: dict, missing: dict) -> list[tuple[Pattern, str | None]]:
+    """Shortest path of free words to a source that misses some, from its end: (pattern, source it serves).
+
+    A pattern on the way gives up words for the next step's source; empty if there is no path.
+    """
+    came = {start.key: ()}
+    reached: dict = {}
+    queue = deque([start])
+    while queue:
+        at = queue.popleft()
+        for source in at.sources:
+            if source in reached:
+                continue
+            reached[source] = at
+            if missing.get(source, 0) > 0:
+                path = [(at, source)]
+                while came[path[-1][0].key]:
+                    back = came[path[-1][0].key][0]
+                    path.append((reached[back], back))
+                return path
+            for other in owners[source]:
+                if other.key not in came and other.flow[source] > 0:
+                    came[other.key] = (source,)
+                    queue.append(other)
+    return []
+
+
 def _pattern(sources: Column) -> Column:
     # "s" marks a name, "n" the missing source; the separator sorts before every other character
     return F.array_join(F.sort_array(F.array_distinct(F.transform(
@@ -106,7 +108,7 @@ def _pattern(sources: Column) -> Column:
 
 def mix(docs: DataFrame, sources: Column, seed: int = SEED, share: float = SHARE,
         weights: tuple = WEIGHTS, uses: int = MAX_USES) -> DataFrame:
-    """One row per document: doc_id, size, pattern, target and source_size of its first source, taken,
+    """One row per document: doc_id, text_hash, size, pattern, target and source_size of its first source, taken,
     allocated (words by source).
 
     `sources` gives the array of sources of a document; a null source is a source of its own and
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, sources: Column, seed: int = SEED, share: float = SHARE
     """
     text = text_of()
     rows = docs.select("doc_id", text.alias("_text"), _pattern(sources).alias("pattern")).select(
-        "doc_id", "pattern", F.regexp_count("_text", F.lit(WORD_PATTERN)).cast("long").alias("size"),
+        "doc_id", "pattern", F.xxhash64("_text").alias("text_hash"), F.regexp_count("_text", F.lit(WORD_PATTERN)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("_text"))))
         .alias("_order"))
     found = rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
@@ -171,21 +173,22 @@ def _taken(placed: DataFrame, uses: int) -> DataFrame:
                                                  lambda t, x: t + x["words"]).alias("low"), r["words"].alias("words")))
     allocated = F.transform(ends, lambda r: F.struct(
         r["source"].alias("source"), words(r["low"], r["low"] + r["words"]).alias("words")))
-    return placed.select("doc_id", "size", "pattern", "source_size", "target",
+    return placed.select("doc_id", "text_hash", "size", "pattern", "source_size", "target",
                          words(F.lit(0).cast("long"), F.col("_flow")).alias("taken"), allocated.alias("allocated"))
 
 
-def materialise(docs: DataFrame, mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Whole documents as often as the mix takes them: `taken / size`, rounded to the nearest use.
+def materialise(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of `docs`, each whole and as often as the mix takes it: `taken / size`, rounded.
 
-    `docs` needs one row per doc_id.  Documents that the mix leaves out are dropped.
+    Documents that the mix leaves out are gone.  Rows alike share their uses evenly.
     """
-    own = {c: f"_doc_{i}" for i, c in enumerate(columns)}
-    chosen = mixed.filter("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_uses"))
-    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
-    return renamed.join(chosen, renamed[own["doc_id"]] == chosen["_id"]).withColumn(
-        "_use", F.explode(F.sequence(F.lit(1), F.col("_uses")))).filter("_uses > 0").select(
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    chosen = stored(mixed.filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_uses")).filter("_uses > 0"), "chosen")
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.xxhash64(text_of()).alias("_own"))
+    joined = renamed.join(bounded(chosen, chosen.count(), 32), (F.col("_own") == F.col("_hash"))
+                          & F.col(own["doc_id"]).eqNullSafe(F.col("_id")))
+    return joined.withColumn("_use", F.explode(F.sequence(F.lit(1), "_uses"))).select(
         *[F.col(n).alias(c) for c, n in own.items()])
 
 
