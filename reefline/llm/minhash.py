@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reefline.llm.common import WordHashes, buffers, chunks, mix64, small_batches, stored, text_of
+from reefline.llm.common import WordHashes, bounded, buffers, chunks, mix64, small_batches, stored, text_of
 from reefline.llm.superminhash import shingles, signatures
 from reefline.llm.union_find import components
 
@@ -169,6 +169,17 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         out(members.filter("n = 0").withColumn("component_id", F.col("doc_id"))))
 
 
+def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of `docs` that stay: of each group of near-duplicates the one with the least doc_id."""
+    dropped = stored(near_duplicates(docs, rule).filter("not kept").select(
+        F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_hash")).distinct(), "dropped")
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], text_hash(text_of()).alias("_own"))
+    left = renamed.join(bounded(dropped, dropped.count(), 32), (F.col("_own") == F.col("_hash"))
+                        & F.col(own["doc_id"]).eqNullSafe(F.col("_dropped")), "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in own.items()])
+
+
 def _live_entries(rows: DataFrame) -> DataFrame:
     """Band entries of buckets that hold more than one row: band, size, row, n, bands, marks."""
     spread = rows.select("row", F.explode("bands").alias("band"))

@@ -12,15 +12,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from reefline.llm.common import CACHE_WORD_BYTES, WordHashes, buffers, mix64, text_of
+from reefline.llm.common import CACHE_WORD_BYTES, WordHashes, buffers, mix64, small_batches, text_of
 
 BITS = 18
 SAMPLE = 12_000
 THRESHOLD = 0.3
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.2, 1.0
+LEAST_UPDATES, MOST_EPOCHS = 20_000, 30
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.1, 1.0
+# Length of the shapes' block of features; that of words and pairs has length one.
+SHAPE_LENGTH = 3.0
 HOLD_OUT_MOD = 5
 
 
@@ -41,18 +44,23 @@ class Shapes(WordHashes):
 def features(data: bytes, words: WordHashes, shapes: Shapes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of words, word pairs and word shapes with their values; slot 0 is the bias.
 
-    The values of words and pairs, and those of shapes, are logarithmic counts scaled to unit length.
+    Beside the shapes stands, for each word, whether it repeats the one before.  Both blocks have
+    a fixed length; the shapes' values are roots of their shares, so that they say how much of a text
+    is written in a way, however long it is.
     """
     parts = data.split()
     slots, values = [np.zeros(1, np.int32)], [np.ones(1, np.float32)]
     if parts:
         one = words.of(parts)
         pairs = mix64(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:])
-        for block in (np.concatenate([mix64(one), pairs]), mix64(shapes.of(parts))):
+        again = np.append(np.uint64(1), np.where(one[1:] == one[:-1], np.uint64(2), np.uint64(1)))
+        for block, root in ((np.concatenate([mix64(one), pairs]), False),
+                            (mix64(np.concatenate([shapes.of(parts), again])), True)):
             found, counts = np.unique(block >> np.uint64(64 - bits), return_counts=True)
-            scaled = 1.0 + np.log(counts)
+            scaled = np.sqrt(counts) if root else 1.0 + np.log(counts)
             slots.append(found.astype(np.int32))
-            values.append((scaled / np.sqrt((scaled * scaled).sum())).astype(np.float32))
+            length = SHAPE_LENGTH if root else 1.0
+            values.append((length * scaled / np.sqrt((scaled * scaled).sum())).astype(np.float32))
     return np.concatenate(slots), np.concatenate(values)
 
 
@@ -62,14 +70,16 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[bytes, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-proximal over the rows in the given order, `epochs` times; float32 weights.
+    """FTRL-proximal over the rows in the given order; float32 weights.
+
+    `epochs` passes, and more where rows are few, up to LEAST_UPDATES updates or MOST_EPOCHS passes.
 
     No rows give weights of zero, hence scores of one half.
     """
     words, shapes = WordHashes(), Shapes()
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     held = [(*features(data, words, shapes, bits), label) for data, label in rows]
-    for _ in range(epochs):
+    for _ in range(max(epochs, min(MOST_EPOCHS, LEAST_UPDATES // max(1, len(held))))):
         for slots, values, label in held:
             zs, ns = z[slots], n[slots]
             w = _weights(zs, ns)
@@ -107,26 +117,44 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
     return np.frombuffer(model[0], np.float32) if model else np.zeros(1 << bits, np.float32)
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared, bits: int) -> Iterator[pa.RecordBatch]:
+def _scores(column: pa.Array, weights: np.ndarray, words: WordHashes, shapes: Shapes, bits: int) -> np.ndarray:
+    offsets, body = buffers(column)
+    data = body.tobytes()
+    out = np.zeros(len(column))
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        slots, values = features(data[a:b], words, shapes, bits)
+        out[i] = weights[slots] @ values
+    return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
+
+
+def _score(batches: Iterator[pa.RecordBatch], shared, bits: int, least: float | None) -> Iterator[pa.RecordBatch]:
+    """Scores in place of the last column, or with `least` the rows that reach it, without that column."""
     weights = np.frombuffer(shared.value, np.float32).astype(np.float64)
     words, shapes = WordHashes(), Shapes()
     for batch in batches:
-        offsets, body = buffers(batch.column("text"))
-        data = body.tobytes()
-        out = np.zeros(batch.num_rows)
-        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            slots, values = features(data[a:b], words, shapes, bits)
-            out[i] = weights[slots] @ values
-        kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in kept] + [pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -30, 30))))],
-            [*kept, "score"])
-
-
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str] = ["doc_id"]) -> DataFrame:
-    """`keep` columns and `score` (0 to 1) for every row; null and empty texts get the bias' score."""
-    bits = int(np.log2(len(weights)))
+        last = batch.num_columns - 1
+        found = _scores(batch.column(last), weights, words, shapes, bits)
+        kept, names = [batch.column(i) for i in range(last)], batch.schema.names[:last]
+        if least is None:
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], [*names, "score"])
+        else:
+            yield pa.RecordBatch.from_arrays(kept, names).filter(pa.array(found >= least))
+
+
+def _apply(docs: DataFrame, weights: np.ndarray, least: float | None, schema) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
-    plain = docs.select(*keep, text_of("text").alias("_text")).select(*keep, F.col("_text").alias("text"))
-    schema = docs.select(*keep).schema.add("score", "double")
-    return plain.mapInArrow(partial(_score, shared=shared, bits=bits), schema)
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if least is not None or c != "text"]
+    bits = int(np.log2(len(weights)))
+    return small_batches(docs).select(*own, text_of().alias("scored")).mapInArrow(
+        partial(_score, shared=shared, bits=bits, least=least), schema)
+
+
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Every row's columns but the text, with `score` (0 to 1); null and empty texts get the bias' score."""
+    return _apply(docs, weights, None, T.StructType(
+        [f for f in docs.schema.fields if f.name != "text"]).add("score", "double"))
+
+
+def accept(docs: DataFrame, weights: np.ndarray, least: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that score `least` or more, all columns as they are."""
+    return _apply(docs, weights, least, docs.schema)

@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack(read(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     weights = quality.fit(docs, labels.filter(~held_out()))
-    return quality.score(docs, weights).select(
+    return quality.score(docs.select("doc_id", "text"), weights).select(
         "doc_id", held_out().alias("held_out"), "score",
         F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
 

@@ -72,10 +72,8 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -
 
     Rows are dealt by place, whatever they hold: nulls, ties and repeated rows are dealt like all
     others.  Shard sizes differ by one at most; slots run from 0 without gaps.  An empty table gives
-    no rows.  Columns of `df` named shard or slot are not allowed.
+    no rows.  Columns of `df` named shard or slot come back as input_shard and input_slot.
     """
-    if {"shard", "slot"} & set(df.columns):
-        raise ValueError("columns shard and slot are the result's own")
     own = {c: f"c{i}" for i, c in enumerate(df.columns)}
     row_in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     fixed = stored(
@@ -102,5 +100,5 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -
         W.partitionBy("shard").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = W.partitionBy("shard", "_slice").orderBy("_deal", "_row")
     return (sliced.withColumn("_at", F.row_number().over(inside)).join(before, ["shard", "_slice"])
-            .select(*[F.col(n).alias(c) for c, n in own.items()], "shard",
+            .select(*[F.col(n).alias(f"input_{c}" if c in ("shard", "slot") else c) for c, n in own.items()], "shard",
                     (F.col("_before") + F.col("_at") - 1).cast("long").alias("slot")))
