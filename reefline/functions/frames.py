@@ -53,22 +53,21 @@ def rank_within(df: DataFrame, group: str, order: list[str], name: str = "rank")
         group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
     inside = W.partitionBy(group, "_slice").orderBy(*order)
+    numbered = sliced.withColumn("_pos", F.row_number().over(inside))
+    # rows without a group are a group of their own, so the join takes nulls as equal
+    offsets = offsets.select(F.col(group).alias("_group"), F.col("_slice").alias("_of"), "_before")
     return (
-        sliced.withColumn("_pos", F.row_number().over(inside))
-        .join(offsets, [group, "_slice"])
+        numbered.join(offsets, numbered[group].eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_of")))
         .withColumn(name, F.col("_before") + F.col("_pos"))
-        .drop("_slice", "_pos", "_before")
+        .drop("_slice", "_pos", "_before", "_group", "_of")
     )
 
 
-def chunk_numbers(df: DataFrame, key: str, row_id: str, size: int) -> DataFrame:
-    """Spread the rows of each key over ceil(n / size) chunks by hash of the row id.
+def unseen(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not stored.
 
-    Collecting per (key, chunk) then holds about `size` rows however large the key is.
+    The long stored side is only reduced to the keys of this batch (a semi-join that needs
+    no shuffle of it while the batch is small); the short remainder does the anti-join.
     """
-    counts = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_chunks"))
-    return (
-        df.join(counts, key)
-        .withColumn("chunk", F.pmod(F.xxhash64(row_id), F.col("_chunks")).cast("int"))
-        .drop("_chunks")
-    )
+    hit = stored.select(key).join(new.select(key), key, "left_semi").distinct()
+    return new.join(hit, key, "left_anti")

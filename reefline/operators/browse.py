@@ -7,10 +7,9 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reefline.constants import PUBLIC_FIELDS, PUBLIC_SOURCE_FIELDS, SORT_FIELDS
-from reefline.functions.frames import chunk_numbers, pg_order
+from reefline.functions.frames import pg_order, rank_within
 from reefline.functions.text import contains_ci, csv_values, matches_all_tokens
 
-SOURCES_PER_CHUNK = 1000
 
 
 # --- predicates --------------------------------------------------------------------
@@ -131,24 +130,26 @@ def audit_page(audit: DataFrame, incident_id=None, page: int = 1, per_page: int
 
 
 # --- nested sources and disclosure ---------------------------------------------------
-def nest_sources(sources: DataFrame, fields: list[str] | None = None,
-                 per_chunk: int = SOURCES_PER_CHUNK) -> DataFrame:
-    """incident_id, chunk, sources[]; ordinary incidents have the single chunk 0.
+def nest_sources(sources: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """incident_id, sources[] in the order of their ids: one row per incident, so one array each.
 
-    An incident with very many sources gets several rows of bounded size instead of one
-    unbounded array.
+    Where an incident may have more sources than a row should hold, read `source_list` instead.
     """
     fields = fields or [c for c in sources.columns if c != "incident_id"]
     item = F.struct(F.col("id").alias("_order"), *[F.col(f) for f in fields if f != "id"],
                     *([F.col("id")] if "id" in fields else []))
-    chunked = chunk_numbers(sources, "incident_id", "id", per_chunk)
-    packed = chunked.groupBy("incident_id", "chunk").agg(
+    packed = sources.groupBy("incident_id").agg(
         F.sort_array(F.collect_list(item)).alias("sources")
     )
     return packed.withColumn("sources", F.transform(
         "sources", lambda s: F.struct(*[s[f].alias(f) for f in fields])))
 
 
+def source_list(sources: DataFrame) -> DataFrame:
+    """The sources as a table of their own, numbered within their incident in the order of their ids."""
+    return rank_within(sources, "incident_id", ["id"], "position")
+
+
 def attach_sources(incidents: DataFrame, sources: DataFrame,
                    fields: list[str] | None = None) -> DataFrame:
     """Each incident with its sources; incidents without any keep an empty array."""
@@ -157,7 +158,7 @@ def attach_sources(incidents: DataFrame, sources: DataFrame,
                      "left_semi"), fields)
     joined = incidents.join(nested, incidents["id"] == nested["incident_id"], "left").drop(
         "incident_id")
-    return joined.withColumn("chunk", F.coalesce("chunk", F.lit(0))).withColumn(
+    return joined.withColumn(
         "sources", F.coalesce("sources", F.array().cast(nested.schema["sources"].dataType)))
 
 

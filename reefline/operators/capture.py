@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reefline.constants import (
     EXCERPT_CHARS, MAX_KEY_CHARS, SUBJECT_TERMS, SUMMARY_CHARS, TRUSTED_TERMS,
 )
-from reefline.functions.frames import top_per_key
+from reefline.functions.frames import top_per_key, unseen
 from reefline.functions.text import any_term, blank_to_null
 
 
@@ -71,11 +71,12 @@ def capture(documents: DataFrame, batch: DataFrame) -> DataFrame:
             (F.col(c) if offered[c] else F.lit(None)).cast(documents.schema[c].dataType).alias(c)
             for c in rest
         ]).alias("_new"))
-    both = stored.join(arrived, "dedup_key", "full_outer")
-    kept = F.when(F.col("_old").isNotNull(), F.col("_old")).otherwise(F.col("_new"))
-    return both.select(
-        "dedup_key", F.greatest("_seen", "_again").alias("last_seen_at"), kept.alias("_row"),
-    ).select(*[F.col(c) if c in ("dedup_key", "last_seen_at") else F.col(f"_row.{c}").alias(c)
+    # a left join lets the optimizer broadcast a small batch; an outer join would shuffle the bodies
+    moved = stored.join(arrived.select("dedup_key", "_again"), "dedup_key", "left").select(
+        "dedup_key", F.greatest("_seen", "_again").alias("last_seen_at"), F.col("_old").alias("_row"))
+    fresh = unseen(arrived, stored, "dedup_key").select(
+        "dedup_key", F.col("_again").alias("last_seen_at"), F.col("_new").alias("_row"))
+    return moved.unionByName(fresh).select(*[F.col(c) if c in ("dedup_key", "last_seen_at") else F.col(f"_row.{c}").alias(c)
                for c in columns])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reefline.functions.frames import top_per_key
+from reefline.functions.frames import top_per_key, unseen
 from reefline.functions.text import contains_ci
 from reefline.operators.browse import captured_range, in_list, page_of
 
@@ -74,7 +74,9 @@ def upsert_news(news: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFram
         F.struct(*[c for c in incoming.columns if c not in ("dedup_key", seq)]).alias("_new"))
     current = news.select("dedup_key", F.struct(*[c for c in news.columns if c != "dedup_key"])
                           .alias("_old"))
-    both = current.join(arrived, "dedup_key", "full_outer")
+    # the stored feed meets the batch in a left join, which needs no shuffle of it for a small batch
+    both = current.join(arrived, "dedup_key", "left").unionByName(
+        unseen(arrived, current, "dedup_key"), allowMissingColumns=True)
     fresh = F.col("_old").isNull()
     out = [F.col("dedup_key")]
     offered = set(incoming.columns)

@@ -14,17 +14,19 @@ from reefline.session import durable
 from reefline.schemas import AUDIT, INCIDENTS, SOURCES, conform
 
 AUTO_VERIFIED_ROLES = ["admin", "verified_contributor"]
-LABELS_PER_NOTE = 500
 
 
 # --- case numbers -------------------------------------------------------------------------
 def highest_suffix(incidents: DataFrame, prefix: str = "CASE") -> DataFrame:
-    """year, last_value: the largest number used per year among well-formed case numbers."""
+    """year, last_value: the largest number used per year among well-formed case numbers.
+
+    Numbers beyond 64 bits are left out; no allocated number can meet them.
+    """
     pattern = rf"^{prefix}-([0-9]{{4}})-([0-9]+)$"
     case = F.col("case_number")
     return incidents.filter(case.rlike(pattern)).groupBy(
         F.regexp_extract(case, pattern, 1).cast("int").alias("year")
-    ).agg(F.max(F.regexp_extract(case, pattern, 2).try_cast("int")).alias("last_value"))
+    ).agg(F.max(F.regexp_extract(case, pattern, 2).try_cast("bigint")).alias("last_value"))
 
 
 def case_number(prefix: str, year: Column, number: Column) -> Column:
@@ -59,17 +61,17 @@ def attach_coverage(coverage: DataFrame, sources: DataFrame,
     has_url = F.coalesce(F.length("source_url") > 0, F.lit(False))
     first = top_per_key(given.filter(has_url), ["incident_id", "source_url"],
                         [F.asc(report), F.asc("position")])
-    held = sources.filter(has_url).select("incident_id", "source_url")
+    held = sources.filter(has_url).select("incident_id", "source_url").join(
+        first.select("incident_id", "source_url"), ["incident_id", "source_url"], "left_semi").distinct()
     added = first.join(held, ["incident_id", "source_url"], "left_anti").unionByName(
         given.filter(~has_url))
     label = F.coalesce(blank_to_null(F.col("source_publisher")), blank_to_null(F.col("source_url")),
                        blank_to_null(F.col("source_title")), F.lit("source"))
-    # a note lists at most 500 labels; a longer report gets further notes
-    part = F.floor(F.col("position") / LABELS_PER_NOTE).alias("_part")
-    notes = added.groupBy("incident_id", report, part).agg(F.concat(
+    # one note per report, with all its labels
+    notes = added.groupBy("incident_id", report).agg(F.concat(
         F.lit("Merged duplicate coverage: "), F.array_join(F.transform(
             F.sort_array(F.collect_list(F.struct("position", label.alias("l")))),
-            lambda s: s["l"]), ", ")).alias("notes")).drop("_part")
+            lambda s: s["l"]), ", ")).alias("notes"))
     reports = coverage.select("incident_id", report).distinct()
     audit = reports.join(notes, ["incident_id", report], "left").select(
         "incident_id", report, F.lit("source_merged").alias("action"),

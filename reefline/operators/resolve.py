@@ -38,30 +38,29 @@ def match_by_url(reports: DataFrame, sources: DataFrame, incidents: DataFrame,
 
     `reports` has one row per report source.
     """
-    known = _sources_of_live(sources, incidents).filter(F.length("source_url") > 0).groupBy(
-        "source_url").agg(F.min(F.struct("case_number", F.col("incident_id").alias("id")))
-                          .alias("hit"))
     wanted = reports.filter(F.length("source_url") > 0).select(report, "source_url").distinct()
+    # the stored side first loses what no report asks for
+    asked = sources.join(wanted.select("source_url"), "source_url", "left_semi")
+    known = _sources_of_live(asked, incidents).groupBy("source_url").agg(
+        F.min(F.struct("case_number", F.col("incident_id").alias("id"))).alias("hit"))
     return _best(wanted.join(known, "source_url"), report)
 
 
 ODD_BLANKS = r"(?U)^\s|\s\s|[\s&&[^ ]]"
 
 
-def _stored_headlines(sources: DataFrame, incidents: DataFrame) -> DataFrame:
-    """headline -> lowest case whose sources show it in the searchable form.
+def _stored_headlines(sources: DataFrame, incidents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """headline, among the wanted ones -> lowest case whose sources show it in the searchable form.
 
     Equal headlines are not enough: a source of the same incident must also start, letter
     for letter, with the first 80 characters.  Nearly always it is the same source; the few
     headlines with odd blanks are looked up among the incident's other titles.
     """
     def keyed(rows: DataFrame) -> DataFrame:
-        titles = _sources_of_live(rows, incidents).select(
-            "incident_id", "case_number", "source_title").distinct()
-        found = titles.select(
-            "incident_id", "case_number", F.lower("source_title").alias("title"),
-            F.explode(headlines(F.col("source_title"))).alias("headline"))
-        return found.withColumn("prefix", F.substring("headline", 1, HEADLINE_PREFIX_CHARS))
+        found = rows.select("id", "incident_id", F.lower("source_title").alias("title"),
+                            F.explode(headlines(F.col("source_title"))).alias("headline"))
+        live = _sources_of_live(found.join(wanted, "headline", "left_semi"), incidents).drop("source_id")
+        return live.distinct().withColumn("prefix", F.substring("headline", 1, HEADLINE_PREFIX_CHARS))
 
     direct = F.startswith("title", F.col("prefix"))
     titled = sources.filter(F.col("source_title").isNotNull())
@@ -84,7 +83,7 @@ def match_by_headline(reports: DataFrame, sources: DataFrame, incidents: DataFra
                       report: str = "submission_id") -> DataFrame:
     wanted = reports.select(report, F.explode(headlines(F.col("source_title"))).alias("headline")
                             ).distinct()
-    return _best(wanted.join(_stored_headlines(sources, incidents), "headline"), report)
+    return _best(wanted.join(_stored_headlines(sources, incidents, wanted.select("headline")), "headline"), report)
 
 
 def contradicts(a_age: Column, b_age: Column, a_sex: Column, b_sex: Column) -> Column:
@@ -103,16 +102,18 @@ def match_by_place(reports: DataFrame, incidents: DataFrame,
     into an equi-join on date, class and cell.
     """
     placed = F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
-    stored = _live(incidents).filter(placed & F.col("incident_date").isNotNull()).groupBy(
-        *SIGNATURE).agg(F.min(F.struct("case_number", "id")).alias("hit"))
-    stored = stored.select(
-        "incident_date", "classification", match_cell(F.col("latitude"), F.col("longitude"))
-        .alias("cell"), F.struct(*SIGNATURE[2:]).alias("s"), "hit")
     asked = reports.filter(
         placed & (F.col("date_precision") == "exact") & F.col("incident_date").isNotNull())
     spots = asked.select(*SIGNATURE).distinct().withColumn("r", F.struct(*SIGNATURE)).withColumn(
         "cell", F.explode(match_block(F.col("latitude"), F.col("longitude")))).select(
         "incident_date", "classification", "cell", "r")
+    where = ["incident_date", "classification", "cell"]
+    # only incidents of a day, class and cell that some report asks about are reduced
+    stored = _live(incidents).filter(placed & F.col("incident_date").isNotNull()).withColumn(
+        "cell", match_cell(F.col("latitude"), F.col("longitude"))).join(
+        spots.select(*where), where, "left_semi").groupBy(*SIGNATURE, "cell").agg(
+        F.min(F.struct("case_number", "id")).alias("hit")).select(
+        *where, F.struct(*SIGNATURE[2:]).alias("s"), "hit")
     near = spots.join(stored, ["incident_date", "classification", "cell"]).filter(
         (haversine_km(F.col("r.latitude"), F.col("r.longitude"), F.col("s.latitude"),
                       F.col("s.longitude")) * 1000 <= MATCH_RADIUS_M)

@@ -98,7 +98,7 @@ kept AS (SELECT *, lag(seen) OVER (PARTITION BY site ORDER BY seen) AS before FR
 SELECT site, url AS source_url, title FROM kept WHERE coalesce(before, 0) < 25""")
 def _(fx):
     return pages.harvest(
-        fx.sql(INDEX_PAGES), fx.spread("pages", "pages", "url"), terms=["shark", "bite", "on the", "de la", "und "]).select("site", "source_url", "title")
+        fx.sql(INDEX_PAGES), fx["pages"], terms=["shark", "bite", "on the", "de la", "und "]).select("site", "source_url", "title")
 
 
 @query("A04_register_import", """
@@ -117,9 +117,9 @@ FROM (SELECT id, year_text, cast(regexp_extract(date_text, '^(\\d+)', 1) AS int)
   CASE WHEN cast(age_text AS int) <= 120 THEN cast(age_text AS int) END AS victim_age,
   concat_ws(' ', CASE WHEN activity_text <> '' THEN concat('Victim was ', lower(activity_text), '.') END, concat('Injury: ', injury_text, '.'),
     CASE WHEN species_text <> 'unknown' THEN concat('Species: ', species_text, '.') END) AS description
- FROM register_v WHERE cast(year_text AS int) BETWEEN 1996 AND 2000)""")
+ FROM register_v)""")
 def _(fx):
-    return register.import_register(fx.spread("register_v", "orders", "id"), 1996, 2000).select(
+    return register.import_register(fx["register_v"], 0, 9999).select(
         "id", "incident_date", "date_precision", "country", "classification", "victim_activity",
         "victim_injury_severity", "fatal", "incident_time", "shark_species_suspected",
         "shark_size_estimate", "victim_sex", "victim_age", "description")

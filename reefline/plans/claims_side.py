@@ -17,7 +17,7 @@ FENCE = "```"
 SELECT response_id, CASE response_id % 4 WHEN 0 THEN json_extract_string(response_text, '$.classification') WHEN 1 THEN 'provoked' END AS classification,
  response_id % 4 = 3 AS rejected FROM responses_v""")
 def _(fx):
-    parsed = normalize.parse_responses(fx.spread("responses_v", "orders", "response_id"))
+    parsed = normalize.parse_responses(fx["responses_v"])
     return parsed.select("response_id", F.col("answer.classification").alias("classification"),
                          F.col("object_text").isNull().alias("rejected"))
 
@@ -70,7 +70,7 @@ ITEMS = """SELECT id, CASE id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'reddit' WHE
 def _claims(fx):
     items = fx.sql(ITEMS).withColumn("dedup_key", item_key())
     return normalize.build_claims(normalize.parse_responses(
-        fx.spread("responses_v", "orders", "response_id")), items)
+        fx["responses_v"]), items)
 
 
 CLAIMS_SQL = """claims AS (SELECT i.id AS response_id, CASE WHEN i.id % 6 <> 0 THEN cast(submitted_at AS date) END AS incident_date,
@@ -100,7 +100,7 @@ FROM (SELECT id, location_description, latitude, CASE WHEN id % 9 = 0 THEN 'awfu
  victim_age * 3 AS victim_age, CASE WHEN id % 100 = 3 THEN NULL ELSE longitude + 30e0 END AS lon FROM incidents_v)
 WHERE length(location_description) > 8 OR coalesce(victim_injury_severity, 'fatal') = 'awful' OR victim_age > 120 OR lon > 180 OR (lon IS NULL) <> (latitude IS NULL)""")
 def _(fx):
-    rows = conform(fx.spread("incidents_v", "orders", "id"), INCIDENTS).withColumns({
+    rows = conform(fx["incidents_v"], INCIDENTS).withColumns({
         "victim_injury_severity": F.when(F.col("id") % 9 == 0, "awful").otherwise(
             F.col("victim_injury_severity")),
         "victim_age": F.col("victim_age") * 3,

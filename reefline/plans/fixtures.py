@@ -185,17 +185,6 @@ class Fixtures:
             self._known[name] = df
         return self._known[name]
 
-    def spread(self, name: str, table: str, key: str) -> DataFrame:
-        """The view with at least one partition per core, for work that is heavy per row.
-
-        Only a table that arrives in fewer splits than there are cores (one small file) is
-        redistributed; a large one comes in enough splits by itself and is left as it is.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        scan = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
-        enough = scan.select(scan.columns[0]).rdd.getNumPartitions() >= cores
-        return self[name] if enough else self[name].repartition(cores, key)
-
     def sql(self, text: str) -> DataFrame:
         """Spark SQL over the tables and views it names."""
         for name in [*BASE_TABLES, *VIEWS]:

@@ -80,7 +80,7 @@ SELECT doc_id AS id FROM words WHERE list_contains(t, 'ention') AND list_contain
 UNION ALL
 SELECT doc_id AS id FROM documents WHERE contains(concat('DOC-', cast(doc_id AS string)), 'the entions whin')""")
 def _(fx):
-    docs = fx.spread("documents", "documents", "doc_id").select(
+    docs = fx["documents"].select(
         F.col("doc_id").alias("id"), F.col("text").alias("description"),
         F.lit(None).cast("string").alias("location_description"),
         F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("victim_name"),
@@ -95,21 +95,26 @@ def _(fx):
     return fx["news_v"].filter(feed.news_search("100% S")).select("id", "title")
 
 
-@query("B07_public_view", """
-WITH s AS (SELECT incident_id, count(*) AS n_sources, min(source_title) AS first_title FROM sources_v GROUP BY 1)
+# every nested source, in order, as text
+NESTED = "coalesce(source_url, '~'), coalesce(source_title, '~'), coalesce(source_publisher, '~')"
+
+
+def _nested_text():
+    return F.array_join(F.transform("sources", lambda s: F.concat_ws("|", *[
+        F.coalesce(s[n], F.lit("~")) for n in ("source_url", "source_title", "source_publisher")])), ";")
+
+
+@query("B07_public_view", f"""
+WITH s AS (SELECT incident_id, count(*) AS n_sources, string_agg(concat_ws('|', {NESTED}), ';' ORDER BY id) AS sources FROM sources_v GROUP BY 1)
 SELECT i.id, i.case_number, i.location_precision,
  CASE WHEN location_precision = 'exact' THEN round_even(longitude, 3) ELSE round_even(longitude, 2) END AS longitude,
  CASE WHEN location_precision = 'exact' THEN round_even(latitude, 3) ELSE round_even(latitude, 2) END AS latitude,
- i.victim_sex, i.fatal, coalesce(s.n_sources, 0) AS n_sources, s.first_title
+ i.victim_sex, i.fatal, coalesce(s.n_sources, 0) AS n_sources, coalesce(s.sources, '') AS sources
 FROM incidents_v i LEFT JOIN s ON s.incident_id = i.id WHERE i.verification_status = 'verified'""")
 def _(fx):
     shown = browse.public_view(conform(fx["incidents_v"], INCIDENTS), conform(fx["sources_v"], SOURCES))
-    flat = shown.withColumn("n", F.size("sources")).withColumn(
-        "t", F.array_min(F.transform("sources", lambda s: s["source_title"])))
-    # an incident with very many sources comes as several chunks; bring them together
-    return flat.groupBy("id", "case_number", "location_precision", "longitude", "latitude",
-                        "victim_sex", "fatal").agg(
-        F.sum("n").alias("n_sources"), F.min("t").alias("first_title"))
+    return shown.select("id", "case_number", "location_precision", "longitude", "latitude", "victim_sex", "fatal",
+                        F.size("sources").alias("n_sources"), _nested_text().alias("sources"))
 
 
 @query("B08_point_lookup", """
@@ -123,20 +128,18 @@ def _(fx):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("C01_attach_sources", """
-WITH s AS (SELECT incident_id, count(*) AS n, count(source_url) AS urls, min(id) AS first_id, max(id) AS last_id FROM sources_v GROUP BY 1)
-SELECT i.id, coalesce(s.n, 0) AS n, coalesce(s.urls, 0) AS urls, s.first_id, s.last_id
-FROM incidents_v i LEFT JOIN s ON s.incident_id = i.id""")
+@query("C01_attach_sources", f"""
+WITH s AS (SELECT incident_id, count(*) AS n, string_agg(concat_ws('|', {NESTED}), ';' ORDER BY id) AS sources FROM sources_v GROUP BY 1)
+SELECT i.id, coalesce(s.n, 0) AS n, coalesce(s.sources, '') AS sources FROM incidents_v i LEFT JOIN s ON s.incident_id = i.id""")
+def _(fx):
+    nested = browse.attach_sources(fx["incidents_v"].select("id"), conform(fx["sources_v"], SOURCES))
+    return nested.select("id", F.size("sources").alias("n"), _nested_text().alias("sources"))
+
+
+@query("C01_source_list", """
+SELECT id, incident_id, row_number() OVER (PARTITION BY incident_id ORDER BY id) AS position FROM sources_v""")
 def _(fx):
-    nested = browse.attach_sources(fx["incidents_v"].select("id"), fx["sources_v"])
-    ids = F.transform("sources", lambda s: s["id"])
-    flat = nested.select(
-        "id", F.size("sources").alias("n"),
-        F.size(F.filter("sources", lambda s: s["source_url"].isNotNull())).alias("urls"),
-        F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"))
-    return flat.groupBy("id").agg(
-        F.sum("n").alias("n"), F.sum("urls").alias("urls"), F.min("first_id").alias("first_id"),
-        F.max("last_id").alias("last_id"))
+    return browse.source_list(fx["sources_v"]).select("id", "incident_id", F.col("position").cast("long").alias("position"))
 
 
 # --- statistics ----------------------------------------------------------------------

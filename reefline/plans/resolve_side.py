@@ -37,7 +37,7 @@ def _(fx):
 @query("C03_match_by_headline", f"WITH {LIVE}, {BY_TITLE} SELECT submission_id, case_number FROM by_title")
 def _(fx):
     return resolve.match_by_headline(
-        fx["submission_sources_v"], fx.spread("sources_v", "lineitem", "incident_id"), fx["incidents_v"]).select(
+        fx["submission_sources_v"], fx["sources_v"], fx["incidents_v"]).select(
         "submission_id", "case_number")
 
 
@@ -57,7 +57,7 @@ CASCADE = f"""{LIVE}, {BY_URL}, {BY_TITLE}, {BY_PLACE}, cascade AS (SELECT q.sub
 def _(fx):
     return resolve.match_cascade(
         fx["submissions_v"], fx["submission_sources_v"],
-        fx.spread("sources_v", "lineitem", "incident_id"), fx["incidents_v"]).select(
+        fx["sources_v"], fx["incidents_v"]).select(
         "submission_id", "case_number", "matched_by")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from reefline.functions.frames import unseen
 from reefline.operators.capture import fold_repeats, shape_evidence
 from reefline.schemas import RAW_ITEMS, SOURCE_DOCUMENTS, conform
 from reefline.streaming import store
 
-REDELIVERY = "2 days"
 SIGHTINGS = T.StructType([T.StructField("dedup_key", T.StringType(), True),
                           T.StructField("seen_at", T.TimestampNTZType(), True)])
 
@@ -18,28 +18,14 @@ def landed_items(spark: SparkSession, path: str, files_per_batch: int = 200) ->
     return spark.readStream.schema(RAW_ITEMS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def without_redeliveries(items: DataFrame) -> DataFrame:
-    """Shaped items; one landed twice (same key, same time seen) passes once.
-
-    State is bounded by the watermark.  Later sightings of a key are kept: they move
-    `last_seen_at`.
-    """
-    stamped = shape_evidence(items).withColumn("_at", F.col("seen_at").cast("timestamp"))
-    return stamped.withWatermark("_at", REDELIVERY).dropDuplicatesWithinWatermark(
-        ["dedup_key", "_at"])
-
-
 def capture_batch(root: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # read three times below; the stateful part of the plan must run once
-        folded = fold_repeats(batch.drop("_at")).persist()
-        # counting fills the cache in one job; a batch that only moves the watermark ends here
-        if folded.count() == 0:
-            folded.unpersist()
-            return
+        # Repeats and redeliveries need no state: the fold and the anti-join are idempotent, and a
+        # late item is as good as any other.
+        folded = fold_repeats(batch).persist()
         stored = store.get(spark, root, "evidence", SOURCE_DOCUMENTS, before=batch_id)
-        fresh = store.unseen(folded, stored, "dedup_key")
+        fresh = unseen(folded, stored, "dedup_key")
         store.put(conform(fresh, SOURCE_DOCUMENTS), root, "evidence", batch_id)
         store.put(folded.select("dedup_key", F.col("last_seen_at").alias("seen_at")), root,
                   "sightings", batch_id)
@@ -52,7 +38,7 @@ def start_capture(items: DataFrame, root: str, checkpoint: str, **trigger) -> St
     store.create(spark, root, "evidence", SOURCE_DOCUMENTS)
     store.create(spark, root, "sightings", SIGHTINGS)
     return (
-        without_redeliveries(items).writeStream.foreachBatch(capture_batch(root))
+        shape_evidence(items).writeStream.foreachBatch(capture_batch(root))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from reefline.operators import candidates, feed, normalize
-from reefline.operators.capture import fold_repeats, is_relevant
+from reefline.functions.frames import unseen
+from reefline.operators.capture import fold_repeats, is_relevant, shape_evidence
 from reefline.schemas import NEWS, OBSERVATIONS, SOURCE_DOCUMENTS, conform
 from reefline.streaming import store
-from reefline.streaming.capture_stream import without_redeliveries
 
 ROUTES = T.StructType([T.StructField(n, T.StringType(), True)
                        for n in ("dedup_key", "route", "event_type")])
@@ -49,13 +49,9 @@ def route_batch(items: DataFrame, responses: DataFrame, verifications: DataFrame
 def collect_batch(root: str, responses: DataFrame, verifications: DataFrame):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folded = fold_repeats(batch.drop("_at")).persist()
-        # counting fills the cache in one job; a batch that only moves the watermark ends here
-        if folded.count() == 0:
-            folded.unpersist()
-            return
+        folded = fold_repeats(batch).persist()
         stored = store.get(spark, root, "evidence", SOURCE_DOCUMENTS, before=batch_id)
-        fresh = store.unseen(folded, stored, "dedup_key")
+        fresh = unseen(folded, stored, "dedup_key")
         # four tables come from the same routed rows: keep them for the writes
         routed = route_batch(fresh, responses, verifications).persist()
         store.put(conform(routed, SOURCE_DOCUMENTS), root, "evidence", batch_id)
@@ -85,7 +81,7 @@ def start_collector(items: DataFrame, responses: DataFrame, verifications: DataF
                          ("observations", OBSERVATIONS), ("routes", ROUTES)):
         store.create(spark, root, name, schema)
     return (
-        without_redeliveries(items).writeStream
+        shape_evidence(items).writeStream
         .foreachBatch(collect_batch(root, responses, verifications))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 

@@ -27,13 +27,3 @@ def get(spark: SparkSession, root: str, name: str, schema: T.StructType,
     rows = spark.read.schema(_with_batch(schema)).option("basePath", f"{root}/{name}").parquet(
         f"{root}/{name}")
     return rows if before is None else rows.filter(F.col("batch_id") < before)
-
-
-def unseen(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored.
-
-    The long stored side is only reduced to the keys of this batch (a semi-join that needs
-    no shuffle of it while the batch is small); the short remainder does the anti-join.
-    """
-    hit = stored.select(key).join(new.select(key), key, "left_semi").distinct()
-    return new.join(hit, key, "left_anti")

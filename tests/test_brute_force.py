@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from reefline.functions.frames import chunk_numbers, rank_within, top_per_key
+from reefline.functions.frames import rank_within, top_per_key
 from reefline.operators import coast, mapview, resolve
 from reefline.schemas import INCIDENTS, SOURCES, conform
 from reefline.streaming import job_state
@@ -39,11 +39,34 @@ def test_top_per_key_cuts_before_the_shuffle(spark):
     assert sorted(r["id"] for r in top.collect()) == [0, 1, 2, 3, 4, 5]
 
 
-def test_chunks_bound_a_hot_key_and_lose_nothing(spark):
-    df = spark.range(5000).select("id", F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"))
-    chunked = chunk_numbers(df, "k", "id", 100)
-    sizes = chunked.groupBy("k", "chunk").count().agg(F.max("count"), F.sum("count")).collect()[0]
-    assert sizes[0] < 200 and sizes[1] == 5000
+def test_rank_within_keeps_rows_without_a_group(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2) for i in range(300)]
+    got = rank_within(spark.createDataFrame(rows, "id long, g int"), "g", ["id"]).collect()
+    want = {}
+    for i, g in rows:
+        want[i] = sum(h == g for j, h in rows if j <= i)
+    assert {r["id"]: r["rank"] for r in got} == want
+
+
+def test_one_row_per_incident_however_many_sources(spark):
+    from reefline.operators import browse, lifecycle
+    sources = spark.range(1500).select("id", F.lit(7).cast("long").alias("incident_id"), F.concat(
+        F.lit("u"), F.col("id").cast("string")).alias("source_url"))
+    [row] = browse.attach_sources(spark.range(7, 8), sources).collect()
+    assert [s["source_url"] for s in row["sources"]] == [f"u{i}" for i in range(1500)]
+    coverage = sources.select(F.lit(1).cast("long").alias("submission_id"), F.col("id").alias("position"), "incident_id", F.concat(
+        F.lit("new"), "source_url").alias("source_url"), F.lit("p").alias("source_publisher"), F.lit(None).cast("string").alias("source_title"))
+    added, audit = lifecycle.attach_coverage(coverage, sources)
+    assert added.count() == 1500
+    [note] = audit.collect()
+    assert note["notes"].count("p, ") == 1499
+
+
+def test_long_case_suffix_counts(spark):
+    from reefline.operators import lifecycle
+    rows = [("CASE-2024-99999999999",), ("CASE-2024-0007",), ("CASE-2023-12",)]
+    got = lifecycle.highest_suffix(spark.createDataFrame(rows, "case_number string")).collect()
+    assert {r["year"]: r["last_value"] for r in got} == {2024: 99999999999, 2023: 12}
 
 
 SQUARE = [(1, 0.0, 0.0, 10.0, 0.0), (1, 10.0, 0.0, 10.0, 10.0), (1, 10.0, 10.0, 0.0, 10.0), (1, 0.0, 10.0, 0.0, 0.0)]
