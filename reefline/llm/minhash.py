@@ -1,12 +1,13 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification, union-find groups.
 
 Texts with equal shingle sets form one class, linked without comparing.  One document of each class
-goes into the bands.  Buckets of up to PLAIN_BUCKET classes compare all their pairs.  A larger
-bucket first drops classes that no document can be close enough to (too many of their shingles
-occur nowhere else), then compares everyone with one pivot, its most typical class; what the
-verified links do not join is compared in a second join that leaves out pairs already connected.
-Joins emit a pair once, in the first band it shares, and only if sizes and signatures allow the
-similarity; every link is confirmed on the full shingle sets.
+goes into the bands.  Buckets of up to PLAIN_BUCKET classes give all their pairs.  A larger bucket
+first drops classes that no document can be close enough to (too many of their shingles occur
+nowhere else), and gives the pairs of everyone with one pivot, its most typical class.  Pairs whose
+sizes or signatures rule the similarity out leave; of the others each class first verifies its most
+similar one, and only what these links do not join is verified in turn.  What a pivot did not join
+meets everyone else of its bucket in a last join, again only across components.  Every link is
+confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reefline.functions.frames import top_per_key
 from reefline.llm.common import WordHashes, bounded, buffers, chunks, mix64, small_batches, stored, text_of
 from reefline.llm.superminhash import shingles, signatures
 from reefline.llm.union_find import components
@@ -124,13 +126,17 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.lit(7), text)
 
 
-def _like(rule: Rule) -> Column:
-    """Conditions under which a pair of entries x, y may be linked, cheapest first."""
-    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) - 1
-    agree = F.size(F.filter(F.zip_with("x.marks", "y.marks", lambda p, q: p == q), lambda same: same))
-    need = rule.bands * rule.rows * (rule.percent / 100 - rule.slack)
-    return ((100 * F.least("x.n", "y.n") >= rule.percent * F.greatest("x.n", "y.n"))
-            & (F.element_at("x.bands", (first + 1).cast("int")) == F.col("x.band")) & (agree >= need))
+def _sizes_allow(rule: Rule, x: str, y: str) -> Column:
+    return 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
+
+
+def _agreement(x: str, y: str) -> Column:
+    """Number of slots in which two signatures agree."""
+    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
+
+
+def _least_agreement(rule: Rule) -> float:
+    return rule.bands * rule.rows * (rule.percent / 100 - rule.slack)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -153,10 +159,11 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     classes = stored(signed.filter("n > 0").groupBy(*key).agg(
         F.min(F.struct("row", "doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least")), "classes")
     typical = classes.select("first.row", "first.doc_id", "first.text_hash", "n")
-    entries = _live_entries(signed.join(classes.select(F.col("first.row").alias("row")), "row", "left_semi"))
-    texts = _texts(docs, typical.join(entries.select("row").distinct(), "row", "left_semi"))
-    links = _links(entries, texts, rule)
-    labels = components(links).withColumnRenamed("node", "row")
+    copies = stored(signed.filter("n > 0").select("row", *key).join(classes.select(*key, F.col("first.row").alias("_first")), key)
+                    .filter("row <> _first").select("row"), "copies")
+    rows = signed.filter("n > 0").join(bounded(copies, copies.count(), 16), "row", "left_anti")
+    entries = _live_entries(rows)
+    labels = _groups(entries, rows, lambda some: _texts(docs, typical.join(some, "row", "left_semi")), rule)
     labelled = classes.select(*key, "least", F.col("first.row").alias("row")).join(labels, "row", "left")
     together = labelled.filter("label is not null").groupBy("label").agg(F.min("least").alias("reached"))
     groups = stored(labelled.join(together, "label", "left").select(
@@ -181,12 +188,10 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def _live_entries(rows: DataFrame) -> DataFrame:
-    """Band entries of buckets that hold more than one row: band, size, row, n, bands, marks."""
-    spread = rows.select("row", F.explode("bands").alias("band"))
+    """Band entries of buckets that hold more than one row: band, size, row, n."""
+    spread = rows.select("row", "n", F.explode("bands").alias("band"))
     shared = stored(spread.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
-    live = stored(spread.join(shared, "band"), "entries")
-    return live.join(stored(rows.join(live.select("row").distinct(), "row", "left_semi").select(
-        "row", "n", "bands", "marks"), "candidates"), "row")
+    return stored(spread.join(shared, "band"), "entries")
 
 
 def _texts(docs: DataFrame, typical: DataFrame) -> DataFrame:
@@ -194,61 +199,96 @@ def _texts(docs: DataFrame, typical: DataFrame) -> DataFrame:
     wanted = stored(typical.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "wanted")
     text = text_of()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_hash(text).alias("hash"))
-    found = plain.join(wanted, (plain["hash"] == wanted["_hash"]) & plain["doc_id"].eqNullSafe(wanted["_id"]))
+    found = plain.join(bounded(wanted, wanted.count(), 40), (plain["hash"] == wanted["_hash"])
+                       & plain["doc_id"].eqNullSafe(wanted["_id"]))
     # repeated rows of one document would be found again and again
     return stored(found.select("row", "text").dropDuplicates(["row"]), "texts")
 
 
-def _links(entries: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    size = F.col("size")
-    columns = ["band", "row", "n", "bands", "marks"]
-    few = entries.filter(size <= PLAIN_BUCKET).select(*columns)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band"))
-                                & (F.col("x.row") < F.col("y.row")) & _like(rule))
-    links = stored(_verified(pairs.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")), texts, rule), "links")
-    crowded = stored(_reachable(entries.filter(size > PLAIN_BUCKET), texts, rule), "crowded")
-    if crowded.isEmpty():
-        return links
+def _groups(entries: DataFrame, rows: DataFrame, texts_of, rule: Rule) -> DataFrame:
+    """(row, label) of every row that has a link, from the band entries."""
+    few = entries.filter(F.col("size") <= PLAIN_BUCKET).select("band", "row", "n")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row"))
+                                & _sizes_allow(rule, "x.n", "y.n")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
+    crowd = entries.filter(F.col("size") > PLAIN_BUCKET).select("band", "row", "n")
+    crowded = stored(_reachable(crowd, texts_of, rule), "crowded")
     # the pivot of a bucket is the row with the fewest shingles of its own
-    pivots = stored(crowded.groupBy("band").agg(F.min(F.struct("alone", "row")).alias("pivot")).select(
-        "band", F.col("pivot.row").alias("a")), "pivots")
-    marks = stored(crowded.join(pivots.select(F.col("a").alias("row")).distinct(), "row", "left_semi").select(
-        F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a")).dropDuplicates(["a"]), "pivot-marks")
-    near = crowded.select("band", "row", "n", "marks").join(pivots, "band").filter("a <> row")
-    near = near.select("a", F.col("row").alias("b"), "n", "marks").dropDuplicates(["a", "b"]).join(marks, "a")
-    agree = F.size(F.filter(F.zip_with("marks", "marks_a", lambda p, q: p == q), lambda same: same))
-    near = near.filter((100 * F.least("n", "n_a") >= rule.percent * F.greatest("n", "n_a"))
-                       & (agree >= rule.bands * rule.rows * (rule.percent / 100 - rule.slack))).select("a", "b")
-    links = stored(links.unionByName(_verified(near, texts, rule)), "links")
-    labels = components(links).withColumnRenamed("node", "row")
-    marked = stored(crowded.select(*columns).join(labels, "row", "left").withColumn(
+    pivots = stored(crowded.groupBy("band").agg(F.min(F.struct("alone", "row", "n")).alias("pivot")).select(
+        "band", F.col("pivot.row").alias("a"), F.col("pivot.n").alias("n_a")), "pivots")
+    near = crowded.select("band", F.col("row").alias("b"), "n").join(pivots, "band").filter(
+        (F.col("a") != F.col("b")) & _sizes_allow(rule, "n", "n_a")).select("a", "b")
+    signs = rows.select("row", "marks").join(entries.select("row").distinct(), "row", "left_semi")
+    signs = stored(signs, "marks")
+    likely = stored(_plausible(pairs.unionByName(near).distinct(), signs, rule), "likely")
+    involved = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).distinct()
+    texts = texts_of(involved)
+    best = top_per_key(likely, ["b"], [F.desc("agree"), F.asc("a")]).select("a", "b")
+    links = stored(_verified(best, texts, rule), "best-links")
+    labels = components(links)
+    rest = _across(likely.select("a", "b"), labels).join(best, ["a", "b"], "left_anti")
+    links = stored(links.unionByName(_verified(rest, texts, rule)), "links")
+    labels = components(links)
+    if crowded.isEmpty():
+        return labels.withColumnRenamed("node", "row")
+    marked = stored(crowded.select("band", "row", "n").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn(
         "label", F.coalesce("label", "row")), "labelled")
     open_bands = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
         "low <> high").select("band")
-    left = stored(marked.join(open_bands, "band", "left_semi"), "open")
-    rest = left.alias("x").join(left.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row"))
-                                & (F.col("x.label") != F.col("y.label")) & _like(rule))
-    return links.unionByName(_verified(rest.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")), texts, rule))
-
-
-def _reachable(entries: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    arrays = rows.select("row", "bands", "marks").join(marked.select("row").distinct(), "row", "left_semi")
+    left = stored(marked.join(open_bands, "band", "left_semi").join(arrays, "row"), "open")
+    # each pair once, in the first band it shares
+    shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True).cast("int")
+    last = left.alias("x").join(left.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row"))
+                                & (F.col("x.label") != F.col("y.label")) & _sizes_allow(rule, "x.n", "y.n")
+                                & (F.element_at("x.bands", shared) == F.col("x.band"))
+                                & (_agreement("x.marks", "y.marks") >= _least_agreement(rule)))
+    last = stored(last.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).join(likely, ["a", "b"], "left_anti"), "last")
+    involved = last.select(F.col("a").alias("row")).unionByName(last.select(F.col("b").alias("row"))).distinct()
+    return components(links.unionByName(_verified(last, texts_of(involved), rule))).withColumnRenamed("node", "row")
+
+
+def _plausible(pairs: DataFrame, signs: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a < b) whose signatures allow the similarity, with their agreement."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = signs.select(F.col("row").alias("a"), F.col("marks").alias("x"))
+    two = signs.select(F.col("row").alias("b"), F.col("marks").alias("y"))
+    return ordered.join(one, "a").join(two, "b").select("a", "b", _agreement("x", "y").alias("agree")).filter(
+        F.col("agree") >= _least_agreement(rule))
+
+
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component yet."""
+    one = labels.select(F.col("node").alias("a"), F.col("label").alias("_x"))
+    two = labels.select(F.col("node").alias("b"), F.col("label").alias("_y"))
+    return pairs.join(one, "a", "left").join(two, "b", "left").filter(
+        F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b")
+
+
+def _reachable(entries: DataFrame, texts_of, rule: Rule) -> DataFrame:
     """Entries of rows that another row can be close enough to, with their count of shingles of their own.
 
-    A shingle that no other candidate has lies in no intersection, so a row with more than
-    100 - percent per cent of such shingles has no link.
+    A shingle that no other row has lies in no intersection.  Another row has `m` shingles at least
+    (by its share of this row's, and by the least in the row's buckets), so of n shingles with n - k
+    shared ones the similarity is at most (n - k) / (n + m - (n - k)).
     """
-    rows = entries.select("row").distinct()
-    crowd = texts.join(rows, "row", "left_semi")
-    spread = small_batches(crowd).mapInArrow(partial(_elements, width=rule.width), "row long, shingle long")
+    rows = stored(entries.join(entries.groupBy("band").agg(F.min("n").alias("_low")), "band").groupBy("row").agg(
+        F.min("n").alias("n"), F.min("_low").alias("_low")), "crowd")
+    spread = small_batches(texts_of(rows.select("row"))).mapInArrow(
+        partial(_elements, width=rule.width), "row long, shingle long")
     alone = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("row")).filter(
         "k = 1").groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
-    counted = stored(rows.join(alone, "row", "left").select("row", F.coalesce("alone", F.lit(0)).alias("alone")), "alone")
-    return entries.join(counted, "row").filter(100 * (F.col("n") - F.col("alone")) >= rule.percent * F.col("n"))
+    least = F.greatest(F.col("_low"), F.ceil(F.col("n") * rule.percent / 100))
+    shared = F.col("n") - F.col("alone")
+    counted = rows.join(alone, "row", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    kept = stored(counted.filter(100 * shared >= rule.percent * (F.col("n") + F.greatest(least - shared, F.lit(0)))).select(
+        "row", "alone"), "alone")
+    return entries.join(kept, "row")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     one = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(
+    # the same plan at every size: texts are shuffled to the pairs
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(
         partial(_verify, rule=rule), "a long, b long")
