@@ -105,11 +105,22 @@ def _anchors(tokens: np.ndarray, lengths: np.ndarray, width: int):
     inside = high - low <= width
     name, low, high, level = name[inside], low[inside], high[inside], level[inside]
     key = mix64(Rolling(tokens, BASES[0]).of(low, high) + mix64(name + level.astype(np.uint64)))
-    order = ((key >> np.uint64(33)) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)
-    order |= np.where(high - low < LEAST_SUPPORT, np.uint64(1 << 63), np.uint64(0))
-    for back in range(width):
-        some = (high - low + back <= width) & (low >= back)
-        np.minimum.at(best, low[some] - back, order[some])
+    # the upper half orders, the lower half is the symbol's number
+    order = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=np.uint64)
+
+    def offer(some: np.ndarray) -> None:
+        """Let these symbols stand for every window around them that has no lesser one."""
+        start, size, value = low[some], (high - low)[some], order[some]
+        for back in range(width):
+            here = (size + back <= width) & (start >= back)
+            np.minimum.at(best, start[here] - back, value[here])
+    offer(np.flatnonzero(high - low >= LEAST_SUPPORT))
+    bare = fits & (best == none)
+    if bare.any():
+        short = high - low < LEAST_SUPPORT
+        served = best.copy()
+        offer(np.flatnonzero(short))
+        best[~bare] = served[~bare]
     chosen = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     chosen[~fits] = 0
     return key[chosen], chosen, fits

@@ -17,13 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reefline.llm.common import bounded, buffers, chunks, mix64, small_batches, stored, text_of
+from reefline.llm.common import buffers, chunks, mix64, small_batches, stored, text_of
 
 BUCKET_CONTEXTS = 8192
 # A key with more contexts than this has its windows counted by the shuffle, one row each.
 CROWDED_CONTEXTS = 100_000
 NO_ID = (1 << 63) - 1
-MANY_BYTES = 32 << 20
 BASES = (0xD6E8FEB86659FD93, 0x9E6C63D0876A9A47)
 
 
@@ -227,19 +226,18 @@ def covers(docs: DataFrame, rule: Rule, crowded: int = CROWDED_CONTEXTS) -> Data
     wanted = stored(compared.groupBy("ord", "thash").agg(
         F.collect_list(F.struct("key", "ctx", "n", "ord", "first", "windows")).alias("wanted"),
         F.max("contexts").alias("most")), "wanted")
-    sizes = wanted.agg(F.count(F.lit(1)), F.sum(F.size("wanted")), F.max("most")).first()
-    texts = docs.select(*identity(), text_of().alias("text")).join(
-        bounded(wanted, 1, 32 * sizes[0] + 56 * (sizes[1] or 0), MANY_BYTES), ["ord", "thash"])
+    total, most = wanted.agg(F.sum(F.size("wanted")), F.max("most")).first()
+    texts = docs.select(*identity(), text_of().alias("text")).join(wanted, ["ord", "thash"])
     contents = texts.select("text", "wanted").mapInArrow(
         partial(_cut, rule=rule), "key long, ctx long, n long, ord long, content binary")
-    many = (sizes[2] or 0) > crowded
+    many = (most or 0) > crowded
     if many:
         contents = stored(contents, "contents")
         hot = several.filter(F.col("contexts") > crowded).select("key")
         rest, hot_contents = contents.join(hot, "key", "left_anti"), contents.join(hot, "key", "left_semi")
     else:
         rest = contents
-    buckets = max(1, -(-(sizes[1] or 0) // BUCKET_CONTEXTS))
+    buckets = max(1, -(-(total or 0) // BUCKET_CONTEXTS))
     compare = lambda key, table: _compare(key, table, rule)
     # all contexts of a key meet in one bucket, and a bucket holds about BUCKET_CONTEXTS of them
     ranges = rest.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(
@@ -265,10 +263,9 @@ def identity() -> list[Column]:
 def with_covers(docs: DataFrame, rule: Rule) -> DataFrame:
     """Every row's doc_id and text with the starts and ends of its covered stretches (null: none)."""
     found = covers(docs, rule)
-    size = found.agg(F.count(F.lit(1)), F.sum(F.size("starts"))).first()
     # two rows of one id and text have the same stretches, so the join adds no rows
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *identity()).join(
-        bounded(found, 1, 48 * size[0] + 16 * (size[1] or 0), MANY_BYTES), ["ord", "thash"], "left").select(
+        found, ["ord", "thash"], "left").select(
         "doc_id", "text", "starts", "ends")
 
 
