@@ -15,7 +15,7 @@ JOB_EVENTS = """SELECT user_id AS source_document_id, timestamp '2024-01-01 00:0
  event_id % 23 <> 0 AS retryable FROM events"""
 
 
-@query("J01_job_state", f"""
+JOB_STATE_SQL = f"""
 WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY source_document_id ORDER BY ts, event_id) AS rn FROM ({JOB_EVENTS})),
 walk AS (SELECT DISTINCT source_document_id, cast(0 AS bigint) AS rn, cast(NULL AS string) AS status, 0 AS attempts, cast(NULL AS timestamp) AS available_at, cast(NULL AS timestamp) AS leased_until FROM ev
  UNION ALL SELECT w.source_document_id, e.rn,
@@ -28,12 +28,15 @@ walk AS (SELECT DISTINCT source_document_id, cast(0 AS bigint) AS rn, cast(NULL
    WHEN e.kind = 'observation' AND w.status = 'leased' THEN NULL WHEN e.kind = 'failure' AND w.status IS NOT NULL THEN NULL ELSE w.leased_until END
   FROM walk w JOIN ev e ON e.source_document_id = w.source_document_id AND e.rn = w.rn + 1)
 SELECT source_document_id, status, attempts, cast(available_at AS string) AS available_at, cast(leased_until AS string) AS leased_until FROM walk WHERE status IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY source_document_id ORDER BY rn DESC) = 1""")
+QUALIFY row_number() OVER (PARTITION BY source_document_id ORDER BY rn DESC) = 1"""
+
+
+@query("J01_job_state", JOB_STATE_SQL)
 def _(fx) -> DataFrame:
     return job_state.fold_jobs(fx.sql(JOB_EVENTS)).drop("completed_at")
 
 
-@query("J01_job_state_stream")
+@query("J01_job_state_stream", JOB_STATE_SQL)
 def _(fx) -> DataFrame:
     """The same states from a stream over the events file, latest update per source."""
     stream = fx.spark.readStream.schema(fx["events"].schema).option(
@@ -82,21 +85,44 @@ RESPONSES = f"""SELECT DISTINCT {KEY} AS dedup_key, CASE length(source_url) % 3
 VERIFICATIONS = f"""SELECT DISTINCT {KEY} AS dedup_key, source_platform <> 'reddit' AS is_valid, source_platform = 'news_rss' AS is_duplicate_likely, 0.5e0 AS verification_confidence FROM items"""
 
 
-@query("J04_collector", f"""
+COLLECTED = f"""
 WITH items AS ({LANDED}), folded AS (SELECT {KEY} AS dedup_key, arg_min(title, seen_at) AS title, arg_min(content, seen_at) AS content, arg_min(trusted, seen_at) AS trusted FROM items GROUP BY 1),
 r AS (SELECT DISTINCT {KEY} AS dedup_key, length(source_url) % 3 AS a, source_platform AS p FROM items),
 t AS (SELECT f.*, r.a, r.p, lower(concat(title, ' ', content)) AS t FROM folded f JOIN r ON r.dedup_key = f.dedup_key)
 SELECT dedup_key, route, CASE WHEN route = 'not_relevant' THEN NULL WHEN route = 'candidate' THEN 'sighting' ELSE 'news' END AS news_type, CASE WHEN route = 'candidate' THEN 'United States' END AS country,
  CASE WHEN route = 'candidate' THEN 0.9e0 END AS ai_confidence FROM (SELECT *, CASE WHEN NOT (regexp_matches(t, '{SUBJECT_RE}') OR (trusted AND regexp_matches(t, '{TRUSTED_RE}'))) THEN 'not_relevant'
-  WHEN a = 2 THEN 'news_only' WHEN a = 1 THEN 'low_confidence' WHEN p = 'news_rss' THEN 'duplicate' ELSE 'candidate' END AS route FROM t)""")
-def _(fx) -> DataFrame:
+  WHEN a = 2 THEN 'news_only' WHEN a = 1 THEN 'low_confidence' WHEN p = 'news_rss' THEN 'duplicate' ELSE 'candidate' END AS route FROM t)"""
+
+
+def _collected(fx) -> str:
     root = work_folder(fx.spark, "collector")
     fx.sql(LANDED).createOrReplaceTempView("items")
     responses = fx.spark.sql(RESPONSES)
     verifications = fx.spark.sql(VERIFICATIONS).withColumn(
         "corrections", F.lit(None).cast("map<string,string>"))
     collector.start_collector(_landed(fx), responses, verifications, root, f"{root}/progress").awaitTermination()
-    routes = store.get(fx.spark, root, "routes", collector.ROUTES).select("dedup_key", "route")
+    return root
+
+
+@query("J04_collector", COLLECTED)
+def _(fx) -> DataFrame:
+    root = _collected(fx)
     news = collector.collected_news(fx.spark, root).select(
         "dedup_key", F.col("event_type").alias("news_type"), "country", "ai_confidence")
-    return routes.join(news, "dedup_key", "left")
+    return collector.collected_routes(fx.spark, root).select("dedup_key", "route").join(news, "dedup_key", "left")
+
+
+@query("J04_jobs", f"""
+WITH items AS ({LANDED}) SELECT {KEY} AS dedup_key, 'completed' AS status, 1 AS attempts, cast(max(seen_at) AS string) AS completed_at FROM items GROUP BY 1""")
+def _(fx) -> DataFrame:
+    return collector.collected_jobs(fx.spark, _collected(fx)).select("dedup_key", "status", "attempts", "completed_at")
+
+
+@query("J04_candidates", f"""
+SELECT dedup_key, 'needs_review' AS status, 1 AS observations FROM ({COLLECTED}) WHERE route IN ('low_confidence', 'duplicate', 'candidate')""")
+def _(fx) -> DataFrame:
+    root = _collected(fx)
+    rows = store.get(fx.spark, root, "assignments", collector.ASSIGNMENTS)
+    found = collector.collected_candidates(fx.spark, root)
+    return rows.select("dedup_key", F.col("candidate_id").alias("id")).join(found, "id").select(
+        "dedup_key", "status", F.col("observation_count").alias("observations"))
