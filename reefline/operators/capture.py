@@ -19,14 +19,18 @@ def item_key() -> Column:
         F.concat(platform, F.lit(":sha256:"), F.sha2(url, 256)))
 
 
-def shape_evidence(items: DataFrame) -> DataFrame:
-    """Key, content digest, excerpt and summary of each raw item."""
+def shape_evidence(items: DataFrame, excerpt_chars: int | None = EXCERPT_CHARS,
+                   summary_chars: int | None = SUMMARY_CHARS) -> DataFrame:
+    """Key, content digest, excerpt and summary of each raw item; without a length the whole content."""
     content = F.coalesce("content", F.lit(""))
+
+    def start(chars: int | None) -> Column:
+        return blank_to_null(content if chars is None else F.substring(content, 1, chars))
     return items.withColumns({
         "dedup_key": item_key(),
         "content_sha256": F.sha2(content, 256),
-        "body_excerpt": blank_to_null(F.substring(content, 1, EXCERPT_CHARS)),
-        "summary": blank_to_null(F.substring(content, 1, SUMMARY_CHARS)),
+        "body_excerpt": start(excerpt_chars),
+        "summary": start(summary_chars),
     })
 
 

@@ -245,12 +245,15 @@ def date_chains(incidents: DataFrame, window_days: int = BLOCK_WINDOW_DAYS) -> D
 
 
 def near_duplicate_blocks(incidents: DataFrame, window_days: int = BLOCK_WINDOW_DAYS,
-                          max_size: int = BLOCK_MAX_SIZE) -> DataFrame:
-    """Incidents in chains of 2 to `max_size` members; bigger chains are left to the report.
+                          max_size: int | None = BLOCK_MAX_SIZE) -> DataFrame:
+    """Incidents in chains of 2 to `max_size` members (None: of any size); bigger ones are left to the report.
 
-    Chains are filtered before the rows are joined back, so every joined key is small.
+    Chains are filtered before the rows are joined back, so with a limit every joined key is small;
+    without one the join has one row per day and class on its other side, and Spark may split it.
     """
-    chains = date_chains(incidents, window_days).filter(F.col("size").between(2, max_size))
+    chains = date_chains(incidents, window_days).filter(F.col("size") >= 2)
+    if max_size is not None:
+        chains = chains.filter(F.col("size") <= max_size)
     keys = ["country", "classification", "incident_date"]
     exact = incidents.filter(F.col("date_precision") == "exact")
     return exact.join(chains, keys).withColumn(

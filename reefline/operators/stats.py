@@ -71,26 +71,25 @@ def by_year(incidents: DataFrame) -> DataFrame:
     )
 
 
-def by_country(incidents: DataFrame, limit: int = 20) -> DataFrame:
-    return (
-        attacks(incidents).groupBy("country").agg(*_tally(_fatal()))
-        .orderBy(F.desc("count"), "country").limit(limit)
-    )
+def _most(counts: DataFrame, name: str, limit: int | None) -> DataFrame:
+    """The most frequent first; without a limit all."""
+    ordered = counts.orderBy(F.desc("count"), name)
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def by_species(incidents: DataFrame, limit: int = 15) -> DataFrame:
-    return (
-        attacks(incidents).groupBy(species_label().alias("species")).agg(*_tally())
-        .filter(F.col("species").isNotNull()).orderBy(F.desc("count"), "species").limit(limit)
-    )
+def by_country(incidents: DataFrame, limit: int | None = 20) -> DataFrame:
+    return _most(attacks(incidents).groupBy("country").agg(*_tally(_fatal())), "country", limit)
 
 
-def by_activity(incidents: DataFrame, limit: int = 15) -> DataFrame:
-    return (
-        attacks(incidents).filter(F.col("victim_activity").isNotNull())
-        .groupBy(F.col("victim_activity").alias("activity")).agg(*_tally())
-        .orderBy(F.desc("count"), "activity").limit(limit)
-    )
+def by_species(incidents: DataFrame, limit: int | None = 15) -> DataFrame:
+    counts = attacks(incidents).groupBy(species_label().alias("species")).agg(*_tally())
+    return _most(counts.filter(F.col("species").isNotNull()), "species", limit)
+
+
+def by_activity(incidents: DataFrame, limit: int | None = 15) -> DataFrame:
+    counts = attacks(incidents).filter(F.col("victim_activity").isNotNull()).groupBy(
+        F.col("victim_activity").alias("activity")).agg(*_tally())
+    return _most(counts, "activity", limit)
 
 
 def fatality_trend(incidents: DataFrame) -> DataFrame:

@@ -101,6 +101,18 @@ def _(fx):
         fx.sql(INDEX_PAGES), fx["pages"], terms=["shark", "bite", "on the", "de la", "und "]).select("site", "source_url", "title")
 
 
+@query("A03_whole_harvest", f"""
+WITH linked AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS site, url, trim(regexp_extract(html, '<title>([^<]*)', 1)) AS title FROM pages),
+first AS (SELECT * FROM linked WHERE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) NOT IN ('', '/') QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id) = 1),
+body AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>((?s:.*?))</article>', 1), '<(?s:script|style|nav)\\b(?s:.*?)</(script|style|nav)\\s*>', ' ', 'g'), '<!--(?s:.*?)-->', ' ', 'g'), '<(?s:[^>]*)>', chr(10), 'g') AS body
+  FROM pages)
+SELECT o.site, o.url AS source_url, o.title FROM first o JOIN body b ON b.url = o.url WHERE length(o.title) >= 10 AND regexp_matches(lower(b.body), 'shark|bite|on the|de la|und ')""")
+def _(fx):
+    return pages.harvest(
+        fx.sql(INDEX_PAGES), fx["pages"], terms=["shark", "bite", "on the", "de la", "und "], url_cap=None, item_cap=None,
+        body_chars=None).select("site", "source_url", "title")
+
+
 @query("A04_register_import", """
 SELECT id, strftime(make_date(cast(year_text AS int), m, d), '%Y-%m-%d') AS incident_date, 'exact' AS date_precision, country, classification, victim_activity,
  victim_injury_severity, fatal, incident_time, shark_species_suspected, shark_size_estimate, victim_sex, victim_age, description
@@ -156,6 +168,13 @@ def _(fx):
         F.length("summary").alias("summary_chars"))
 
 
+@query("A07_whole_content", """
+SELECT id, nullif(sha256(coalesce(content, '')), sha256('')) AS body, nullif(length(coalesce(content, '')), 0) AS chars FROM raw_items_v""")
+def _(fx):
+    shaped = capture.shape_evidence(fx["raw_items_v"], None, None)
+    return shaped.select("id", F.sha2("body_excerpt", 256).alias("body"), F.length("summary").cast("long").alias("chars"))
+
+
 @query("A08_relevance_gate", """
 SELECT id, trusted FROM raw_items_v
 WHERE regexp_matches(lower(concat(title, ' ', content)), 'shark|erenes|mako')

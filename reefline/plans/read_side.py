@@ -186,6 +186,23 @@ def _(fx):
     return stats.by_activity(fx["incidents_v"])
 
 
+@query("D03_all_countries", f"""
+SELECT country, count(*) AS count, count(*) FILTER (fatal) AS fatal FROM incidents_v WHERE {ATTACK} GROUP BY 1""")
+def _(fx):
+    return stats.by_country(fx["incidents_v"], None)
+
+
+@query("D04_all_species", SPECIES_SQL.replace("LIMIT 15", ""))
+def _(fx):
+    return stats.by_species(fx["incidents_v"], None)
+
+
+@query("D05_all_activities", f"""
+SELECT victim_activity AS activity, count(*) AS count FROM incidents_v WHERE {ATTACK} AND victim_activity IS NOT NULL GROUP BY 1""")
+def _(fx):
+    return stats.by_activity(fx["incidents_v"], None)
+
+
 @query("D06_fatality_trend", f"""
 SELECT cast(year(incident_date) AS int) AS year, count(*) FILTER (fatal) AS fatal, count(*) FILTER (NOT fatal) AS non_fatal
 FROM incidents_v WHERE {ATTACK} AND incident_date IS NOT NULL GROUP BY 1""")

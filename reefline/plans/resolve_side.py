@@ -74,6 +74,12 @@ def _(fx):
     return resolve.near_duplicate_blocks(fx["incidents_v"]).select("id", "cluster_id", "size")
 
 
+@query("E02_blocks_of_any_size", f"""
+WITH {CHAINS} SELECT id, concat_ws('|', country, classification, cast(chain_start AS string)) AS cluster_id, size FROM sized WHERE size >= 2""")
+def _(fx):
+    return resolve.near_duplicate_blocks(fx["incidents_v"], max_size=None).select("id", "cluster_id", "size")
+
+
 @query("E02_oversized_chains", f"""
 WITH {CHAINS} SELECT DISTINCT country, classification, cast(chain_start AS string) AS chain_start, cast(chain_end AS string) AS chain_end, size FROM sized WHERE size > 3""")
 def _(fx):

@@ -71,11 +71,14 @@ def article_body(html: Column) -> Column:
 
 
 def harvest(index_pages: DataFrame, pages: DataFrame, hosts: list[str] | None = None,
-            source_name: str = "tracker", terms: list[str] = PAGE_BODY_TERMS) -> DataFrame:
+            source_name: str = "tracker", terms: list[str] = PAGE_BODY_TERMS,
+            url_cap: int | None = PAGE_URL_CAP, item_cap: int | None = PAGE_ITEM_CAP,
+            body_chars: int | None = PAGE_BODY_CHARS) -> DataFrame:
     """Items of the linked articles: titled, with a body that mentions the subject.
 
-    Per site at most ten items; reading stops once an item has been kept at or after the
-    25th link, so an item survives only if the kept item before it came earlier than that.
+    Per site at most `item_cap` items; reading stops once an item has been kept at or after the
+    `url_cap`-th link, so an item survives only if the kept item before it came earlier than that.
+    None lifts a cap.
     """
     links = article_links(index_pages, hosts)
     bodies = pages.select("url", article_body(F.col("html")).alias("body"), F.try_to_timestamp(
@@ -83,16 +86,17 @@ def harvest(index_pages: DataFrame, pages: DataFrame, hosts: list[str] | None =
                  F.lit(""))).cast("timestamp_ntz").alias("published_at"))
     items = links.filter(F.length("title") >= PAGE_TITLE_CHARS).join(bodies, "url").filter(
         any_term(F.lower(F.col("body")), terms))
-    early = top_per_key(links, ["site"], [F.asc("position")], PAGE_URL_CAP, rank="seen").select(
-        "site", "url", "seen")
-    chosen = top_per_key(items, ["site"], [F.asc("position")], PAGE_ITEM_CAP, rank="_item")
-    before = F.lag("seen").over(W.partitionBy("site").orderBy("position"))
-    numbered = chosen.join(early, ["site", "url"], "left").withColumn(
-        "seen", F.coalesce("seen", F.lit(PAGE_URL_CAP + 1)))
-    kept = numbered.withColumn("_before", F.coalesce(before, F.lit(0))).filter(
-        F.col("_before") < PAGE_URL_CAP)
+    kept = items if item_cap is None else top_per_key(items, ["site"], [F.asc("position")], item_cap)
+    if url_cap is not None:
+        early = top_per_key(links, ["site"], [F.asc("position")], url_cap, rank="seen").select(
+            "site", "url", "seen")
+        before = F.lag("seen").over(W.partitionBy("site").orderBy("position"))
+        numbered = kept.join(early, ["site", "url"], "left").withColumn(
+            "seen", F.coalesce("seen", F.lit(url_cap + 1)))
+        kept = numbered.withColumn("_before", F.coalesce(before, F.lit(0))).filter(
+            F.col("_before") < url_cap)
     return kept.select(
         F.lit("web_scrape").alias("source_platform"), F.lit(source_name).alias("source_name"),
         "site", F.col("url").alias("source_url"), "title",
-        F.concat(F.col("title"), F.lit("\n\n"), F.substring("body", 1, PAGE_BODY_CHARS))
+        F.concat(F.col("title"), F.lit("\n\n"), F.col("body") if body_chars is None else F.substring("body", 1, body_chars))
         .alias("content"), "published_at", F.lit(source_name).alias("author"))
