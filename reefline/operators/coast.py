@@ -19,8 +19,10 @@ from reefline.functions.text import let
 # Cells for the on-land test.  The odd origin keeps cell borders off round coordinates.
 LAND_CELL = 0.25
 ORIGIN = 0.0317
-# Cell sizes for the nearest-coast search; the last one spans the globe.
-NEAREST_CELLS = [0.5, 2.0, 8.0, 32.0, 128.0, 512.0]
+# Cell sizes for the nearest-coast search, from about 400 m up; the last one spans the globe.
+NEAREST_CELLS = [4.0 ** i / 256 for i in range(10)]
+# How far beyond a piece of an edge its cells are looked for, against rounding at cell borders.
+PAD = 1e-9
 POINT = ["longitude", "latitude"]
 
 
@@ -55,13 +57,26 @@ def _cell(value: Column, size: float = LAND_CELL) -> Column:
 
 
 def _span(a: Column, b: Column, size: float) -> Column:
-    return F.explode(F.sequence(_cell(F.least(a, b), size), _cell(F.greatest(a, b), size)))
+    return F.sequence(_cell(F.least(a, b) - PAD, size), _cell(F.greatest(a, b) + PAD, size))
 
 
 def _edges_by_cell(edges: DataFrame, size: float) -> DataFrame:
-    """Each edge in every cell its box touches."""
-    wide = edges.withColumn("cx", _span(F.col("x1"), F.col("x2"), size))
-    return wide.withColumn("cy", _span(F.col("y1"), F.col("y2"), size))
+    """Each edge, whole, in every cell it passes.
+
+    The edge is followed in pieces about as long as a cell, so a long slanting edge comes in the
+    cells along it and not in all cells of its box.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    pieces = F.greatest(F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / size), F.lit(1))
+
+    def cells(k: Column) -> Column:
+        a, b = k / pieces, (k + 1) / pieces
+        xs = _span(F.col("x1") + dx * a, F.col("x1") + dx * b, size)
+        ys = _span(F.col("y1") + dy * a, F.col("y1") + dy * b, size)
+        return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(
+            cx.alias("cx"), cy.alias("cy")))))
+    passed = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), cells)))
+    return edges.withColumn("_at", F.explode(passed)).select("*", "_at.cx", "_at.cy").drop("_at")
 
 
 def _crossing_x(y: Column) -> Column:
@@ -75,22 +90,21 @@ def _crossing_y(x: Column) -> Column:
 def on_land(points: DataFrame, edges: DataFrame) -> DataFrame:
     """The distinct points that lie in at least one polygon.
 
-    A corner of every used cell is placed by ray crossings over its latitude band (at most
-    one corner per cell of the globe).  A point then differs from its cell's corner by the
+    A corner of every used cell is placed by ray crossings: it meets the edges that cross the
+    latitude of its row of cells, no others.  A point then differs from its cell's corner by the
     edges of that one cell crossed on the way there: right to the cell border, up along it.
     """
     spots = points.filter(F.col("longitude").isNotNull() & F.col("latitude").isNotNull()).select(
         *POINT).distinct().withColumns({"cx": _cell(F.col("longitude")), "cy": _cell(F.col("latitude"))})
     right = (F.col("cx") + 1) * LAND_CELL - ORIGIN
     top = (F.col("cy") + 1) * LAND_CELL - ORIGIN
-    corners = spots.select("cx", "cy").distinct().withColumns({"px": right, "py": top}).withColumn(
-        "band", F.floor("py"))
-    banded = edges.filter(F.col("y1") != F.col("y2")).withColumn("band", F.explode(F.sequence(
-        F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
+    corners = spots.select("cx", "cy").distinct().withColumns({"px": right, "py": top})
+    # rows whose upper border the edge crosses; one row more on both sides is tested than can be
+    crossing = edges.filter(F.col("y1") != F.col("y2")).withColumn("cy", F.explode(F.sequence(
+        _cell(F.least("y1", "y2")) - 1, _cell(F.greatest("y1", "y2"))))).filter(
+        (F.col("y1") > top) != (F.col("y2") > top))
     py, px = F.col("py"), F.col("px")
-    corner_in = corners.join(banded, "band").filter(
-        ((F.col("y1") > py) != (F.col("y2") > py)) & (_crossing_x(py) > px)
-    ).groupBy("cx", "cy", "poly_id").agg(F.count(F.lit(1)).alias("hits"))
+    corner_in = corners.join(crossing, "cy").filter(_crossing_x(py) > px).groupBy("cx", "cy", "poly_id").agg(F.count(F.lit(1)).alias("hits"))
     near = spots.join(_edges_by_cell(edges, LAND_CELL), ["cx", "cy"])
     lon, lat = F.col("longitude"), F.col("latitude")
     # the guards keep a level or upright edge from dividing by zero
@@ -105,13 +119,12 @@ def on_land(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 # --- nearest coast -------------------------------------------------------------------------------
-def nearest_coast(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """longitude, latitude, coast_lon, coast_lat, km for each distinct point.
+def coast_pairs(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each distinct point with the few edges among which its nearest one is.
 
     A vertex in the 3 x 3 block of cells of size s lies within 2*sqrt(2)*s < 4s, so the block
     one level up (cells of 4s) must hold the nearest edge.  Each used cell looks up the
     smallest level with a vertex nearby; each point then meets only the edges of one block.
-    Nearest is planar in degrees; the distance is spherical.
     """
     top = len(NEAREST_CELLS) - 1
     spots = points.select(*POINT).distinct().withColumns({
@@ -148,7 +161,15 @@ def nearest_coast(points: DataFrame, edges: DataFrame) -> DataFrame:
     for i, size in enumerate(NEAREST_CELLS):
         part = _edges_by_cell(edges, size).withColumn("level", F.lit(i))
         placed = part if placed is None else placed.unionByName(part)
-    pairs = asked.join(placed, ["level", "cx", "cy"])
+    return asked.join(placed, ["level", "cx", "cy"])
+
+
+def nearest_coast(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """longitude, latitude, coast_lon, coast_lat, km for each distinct point.
+
+    Nearest is planar in degrees; the distance is spherical.
+    """
+    pairs = coast_pairs(points, edges)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     length2 = dx * dx + dy * dy
     along = ((F.col("longitude") - F.col("x1")) * dx + (F.col("latitude") - F.col("y1")) * dy)

@@ -128,6 +128,28 @@ def test_land_and_coast_on_random_polygons(spark):
         assert abs((r["coast_lon"] - s[0]) ** 2 + (r["coast_lat"] - s[1]) ** 2 - d) < 1e-9 * max(1, d)
 
 
+def test_long_coast_meets_few_edges_per_point(spark):
+    n, rnd = 100_000, random.Random(9)
+    at = lambda i: (20 + 10 * math.cos(2 * math.pi * i / n), 5 + 10 * math.sin(2 * math.pi * i / n))
+    edges = [(1, *at(i), *at((i + 1) % n)) for i in range(n)]
+    frame = spark.createDataFrame(edges, EDGES).repartition(8)
+    spots = []
+    for _ in range(200):
+        angle, off = rnd.uniform(0, 2 * math.pi), rnd.uniform(-0.003, 0.003)
+        spots.append((20 + (10 + off) * math.cos(angle), 5 + (10 + off) * math.sin(angle)))
+    points = spark.createDataFrame(spots, POINTS)
+    assert coast.coast_pairs(points, frame).count() < 200 * 100
+    near = {(r["longitude"], r["latitude"]): r for r in coast.nearest_coast(points, frame).collect()}
+    for s in spots[:20]:
+        d, sy, sx = _nearest(edges, *s)
+        r = near[s]
+        assert abs((r["coast_lon"] - s[0]) ** 2 + (r["coast_lat"] - s[1]) ** 2 - d) < 1e-12
+    land = {(r[0], r[1]) for r in coast.on_land(points, frame).collect()}
+    # the ring is a polygon inside its circle, so only points close to it can differ from the circle
+    assert all((s in land) == (math.hypot(s[0] - 20, s[1] - 5) < 10) for s in spots
+               if abs(math.hypot(s[0] - 20, s[1] - 5) - 10) > 1e-6)
+
+
 def test_place_match_against_all_pairs(spark):
     rnd = random.Random(3)
     spots = [(rnd.choice([0.0, 60.0, -77.3, 179.9995, -179.9998]), rnd.choice([0.0, 45.0, 80.0, -25.076]))
