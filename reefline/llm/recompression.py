@@ -127,7 +127,7 @@ def _anchors(tokens: np.ndarray, lengths: np.ndarray, width: int):
 
 
 def rule(width: int = WINDOW) -> Rule:
-    return Rule(width, _tokens, _anchors, False)
+    return Rule(width, _tokens, _anchors, False, False)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

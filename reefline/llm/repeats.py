@@ -58,6 +58,7 @@ class Rule:
     tokens: object      # (bytes of all texts, offsets) -> tokens of all texts, tokens in each
     anchors: object     # (tokens, tokens in each text, width) -> key per window start, anchor number, is a window
     any_repeat: bool    # True: a window repeats if it occurs twice; False: if it starts in an earlier document
+    raw: bool           # True: each byte of a text is a token, so contexts travel as bytes
 
 
 def _segments(lengths: np.ndarray, width: int, limit: int = 1 << 21) -> list[tuple[int, int, int]]:
@@ -130,18 +131,19 @@ def _cut(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBat
             get = lambda n: struct.field(n).to_numpy(zero_copy_only=False)
             begin = base[text] + get("first")
             end = begin + get("windows") - 1 + rule.width
-            raw = tokens.astype("<u8").tobytes()
-            contents = [raw[8 * a:8 * b] for a, b in zip(begin.tolist(), end.tolist())]
+            size = 1 if rule.raw else 8
+            data = body[part[0]:part[-1]].tobytes() if rule.raw else tokens.astype("<u8").tobytes()
+            contents = [data[size * a:size * b] for a, b in zip(begin.tolist(), end.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [struct.field(n) for n in ("key", "ctx", "n", "ord")] + [pa.array(contents, pa.binary())],
                 ["key", "ctx", "n", "ord", "content"])
 
 
-def _windows(table, width: int):
+def _windows(table, rule: Rule):
     """Every window of every context: context number, place in it, and a hash of 128 bits."""
     offsets, body = buffers(table.column("content"))
-    tokens = np.frombuffer(body.tobytes(), np.uint64)
-    ends = offsets // 8
+    tokens = rule.tokens(body, offsets)[0] if rule.raw else np.frombuffer(body.tobytes(), np.uint64)
+    ends, width = offsets if rule.raw else offsets // 8, rule.width
     count = np.diff(ends) - width + 1
     owner = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -164,7 +166,7 @@ def _ranges(owner: np.ndarray, place: np.ndarray, hit: np.ndarray, width: int, c
 
 def _compare(key: tuple, table: pa.Table, rule: Rule) -> pa.Table:
     table = table.combine_chunks()
-    owner, place, one, two = _windows(table, rule.width)
+    owner, place, one, two = _windows(table, rule)
     keys, n, order = (table.column(c).to_numpy() for c in ("key", "n", "ord"))
     sort = np.lexsort((two, one, keys[owner]))
     so, s1, s2 = owner[sort], one[sort], two[sort]
@@ -183,10 +185,10 @@ def _compare(key: tuple, table: pa.Table, rule: Rule) -> pa.Table:
     return out.filter(pa.array(some))
 
 
-def _spread(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            owner, place, one, two = _windows(batch, width)
+            owner, place, one, two = _windows(batch, rule)
             taken = [batch.column(c).take(pa.array(owner)) for c in ("key", "ctx", "n", "ord")]
             yield pa.RecordBatch.from_arrays(
                 [*taken, pa.array(place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
@@ -196,7 +198,7 @@ def _spread(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 def _crowded(contents: DataFrame, rule: Rule) -> DataFrame:
     """The same comparison for keys with very many contexts, window by window through the shuffle."""
     spread = stored(contents.mapInArrow(
-        partial(_spread, width=rule.width),
+        partial(_spread, rule=rule),
         "key long, ctx long, n long, ord long, place long, one long, two long"), "crowded")
     met = F.sum("n") > 1 if rule.any_repeat else F.min("ord") < F.max("ord")
     sums = stored(spread.groupBy("key", "one", "two").agg(met.alias("met"), F.min("ord").alias("least"))

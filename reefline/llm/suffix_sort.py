@@ -56,7 +56,7 @@ def _samples(tokens: np.ndarray, lengths: np.ndarray, width: int):
 
 
 def rule(width: int = WINDOW) -> Rule:
-    return Rule(width, _tokens, _samples, True)
+    return Rule(width, _tokens, _samples, True, True)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
