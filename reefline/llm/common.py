@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,20 @@ def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
+def lean(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task that gives its memory back at its end; Python workers stay for later tasks."""
+    @wraps(task)
+    def run(*args, **named) -> Iterator:
+        try:
+            yield from task(*args, **named)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+    return run
+
+
 def bounded(df: DataFrame, rows: int, row_bytes: int, limit: int = 16 << 20) -> DataFrame:
     """Broadcast only where the counted rows fit the limit; beyond it the join shuffles."""
     return F.broadcast(df) if rows * row_bytes <= limit else df

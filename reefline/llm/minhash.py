@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reefline.functions.frames import top_per_key
-from reefline.llm.common import WordHashes, bounded, buffers, chunks, mix64, small_batches, stored, text_of
+from reefline.llm.common import WordHashes, bounded, buffers, chunks, lean, mix64, small_batches, stored, text_of
 from reefline.llm.superminhash import shingles, signatures
 from reefline.llm.union_find import components
 
@@ -50,6 +50,7 @@ def _word_arrays(data: bytes, offsets: list[int], words: WordHashes) -> tuple[np
     return words.of([w for x in lists for w in x]), lengths
 
 
+@lean
 def _signatures(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     size = rule.bands * rule.rows
@@ -93,11 +94,12 @@ def _text_sets(batch: pa.RecordBatch, node: str, text: str, words: WordHashes, w
     known |= zip(new, np.split(elements, np.cumsum(counts)[:-1]))
 
 
+@lean
 def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:
         sizes = np.diff(buffers(batch.column("text_a"))[0]) + np.diff(buffers(batch.column("text_b"))[0])
-        for start, stop in chunks(sizes, 8_000_000):
+        for start, stop in chunks(sizes, 4_000_000):
             rows, sets = batch.slice(start, stop - start), {}
             for side in "ab":
                 _text_sets(rows, side, f"text_{side}", words, rule.width, sets)
@@ -110,6 +112,7 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
             yield rows.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+@lean
 def _elements(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:

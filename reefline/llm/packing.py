@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from reefline.llm.common import CACHE_WORDS, bounded, chunks, ragged, running_totals, small_batches, stored, text_of
+from reefline.llm.common import CACHE_WORDS, bounded, chunks, lean, ragged, running_totals, small_batches, stored, text_of
 
 WINDOW = 4096
 END_ID = 2
@@ -149,6 +149,7 @@ class ChunkTokens:
         return ids, _sums(lengths, np.array(ends))
 
 
+@lean
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     coder = ChunkTokens(path, end_id)
     part, before = TaskContext.get().partitionId(), 0
@@ -166,6 +167,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
             before += int(ends[-1])
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -188,6 +190,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         ], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
+@lean
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")

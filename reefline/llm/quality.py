@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reefline.llm.common import CACHE_WORD_BYTES, WordHashes, buffers, mix64, small_batches, text_of
+from reefline.llm.common import CACHE_WORD_BYTES, WordHashes, buffers, lean, mix64, small_batches, text_of
 
 BITS = 18
 SAMPLE = 12_000
@@ -92,6 +92,7 @@ def train(rows: list[tuple[bytes, int]], bits: int = BITS, epochs: int = EPOCHS)
     return _weights(z, n).astype(np.float32)
 
 
+@lean
 def _train_task(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     rows = []
     for batch in batches:
@@ -127,6 +128,7 @@ def _scores(column: pa.Array, weights: np.ndarray, words: WordHashes, shapes: Sh
     return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
+@lean
 def _score(batches: Iterator[pa.RecordBatch], shared, bits: int, least: float | None) -> Iterator[pa.RecordBatch]:
     """Scores in place of the last column, or with `least` the rows that reach it, without that column."""
     weights = np.frombuffer(shared.value, np.float32).astype(np.float64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reefline.llm import chat, exact_dedup, minhash, mixing, packing, quality, recompression, sharding, suffix_sort, topk
-from reefline.llm.common import read, text_of
+from reefline.llm.common import WORD_PATTERN, read, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -42,6 +42,30 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+# Every pair of documents with a common shingle, and the components of those similar enough.
+OP4_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '{WORD_PATTERN}') AS ws FROM documents),
+placed AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words),
+spans AS (
+  SELECT doc_id, n, i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s
+  FROM placed),
+shingles AS (SELECT DISTINCT doc_id, s FROM spans WHERE i <= greatest(n - 2, 1)),
+sizes AS (SELECT doc_id, count(*) AS k FROM shingles GROUP BY 1),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.k + y.k - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM both_ways UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(s.k, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(l.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+"""
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text_of()) + 1).cast("long").alias("size"),
@@ -110,6 +134,29 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+# Every window of 200 bytes, as 400 hexadecimal digits.
+OP7_SQL = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, length(h) // 2 AS n, h, unnest(range(0, length(h) // 2 - 199, 250)) AS p FROM raw WHERE length(h) >= 400),
+pieces AS (SELECT doc_id, n, p, substr(h, 2 * p + 1, 898) AS h FROM parts),
+starts AS (SELECT doc_id, p, h, unnest(range(1, least(250, n - 199 - p) + 1)) AS j FROM pieces),
+windows AS (SELECT doc_id, p + j AS i, md5(substr(h, 2 * j - 1, 400)) AS w FROM starts),
+twice AS (SELECT w FROM windows GROUP BY 1 HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, i > 200 + coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) AS fresh
+         FROM windows SEMI JOIN twice ON windows.w = twice.w),
+numbered AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hits),
+spans AS (SELECT doc_id, span, min(i) AS first, max(i) + 199 AS last FROM numbered GROUP BY 1, 2),
+gaps AS (SELECT doc_id, span, first, last, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before FROM spans),
+kept AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(last - first + 1) AS n_removed,
+         string_agg(substr(h, 2 * before + 1, 2 * (first - 1 - before)), '' ORDER BY span) || substr(any_value(h), 2 * max(last) + 1) AS rest
+  FROM gaps g JOIN raw r ON r.doc_id = g.doc_id GROUP BY 1)
+SELECT r.doc_id, (length(r.h) // 2)::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+       coalesce(k.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.rest, r.h))) AS kept_sha256
+FROM raw r LEFT JOIN kept k ON k.doc_id = r.doc_id
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), F.array("source")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -133,6 +180,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+# Every window of 13 words with the least document it starts in.
+OP10_SQL = f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') AS ws FROM documents),
+placed AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words),
+windows AS (
+  SELECT doc_id, n, i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s
+  FROM placed),
+full_windows AS (SELECT doc_id, i, md5(s) AS s FROM windows WHERE i <= n - 12),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM full_windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(13)) AS i FROM hits),
+kept AS (SELECT p.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p.i) AS rest
+         FROM placed p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY 1)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.rest, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_packing": op2_packing,
@@ -148,6 +213,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_exact_topk": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op4_minhash_near_dedup": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
+    "op7_suffix_dedup": OP7_SQL,
     "op8_mixing": mixing.ORACLE,
+    "op10_substring_dedup": OP10_SQL,
 }

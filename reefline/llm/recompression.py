@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reefline.llm.common import WordHashes, buffers, mix64
+from reefline.llm.common import WordHashes, buffers, lean, mix64
 from reefline.llm.repeats import BASES, Rolling, Rule, mask, with_covers
 
 WINDOW = 13
@@ -130,6 +130,7 @@ def rule(width: int = WINDOW) -> Rule:
     return Rule(width, _tokens, _anchors, False, False)
 
 
+@lean
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, body = buffers(batch.column("text"))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reefline.llm.common import buffers, chunks, mix64, small_batches, stored, text_of
+from reefline.llm.common import buffers, chunks, lean, mix64, small_batches, stored, text_of
 
 BUCKET_CONTEXTS = 8192
 # A key with more contexts than this has its windows counted by the shuffle, one row each.
@@ -91,6 +91,7 @@ def _runs(rule: Rule, tokens: np.ndarray, lengths: np.ndarray):
     return text, key[begin], mix64(hashes + count.astype(np.uint64)), first, count
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     names = ["key", "ctx", "ord", "thash", "first", "windows"]
     for batch in batches:
@@ -117,6 +118,7 @@ def _scan(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
                     pa.array((first + shift[piece]).astype(np.int64)), pa.array(count.astype(np.int32))], names)
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """The token stretch of each wanted context of a text."""
     for batch in batches:
@@ -185,6 +187,7 @@ def _compare(key: tuple, table: pa.Table, rule: Rule) -> pa.Table:
     return out.filter(pa.array(some))
 
 
+@lean
 def _spread(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:

@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reefline.llm.common import stored
+from reefline.llm.common import lean, stored
 
 LINKS_AT_ONCE = 1_000_000
 
 
+@lean
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a partition as stars around the least node of each local component."""
     def emit(parent: dict[int, int]) -> pa.RecordBatch:
