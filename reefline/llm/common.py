@@ -21,7 +21,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # Bytes of text that a Python worker turns into arrays at once.
 CHUNK_BYTES = 1_000_000
 # Entries of a worker's word cache, and the longest word it holds.
-CACHE_WORDS, CACHE_WORD_BYTES = 200_000, 64
+CACHE_WORDS, CACHE_WORD_BYTES = 120_000, 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,11 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Fixes the rows for all later passes, cuts the lineage, and outlives executors.
     """
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    # small row groups keep little in the writers' memory
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Arrow batches of fewer rows for the session: whole texts are long, and both sides hold a batch."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df

@@ -23,11 +23,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from reefline.llm.common import CACHE_WORDS, bounded, chunks, lean, ragged, running_totals, small_batches, stored, text_of
+from reefline.llm.common import bounded, chunks, lean, ragged, running_totals, small_batches, stored, text_of
 
 WINDOW = 4096
 END_ID = 2
 PAD_ID = 0
+# Strings that each of a worker's two caches holds, and bytes of text it encodes at once.
+CACHE_ROWS, ENCODE_BYTES = 80_000, 400_000
 
 
 # How the tokenizer of word_bpe_49k.json splits lower-cased chunks of these characters.
@@ -41,7 +43,7 @@ class IdTable:
     def __init__(self):
         self.rows: dict[str | None, int] = {}
         self.starts, self.lengths, self.flat = array("q"), array("q"), array("i")
-        self.held = 0
+        self.held, self.uses = 0, np.zeros(0, np.int64)
 
     def add(self, keys: list, ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.starts)
@@ -58,8 +60,24 @@ class IdTable:
         lengths = np.array(self.lengths)[rows]
         return np.array(self.flat)[ragged(np.array(self.starts)[rows], lengths)], lengths
 
-    def full(self, rows: int) -> bool:
-        return len(self.starts) > rows or self.held > 32 << 20
+    def count(self, rows: np.ndarray) -> None:
+        """Remember how often rows were asked for."""
+        asked = np.bincount(rows, minlength=len(self.starts))
+        asked[:len(self.uses)] += self.uses
+        self.uses = asked
+
+    def trim(self, limit: int, fixed: int) -> None:
+        """Beyond `limit` rows keep the first `fixed` and the third of the limit that is asked for most."""
+        if len(self.starts) <= limit and self.held <= 16 << 20:
+            return
+        keys, uses = list(self.rows), self.uses
+        often = fixed + np.argsort(-uses[fixed:], kind="stable")[:limit // 3]
+        often = np.concatenate([np.arange(fixed), np.sort(often[uses[often] > 1])])
+        ids, lengths = self.ids(often)
+        self.__init__()
+        self.add([keys[i] for i in often.tolist()], ids, lengths)
+        # older counts weigh less, so that words no longer seen give way
+        self.uses = uses[often] // 2 + 1
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,22 +100,14 @@ class ChunkTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.end_id = end_id
         self.split = re.compile(pieces).findall if pieces else None
         self.plain = re.compile(PLAIN_CHUNK).fullmatch
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # the model reads each byte of a letter beyond ASCII as a character of its own
         self.bytes_of = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self._start_chunks()
-        self._start_pieces()
-
-    def _start_chunks(self) -> None:
-        self.chunks = IdTable()
+        self.chunks, self.pieces = IdTable(), IdTable()
         # None stands for the end of a document, "" for two blanks in a row
-        self.chunks.add([None, ""], np.array([self.end_id]), np.array([1, 0]))
-
-    def _start_pieces(self) -> None:
-        self.pieces = IdTable()
+        self.chunks.add([None, ""], np.array([end_id]), np.array([1, 0]))
         self.pieces.add(["\n"], np.zeros(0), np.array([0]))
 
     def _piece_rows(self, pieces: list[str]) -> np.ndarray:
@@ -119,10 +129,10 @@ class ChunkTokens:
             known = set(simple)
             whole = [w for w in words if w not in known]
         if simple:
-            if self.pieces.full(CACHE_WORDS):
-                self._start_pieces()
+            self.pieces.trim(CACHE_ROWS, 1)
             pieces = self.split("\n".join(simple).lower() + "\n")
             rows = self._piece_rows(pieces)
+            self.pieces.count(rows)
             ids, lengths = self.pieces.ids(rows)
             self.chunks.add(simple, ids, _sums(lengths, np.flatnonzero(rows == 0) + 1))
         if whole:
@@ -132,8 +142,7 @@ class ChunkTokens:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind, and the count for each text."""
-        if self.chunks.full(CACHE_WORDS):
-            self._start_chunks()
+        self.chunks.trim(CACHE_ROWS, 2)
         words: list[str | None] = []
         ends = []
         for text in texts:
@@ -145,6 +154,7 @@ class ChunkTokens:
         if missing:
             self._learn(list({words[i] for i in missing}))
             rows[missing] = self.chunks.find([words[i] for i in missing])
+        self.chunks.count(rows)
         ids, lengths = self.chunks.ids(rows)
         return ids, _sums(lengths, np.array(ends))
 
@@ -155,7 +165,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
     part, before = TaskContext.get().partitionId(), 0
     for batch in batches:
         sizes = pc.binary_length(batch.column("text")).to_numpy()
-        for start, stop in chunks(sizes):
+        for start, stop in chunks(sizes, ENCODE_BYTES):
             rows = batch.slice(start, stop - start)
             ids, counts = coder.encode(rows.column("text").to_pylist())
             ends = np.cumsum(counts)
