@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reefline.llm import chat, exact_dedup, minhash, mixing, packing, quality, recompression, sharding, suffix_sort, topk
+from reefline.llm import (
+    chat, exact_dedup, merkle, minhash, mixing, multi_index, packing, quality, recompression, sharding, suffix_sort, topk, whitening,
+)
 from reefline.llm.common import WORD_PATTERN, read, text_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -198,6 +200,24 @@ FROM words d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.tampered(read(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return whitening.whiten(vectors).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+NEAREST, NEAREST_EVERY = 20, 20
+
+
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    queries = vectors.filter(F.col("vec_id") % NEAREST_EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    return multi_index.search(vectors, queries, NEAREST)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_packing": op2_packing,
@@ -209,6 +229,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_multi_index": op13_multi_index,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_topk": OP1_SQL,
@@ -218,4 +241,5 @@ ORACLES: dict[str, str] = {
     "op7_suffix_dedup": OP7_SQL,
     "op8_mixing": mixing.ORACLE,
     "op10_substring_dedup": OP10_SQL,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
