@@ -71,3 +71,36 @@ def unseen(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """
     hit = stored.select(key).join(new.select(key), key, "left_semi").distinct()
     return new.join(hit, key, "left_anti")
+
+
+BLOCK = 4096
+
+
+def _earlier(part: list[str], order: str) -> W:
+    return W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+
+
+def least_before(rows: DataFrame, key: str, at: str, value: str, name: str, last: int) -> DataFrame:
+    """Adds the least `value` among the key's rows at smaller positions (distinct within a key, up to `last`).
+
+    Positions are cut into blocks, so a key shared by very many rows is never one task: no window
+    sees more than a block of its positions, or one row per block.
+    """
+    if last < BLOCK:
+        return rows.withColumn(name, F.min(value).over(_earlier([key], at)))
+    each = rows.withColumn("_block", F.floor(F.col(at) / BLOCK))
+    blocks = each.groupBy(key, "_block").agg(F.min(value).alias("_least")).select(
+        key, "_block", F.min("_least").over(_earlier([key], "_block")).alias("_above"))
+    inside = each.withColumn("_inside", F.min(value).over(_earlier([key, "_block"], at)))
+    return inside.join(blocks, [key, "_block"]).withColumn(name, F.least("_above", "_inside")).drop("_block", "_above", "_inside")
+
+
+def count_up_to(rows: DataFrame, at: str, name: str, last: int) -> DataFrame:
+    """position, and how many rows stand at or before it; positions are distinct and at most `last`."""
+    each = rows.select(at, F.floor(F.col(at) / BLOCK).alias("_block"))
+    inside = each.withColumn(name, F.row_number().over(W.partitionBy("_block").orderBy(at)))
+    if last < BLOCK:
+        return inside.drop("_block")
+    blocks = each.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_n").over(_earlier(["_all"], "_block")), F.lit(0)).alias("_above"))
+    return inside.join(blocks, "_block").select(at, (F.col("_above") + F.col(name)).alias(name))

@@ -8,7 +8,7 @@ from reefline.constants import MAX_LENGTHS, REVIEWED_SOURCE_NOTE
 from reefline.functions.frames import rank_within, top_per_key
 from reefline.functions.text import blank_to_null
 from reefline.operators import candidates as cand
-from reefline.operators.resolve import leaders_within, match_cascade
+from reefline.operators.batch import decide_batch
 from reefline.operators.validate import incident_rules, split
 from reefline.session import durable
 from reefline.schemas import AUDIT, INCIDENTS, SOURCES, conform
@@ -49,18 +49,19 @@ def allocate_case_numbers(new: DataFrame, incidents: DataFrame, counters: DataFr
 
 
 # --- attaching coverage --------------------------------------------------------------------
-def attach_coverage(coverage: DataFrame, sources: DataFrame,
-                    report: str = "submission_id") -> tuple[DataFrame, DataFrame]:
+def attach_coverage(coverage: DataFrame, sources: DataFrame, report: str = "submission_id",
+                    order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(new source rows, audit rows) for reports that joined an existing incident.
 
     `coverage` has one row per report source with report, position and incident_id; a
     report without sources has one row with a null position.  URLs the incident holds, or
-    got earlier in the batch, are skipped; sources without a URL are always added.
+    got earlier in the batch (by `order`, else by report), are skipped; sources without a URL
+    are always added.
     """
     given = coverage.filter(F.col("position").isNotNull())
     has_url = F.coalesce(F.length("source_url") > 0, F.lit(False))
     first = top_per_key(given.filter(has_url), ["incident_id", "source_url"],
-                        [F.asc(report), F.asc("position")])
+                        [F.asc(order or report), F.asc("position"), F.asc("source_title")])
     held = sources.filter(has_url).select("incident_id", "source_url").join(
         first.select("incident_id", "source_url"), ["incident_id", "source_url"], "left_semi").distinct()
     added = first.join(held, ["incident_id", "source_url"], "left_anti").unionByName(
@@ -83,52 +84,43 @@ def attach_coverage(coverage: DataFrame, sources: DataFrame,
 def submit(submissions: DataFrame, submission_sources: DataFrame, incidents: DataFrame,
            sources: DataFrame, counters: DataFrame, year: int, prefix: str = "CASE",
            new_id: Column | None = None) -> dict[str, DataFrame]:
-    """Apply a batch of submissions.
+    """Apply a batch of submissions, in the order of submitted_at and submission_id.
 
-    Returns `outcome` (submission, incident, created or attached), the new `incidents` and
-    `sources`, and `audit` rows.  A submission joins a stored incident if it matches one,
-    else the first unmatched submission of the batch it shares a key with, else it becomes
-    an incident of its own.
+    Returns `outcome` (submission, incident, case, how it was matched or `created`), the new
+    `incidents` and `sources`, and `audit` rows.  Every submission looks at the stored incidents and
+    at what the earlier ones of the batch made of them (see `batch.decide_batch`).
     """
     key = "submission_id"
-    # one small row per submission, used four times below
-    target = durable(match_cascade(submissions, submission_sources, sources, incidents))
-    fresh = submissions.join(target.filter(F.col("incident_id").isNull()).select(key), key, "left_semi")
-    fresh_sources = submission_sources.join(fresh.select(key), key, "left_semi")
-    leaders = leaders_within(fresh, fresh_sources)
+    used = highest_suffix(incidents, prefix).unionByName(counters.select("year", "last_value"))
+    floor = used.filter(F.col("year") == year).agg(F.max("last_value")).first()[0] or 0
+    decided = durable(decide_batch(
+        submissions, submission_sources, sources, incidents,
+        lambda n: case_number(prefix, F.lit(year), (n + F.lit(floor)).cast("bigint")), key))
     own_id = new_id if new_id is not None else F.col(key)
-    founders = fresh.join(leaders.filter(F.col(key) == F.col("leader")).select(key), key, "left_semi")
-    numbered = allocate_case_numbers(
-        founders.withColumn("year", F.lit(year)), incidents, counters, ["submitted_at", key],
-        prefix).withColumn("id", own_id)
+    founders = submissions.join(
+        decided.filter("matched_by = 'created'").select(key, "pos", "case_number"), key).withColumn("id", own_id)
     trusted = F.col("role").isin(AUTO_VERIFIED_ROLES)
-    created = numbered.withColumns({
+    created = founders.withColumns({
         "verification_status": F.when(trusted, "verified").otherwise("pending"),
         "submitted_by": F.col("role"), "verified_by": F.when(trusted, F.col("role")),
         "verified_at": F.when(trusted, F.col("submitted_at")).cast("timestamp_ntz"),
         "date_precision": F.coalesce("date_precision", F.lit("exact")),
         "fatal": F.coalesce("fatal", F.lit(False)),
         "updated_at": F.col("submitted_at")})
-    joined = leaders.filter(F.col(key) != F.col("leader"))
-    followed = joined.join(
-        numbered.select(F.col(key).alias("leader"), F.col("id").alias("incident_id")), "leader"
-    ).select(key, "incident_id", F.lit("batch").alias("matched_by"))
-    attached = target.filter(F.col("incident_id").isNotNull()).select(
-        key, "incident_id", "matched_by").unionByName(followed)
-    founded = numbered.select(key, F.col("id").alias("incident_id"))
-    own_sources = submission_sources.join(founded, key).select(
-        *[c for c in submission_sources.columns if c != key], "incident_id")
-    coverage = attached.join(submission_sources, key, "left")
-    known = sources.select("incident_id", "source_url").unionByName(
-        own_sources.select("incident_id", "source_url"))
-    added, notes = attach_coverage(coverage, known)
+    made = founders.select(F.col("pos").alias("founder"), F.col("id").alias("_made"))
+    outcome = decided.join(made, "founder", "left").select(
+        key, "pos", F.coalesce("incident_id", "_made").alias("incident_id"), "case_number", "matched_by")
+    attached = outcome.filter("matched_by <> 'created'")
+    own_sources = submission_sources.join(outcome.filter("matched_by = 'created'").select(key, "incident_id"), key).drop(key)
+    known = sources.select("incident_id", "source_url").unionByName(own_sources.select("incident_id", "source_url"))
+    coverage = attached.select(key, "pos", "incident_id").join(submission_sources, key, "left")
+    added, notes = attach_coverage(coverage, known, key, "pos")
     audit = created.select(
         F.col("id").alias("incident_id"), key, F.lit("created").alias("action"),
         F.when(trusted, "auto-verified submission").otherwise("submitted").alias("notes")
     ).unionByName(notes)
-    outcome = founded.withColumn("matched_by", F.lit("created")).unionByName(attached)
     return {
-        "outcome": outcome,
+        "outcome": outcome.drop("pos"),
         "incidents": conform(created, INCIDENTS),
         "sources": conform(own_sources.unionByName(added, allowMissingColumns=True), SOURCES),
         "audit": audit,

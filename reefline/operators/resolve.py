@@ -94,6 +94,21 @@ def contradicts(a_age: Column, b_age: Column, a_sex: Column, b_sex: Column) -> C
 SIGNATURE = ["incident_date", "classification", "longitude", "latitude", "victim_age", "victim_sex"]
 
 
+def near_signatures(asking: DataFrame, holding: DataFrame) -> DataFrame:
+    """r, h: signatures (column `s`) of one date and class within the radius whose victims do not contradict.
+
+    Cells of about 222 m turn the radius into an equi-join on date, class and cell.
+    """
+    where = ["date", "class", "cell"]
+    at = lambda rows, cell: rows.withColumns({
+        "date": F.col("s.incident_date"), "class": F.col("s.classification"), "cell": cell})
+    left = at(asking, F.explode(match_block(F.col("s.latitude"), F.col("s.longitude")))).select("r", *where, F.col("s").alias("a"))
+    right = at(holding, match_cell(F.col("s.latitude"), F.col("s.longitude"))).select("h", *where, F.col("s").alias("b"))
+    close = haversine_km(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude")) * 1000 <= MATCH_RADIUS_M
+    return left.join(right, where).filter(close & ~contradicts(
+        F.col("b.victim_age"), F.col("a.victim_age"), F.col("b.victim_sex"), F.col("a.victim_sex"))).select("r", "h")
+
+
 def match_by_place(reports: DataFrame, incidents: DataFrame,
                    report: str = "submission_id") -> DataFrame:
     """Same date and class within 150 m, victim not contradicting, lowest case.
@@ -151,40 +166,6 @@ def match_cascade(reports: DataFrame, report_sources: DataFrame, sources: DataFr
         report, "hit.incident_id", "hit.case_number", "hit.matched_by")
 
 
-def leaders_within(reports: DataFrame, report_sources: DataFrame, order: str = "submission_id",
-                   max_rounds: int = 64) -> DataFrame:
-    """report -> leader for reports of one batch that match nothing stored.
-
-    A report follows the first report sharing one of its URLs, headlines or signatures.
-    Following always points backwards, so doubling the pointers ends at each group's first
-    report in log2(longest chain) rounds.
-    """
-    urls = report_sources.filter(F.length("source_url") > 0).select(
-        order, F.concat(F.lit("u:"), "source_url").alias("key"))
-    titles = report_sources.select(
-        order, F.explode(headlines(F.col("source_title"))).alias("key")).withColumn(
-        "key", F.concat(F.lit("h:"), "key"))
-    spots = reports.filter(
-        (F.col("date_precision") == "exact") & F.col("incident_date").isNotNull()
-        & F.col("longitude").isNotNull()).select(
-        order, F.concat_ws("|", F.lit("p:"), F.col("incident_date").cast("string"), "classification",
-                           F.round("longitude", 3).cast("string"), F.round("latitude", 3)
-                           .cast("string")).alias("key"))
-    keys = urls.unionByName(titles).unionByName(spots).filter(F.col("key").isNotNull()).distinct()
-    first = keys.groupBy("key").agg(F.min(order).alias("first"))
-    edges = keys.join(first, "key").groupBy(order).agg(F.min("first").alias("leader"))
-    links = durable(reports.select(order).join(edges, order, "left").withColumn(
-        "leader", F.coalesce("leader", order)))
-    for _ in range(max_rounds):
-        up = links.select(F.col(order).alias("leader"), F.col("leader").alias("_up"))
-        moved = durable(links.join(up, "leader").select(
-            order, F.col("_up").alias("leader"), (F.col("_up") != F.col("leader")).alias("_moved")))
-        links = moved.drop("_moved")
-        if moved.filter("_moved").isEmpty():
-            return links
-    raise RuntimeError("leader chains did not settle")
-
-
 # --- batch clusters ---------------------------------------------------------------------------
 def exact_clusters(incidents: DataFrame) -> DataFrame:
     """Members of every exact duplicate cluster with their cluster's lowest case.

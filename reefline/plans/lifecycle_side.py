@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reefline.operators import jobs, lifecycle, lineage
 from reefline.operators.capture import fill_source_ids, insert_absent
 from reefline.plans.registry import query
-from reefline.plans.resolve_side import CASCADE, HEAD, HEADLINE
+from reefline.plans.resolve_side import CASCADE, HEAD, HEADLINE, KM
 from reefline.schemas import (
     AUDIT, CANDIDATES, INCIDENTS, JOBS, NEWS, OBSERVATIONS, SOURCES, conform,
 )
@@ -67,40 +67,65 @@ def _(fx):
     return audit.select("submission_id", "incident_id", "action", "notes")
 
 
-# --- I9: the whole submission batch ------------------------------------------------------------
-BATCH = f"""WITH RECURSIVE {CASCADE}, fresh AS (SELECT s.* FROM submissions_v s JOIN cascade c ON c.submission_id = s.submission_id WHERE c.case_number IS NULL),
-heads AS (SELECT submission_id, source_url, {HEAD} AS h FROM submission_sources_v WHERE submission_id IN (SELECT submission_id FROM fresh)),
-keys AS (SELECT submission_id, concat('u:', source_url) AS k FROM heads WHERE source_url <> ''
- UNION SELECT submission_id, concat('h:', h) FROM heads WHERE {HEADLINE.format(t='h')} IS NOT NULL
- UNION SELECT submission_id, concat_ws('|', 'p:', cast(incident_date AS string), classification, cast(round(longitude, 3) AS string), cast(round(latitude, 3) AS string)) FROM fresh
-  WHERE date_precision = 'exact' AND incident_date IS NOT NULL AND longitude IS NOT NULL),
-edges AS (SELECT k.submission_id, min(f.first) AS parent FROM keys k JOIN (SELECT k, min(submission_id) AS first FROM keys GROUP BY 1) f ON f.k = k.k GROUP BY 1),
-parents AS (SELECT s.submission_id, coalesce(e.parent, s.submission_id) AS parent FROM fresh s LEFT JOIN edges e ON e.submission_id = s.submission_id),
-walk AS (SELECT submission_id, parent AS leader FROM parents UNION SELECT w.submission_id, p.parent FROM walk w JOIN parents p ON p.submission_id = w.leader WHERE p.parent <> w.leader),
-leaders AS (SELECT submission_id, min(leader) AS leader FROM walk GROUP BY 1)"""
+# --- I9: the whole submission batch, with dates cut to the month so that places meet -----------
+_walked = CASCADE.replace("submissions_v", "subs").replace("FROM incidents_v", "FROM stored")
+BATCH = f"""WITH RECURSIVE subs AS (SELECT * REPLACE (cast(date_trunc('month', incident_date) AS date) AS incident_date) FROM submissions_v),
+stored AS (SELECT * REPLACE (cast(date_trunc('month', incident_date) AS date) AS incident_date) FROM incidents_v), {_walked},
+ord AS (SELECT *, row_number() OVER (ORDER BY submitted_at, submission_id) AS i FROM subs),
+src AS MATERIALIZED (SELECT o.i, q.submission_id, (row_number() OVER (PARTITION BY o.i ORDER BY q.position, q.source_title))::INTEGER AS position, q.source_title, q.source_url, nullif(q.source_url, '') AS url, {HEADLINE.format(t=HEAD)} AS h, lower(q.source_title) AS low
+ FROM submission_sources_v q JOIN ord o ON o.submission_id = q.submission_id),
+u AS (SELECT a.i, list(DISTINCT b.i) AS js FROM src a JOIN src b ON a.url = b.url AND b.i < a.i GROUP BY 1),
+h AS (SELECT a.i, list(DISTINCT {{'j': b.i, 'p': b.position}}) AS js FROM src a JOIN src b ON a.h = b.h AND b.i < a.i AND starts_with(b.low, substr(b.h, 1, 80)) GROUP BY 1),
+p AS (SELECT a.i, list(b.i) AS js FROM ord a JOIN ord b ON a.incident_date = b.incident_date AND a.classification = b.classification AND b.i < a.i
+ WHERE a.date_precision = 'exact' AND a.longitude IS NOT NULL AND b.longitude IS NOT NULL AND {KM} * 1000 <= 150
+ AND NOT coalesce(a.victim_age <> b.victim_age, false) AND NOT coalesce(a.victim_sex <> b.victim_sex, false) GROUP BY 1),
+same AS (SELECT a.i, a.position, list(DISTINCT b.i) AS js FROM src a JOIN src b ON a.url = b.url AND b.i < a.i GROUP BY 1, 2),
+again AS (SELECT DISTINCT a.i, a.position FROM src a JOIN src b ON a.url = b.url AND b.i = a.i AND b.position < a.position),
+held AS (SELECT a.i, a.position, list(DISTINCT i.case_number) AS cases FROM src a JOIN sources_v s ON s.source_url = a.url JOIN stored i ON i.id = s.incident_id GROUP BY 1, 2),
+offers AS (SELECT s.i, list({{'p': s.position, 'url': s.url, 'again': g.i IS NOT NULL, 'js': coalesce(m.js, []), 'cases': coalesce(x.cases, [])}}) AS ss
+ FROM src s LEFT JOIN same m ON m.i = s.i AND m.position = s.position LEFT JOIN again g ON g.i = s.i AND g.position = s.position LEFT JOIN held x ON x.i = s.i AND x.position = s.position GROUP BY 1),
+rel AS MATERIALIZED (SELECT o.i, a.case_number AS cu, t.case_number AS ct, q.case_number AS cp, coalesce(u.js, []) AS us, coalesce(h.js, []) AS hs, coalesce(p.js, []) AS ps, coalesce(f.ss, []) AS ss
+ FROM ord o LEFT JOIN by_url a ON a.submission_id = o.submission_id LEFT JOIN by_title t ON t.submission_id = o.submission_id LEFT JOIN by_place q ON q.submission_id = o.submission_id
+ LEFT JOIN u ON u.i = o.i LEFT JOIN h ON h.i = o.i LEFT JOIN p ON p.i = o.i LEFT JOIN offers f ON f.i = o.i),
+walk AS (SELECT 0::BIGINT AS i, 0::BIGINT AS k, []::STRUCT(c VARCHAR, how VARCHAR, added INTEGER[])[] AS lab
+ UNION ALL SELECT i, k + (how = 'created')::INT, list_append(lab, {{'c': c, 'how': how, 'added': [s.p::INTEGER FOR s IN ss IF how = 'created' OR s.url IS NULL
+   OR NOT (s.again OR list_contains(s.cases, c) OR len([j FOR j IN s.js IF lab[j].c = c]) > 0)]}})
+ FROM (SELECT *, coalesce(du, dh, dp, concat('CASE-{YEAR}-', lpad((floor + k + 1)::VARCHAR, greatest(4, length((floor + k + 1)::VARCHAR))::INTEGER, '0'))) AS c,
+   CASE WHEN du IS NOT NULL THEN 'url' WHEN dh IS NOT NULL THEN 'headline' WHEN dp IS NOT NULL THEN 'place' ELSE 'created' END AS how
+  FROM (SELECT w.i + 1 AS i, w.k, w.lab, r.ss, f.floor, least(r.cu, list_min([w.lab[j].c FOR j IN r.us])) AS du,
+    least(r.ct, list_min([w.lab[x.j].c FOR x IN r.hs IF list_contains(w.lab[x.j].added, x.p)])) AS dh,
+    least(r.cp, list_min([w.lab[j].c FOR j IN r.ps IF w.lab[j].how = 'created'])) AS dp
+   FROM walk w JOIN rel r ON r.i = w.i + 1 CROSS JOIN (SELECT last_value AS floor FROM ({COUNTERS})) f))),
+decided AS (SELECT o.submission_id, o.i, x.c AS case_number, x.how AS matched_by, x.added FROM (SELECT unnest(lab) AS x, generate_subscripts(lab, 1) AS i FROM walk WHERE i = (SELECT max(i) FROM ord)) d JOIN ord o ON o.i = d.i),
+cases AS (SELECT case_number, id FROM stored UNION ALL SELECT case_number, submission_id FROM decided WHERE matched_by = 'created')"""
 
 
 def _batch(fx):
+    monthly = lambda df: df.withColumn("incident_date", F.trunc("incident_date", "month"))
     return lifecycle.submit(
-        fx["submissions_v"].drop("case_number"), fx["submission_sources_v"], fx["incidents_v"],
+        monthly(fx["submissions_v"]), fx["submission_sources_v"], monthly(fx["incidents_v"]),
         fx["sources_v"], fx.sql(COUNTERS), YEAR)
 
 
 @query("I09_submission_outcome", f"""
-{BATCH} SELECT submission_id, leader AS incident_id, CASE WHEN leader = submission_id THEN 'created' ELSE 'batch' END AS matched_by FROM leaders
-UNION ALL SELECT c.submission_id, i.id AS incident_id, c.matched_by FROM cascade c JOIN incidents_v i ON i.case_number = c.case_number""")
+{BATCH} SELECT d.submission_id, c.id AS incident_id, d.case_number, d.matched_by FROM decided d JOIN cases c ON c.case_number = d.case_number""")
 def _(fx):
     return _batch(fx)["outcome"]
 
 
 @query("I09_created_incidents", f"""
-{BATCH} SELECT s.submission_id AS id, concat('CASE-{YEAR}-', cast((SELECT last_value FROM ({COUNTERS})) + row_number() OVER (ORDER BY s.submitted_at, s.submission_id) AS string)) AS case_number,
- CASE WHEN s.role IN ('admin', 'verified_contributor') THEN 'verified' ELSE 'pending' END AS verification_status, s.country
-FROM leaders l JOIN submissions_v s ON s.submission_id = l.submission_id WHERE l.leader = l.submission_id""")
+{BATCH} SELECT s.submission_id AS id, d.case_number, CASE WHEN s.role IN ('admin', 'verified_contributor') THEN 'verified' ELSE 'pending' END AS verification_status, s.country
+FROM decided d JOIN subs s ON s.submission_id = d.submission_id WHERE d.matched_by = 'created'""")
 def _(fx):
     return _batch(fx)["incidents"].select("id", "case_number", "verification_status", "country")
 
 
+@query("I09_new_sources", f"""
+{BATCH} SELECT c.id AS incident_id, s.source_url, s.source_title FROM decided d JOIN src s ON s.i = d.i JOIN cases c ON c.case_number = d.case_number WHERE list_contains(d.added, s.position)""")
+def _(fx):
+    return _batch(fx)["sources"].select("incident_id", "source_url", "source_title")
+
+
 # --- I10: decisions on incidents, some of them repeated -------------------------------------------
 DECISIONS = """SELECT incident_id * 2 + r AS decision_id, incident_id, CASE WHEN r = 1 AND incident_id % 4 = 0 THEN 'verify' WHEN r = 1 THEN 'reject' ELSE action END AS action,
  decided_at + r * INTERVAL 1 HOUR AS decided_at, 'admin' AS decided_by, concat('note ', cast(r AS string)) AS notes
