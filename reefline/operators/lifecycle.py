@@ -272,6 +272,29 @@ def link_reviewed_news(news: DataFrame, judged: DataFrame, observations: DataFra
     }).select(*news.columns)
 
 
+def publish_candidates(candidates: DataFrame, decisions: DataFrame, observations: DataFrame, documents: DataFrame,
+                       news: DataFrame, incidents: DataFrame, sources: DataFrame, counters: DataFrame, year: int,
+                       prefix: str = "CASE", new_id: Column | None = None) -> dict[str, DataFrame]:
+    """Review decisions carried through to the end, in the order they were made.
+
+    Every published candidate is submitted: it joins the incident it matches, stored or founded by a
+    candidate published before it, or becomes one.  Returns `judged` (each decision with its error),
+    `candidates` and `news` as they are afterwards, and the new `incidents`, `sources` and `audit`
+    rows.  `new_id` makes the id of a new incident from `submission_id`, the candidate's id.
+    """
+    judged = durable(judge_candidates(candidates, decisions, observations, documents))
+    submissions, given = candidate_submissions(judged)
+    made_id = new_id if new_id is not None else F.xxhash64("submission_id")
+    made = submit(submissions, given, incidents, sources, counters, year, prefix, made_id)
+    outcome = durable(made["outcome"])
+    return {
+        "judged": judged, "outcome": outcome,
+        "candidates": review_candidates(judged, candidates, outcome),
+        "news": link_reviewed_news(news, judged, observations, outcome),
+        "incidents": made["incidents"], "sources": made["sources"], "audit": made["audit"],
+    }
+
+
 # --- partial update and delete ----------------------------------------------------------------------
 UPDATABLE = [f for f in (
     "incident_date", "incident_time", "date_precision", "location_description", "country",

@@ -129,7 +129,7 @@ SELECT * FROM (VALUES (1, 0e0, 0e0, 10e0, 0e0), (1, 10e0, 0e0, 10e0, 10e0), (1,
     "decisions_v": """
 SELECT id AS incident_id, CASE id % 3 WHEN 0 THEN 'verify' WHEN 1 THEN 'reject' ELSE 'patch' END AS action,
   case_number, submitted_at AS decided_at
-FROM incidents_v WHERE id % 17 = 0
+FROM incidents_v
 """,
     "audit_v": """
 SELECT event_id AS id, user_id AS incident_id, CASE event_type WHEN 'error' THEN 'merged' WHEN 'click' THEN 'verified' ELSE 'created' END AS action, ts AS changed_at

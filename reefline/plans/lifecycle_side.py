@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reefline.operators import jobs, lifecycle, lineage
 from reefline.operators.capture import fill_source_ids, insert_absent
 from reefline.plans.registry import query
-from reefline.plans.resolve_side import CASCADE, HEAD, HEADLINE, KM
+from reefline.plans.resolve_side import CASCADE, HEAD, HEADLINE, KM, LIVE
 from reefline.schemas import (
     AUDIT, CANDIDATES, INCIDENTS, JOBS, NEWS, OBSERVATIONS, SOURCES, conform,
 )
@@ -172,60 +172,69 @@ judged AS (SELECT d.*, o.id AS obs_id, o.country, o.event_type, CASE WHEN c.id I
  FROM dec d LEFT JOIN cand c ON c.id = d.candidate_id LEFT JOIN newest o ON o.candidate_id = d.candidate_id)"""
 
 
-def _judged(fx):
+# every fourth document is a page that stored incidents may cite already
+DOCUMENT_URL = "CASE WHEN source_document_id % 4 = 0 THEN concat('https://s', cast(source_document_id % 20 AS string), '.example/', cast(source_document_id % 500 AS string)) ELSE concat('https://d.example/', cast(min(id) AS string)) END"
+PUBLISHED = f"""{JUDGED}, docs AS (SELECT source_document_id, {DOCUMENT_URL} AS url FROM obs GROUP BY 1), {LIVE},
+known AS (SELECT s.source_url AS url, min(l.case_number) AS case_number FROM sources_v s JOIN live l ON l.id = s.incident_id WHERE source_url <> '' GROUP BY 1),
+pub AS (SELECT j.*, d.url, k.case_number AS stored_case, k.case_number IS NULL AND row_number() OVER (PARTITION BY d.url ORDER BY j.decided_at, j.candidate_id) = 1 AS founds
+ FROM judged j JOIN docs d ON d.source_document_id = j.obs_id % 3000 LEFT JOIN known k ON k.url = d.url WHERE j.action = 'publish' AND j.error IS NULL),
+founders AS (SELECT url, candidate_id, country, cast(substr(candidate_id, 2) AS bigint) + 500000 AS id, concat('CASE-{YEAR}-', cast((SELECT last_value FROM ({COUNTERS})) + row_number() OVER (ORDER BY decided_at, candidate_id) AS string)) AS case_number FROM pub WHERE founds),
+ended AS (SELECT p.*, coalesce(i.id, f.id) AS incident_id FROM pub p LEFT JOIN incidents_v i ON i.case_number = p.stored_case LEFT JOIN founders f ON f.url = p.url AND p.stored_case IS NULL)"""
+
+
+def _published(fx):
     from reefline.operators.candidates import with_payload
     rows = conform(fx.sql(CANDIDATE_ROWS), CANDIDATES)
     observed = with_payload(
         fx.sql(CANDIDATE_OBS).withColumn("incident_date", F.col("incident_date").cast("string")),
         ["incident_date", "location_description", "country", "classification", "victim_injury_severity"])
-    documents = observed.groupBy(F.col("source_document_id").alias("id")).agg(
-        F.concat(F.lit("https://d.example/"), F.min("id").cast("string")).alias("source_url"),
-        F.lit("Evidence").alias("title"), F.lit("Desk").alias("source_name"))
-    return rows, observed, lifecycle.judge_candidates(rows, fx.sql(CANDIDATE_DECISIONS), observed, documents)
+    documents = observed.groupBy("source_document_id").agg(F.expr(DOCUMENT_URL).alias("source_url")).select(
+        F.col("source_document_id").alias("id"), "source_url", F.lit("Evidence").alias("title"), F.lit("Desk").alias("source_name"))
+    news = conform(fx["news_v"].withColumn("source_document_id", F.col("id") % 3000), NEWS)
+    return lifecycle.publish_candidates(
+        rows, fx.sql(CANDIDATE_DECISIONS), observed, documents, news, fx["incidents_v"], fx["sources_v"], fx.sql(COUNTERS), YEAR,
+        new_id=F.substring("submission_id", 2, 20).cast("bigint") + 500000)
 
 
 @query("I11_candidate_decisions", f"WITH {JUDGED} SELECT decision_id, candidate_id, action, error FROM judged")
 def _(fx):
-    return _judged(fx)[2].select("decision_id", "candidate_id", "action", "error")
+    return _published(fx)["judged"].select("decision_id", "candidate_id", "action", "error")
+
+
+@query("I11_reviewed_candidates", f"""
+WITH {PUBLISHED} SELECT c.id, CASE WHEN j.action = 'publish' THEN 'published' WHEN j.action = 'reject' THEN 'rejected' ELSE c.status END AS status,
+ e.incident_id AS canonical_incident_id, j.notes AS review_notes
+FROM cand c LEFT JOIN (SELECT * FROM judged WHERE error IS NULL) j ON j.candidate_id = c.id LEFT JOIN ended e ON e.candidate_id = c.id""")
+def _(fx):
+    return _published(fx)["candidates"].select("id", "status", "canonical_incident_id", "review_notes")
 
 
-def _published(judged):
-    """Stand-in outcome: every published candidate becomes the incident numbered after it."""
-    submissions, _ = lifecycle.candidate_submissions(judged)
-    return submissions.select("submission_id", (F.substring("submission_id", 2, 20).cast("bigint") + 500000)
-                              .alias("incident_id"))
+@query("I11_published_incidents", f"WITH {PUBLISHED} SELECT id, case_number, country, 'verified' AS verification_status FROM founders")
+def _(fx):
+    return _published(fx)["incidents"].select("id", "case_number", "country", "verification_status")
 
 
-@query("I11_reviewed_candidates", f"""
-WITH {JUDGED} SELECT c.id, CASE WHEN j.action = 'publish' THEN 'published' WHEN j.action = 'reject' THEN 'rejected' ELSE c.status END AS status,
- CASE WHEN j.action = 'publish' THEN cast(substr(c.id, 2) AS bigint) + 500000 END AS canonical_incident_id, j.notes AS review_notes
-FROM cand c LEFT JOIN (SELECT * FROM judged WHERE error IS NULL) j ON j.candidate_id = c.id""")
+# A candidate's URL is new only where it founds an incident: whoever joins one finds its own URL there.
+@query("I11_published_sources", f"WITH {PUBLISHED} SELECT id AS incident_id, url AS source_url, 'Evidence' AS source_title, 'Desk' AS source_publisher, 'other' AS source_type FROM founders")
 def _(fx):
-    rows, _, judged = _judged(fx)
-    return lifecycle.review_candidates(judged, rows, _published(judged)).select(
-        "id", "status", "canonical_incident_id", "review_notes")
+    return _published(fx)["sources"].select("incident_id", "source_url", "source_title", "source_publisher", "source_type")
 
 
-@query("I11_published_sources", f"""
-WITH {JUDGED}, docs AS (SELECT source_document_id AS id, min(id) AS first FROM obs GROUP BY 1)
-SELECT j.candidate_id AS submission_id, concat('https://d.example/', cast(d.first AS string)) AS source_url, 'Evidence' AS source_title, 'Desk' AS source_publisher, 'other' AS source_type
-FROM judged j JOIN docs d ON d.id = j.obs_id % 3000 WHERE j.action = 'publish' AND j.error IS NULL""")
+@query("I11_published_audit", f"""
+WITH {PUBLISHED} SELECT candidate_id AS submission_id, incident_id, CASE WHEN founds THEN 'created' ELSE 'source_merged' END AS action,
+ CASE WHEN founds THEN 'auto-verified submission' ELSE 'Duplicate submission (no new sources)' END AS notes FROM ended""")
 def _(fx):
-    _, sources = lifecycle.candidate_submissions(_judged(fx)[2])
-    return sources.select("submission_id", "source_url", "source_title", "source_publisher", "source_type")
+    return _published(fx)["audit"].select("submission_id", "incident_id", "action", "notes")
 
 
 @query("I11_linked_news", f"""
-WITH {JUDGED}, s AS (SELECT DISTINCT candidate_id, source_document_id FROM obs),
-l AS (SELECT s.source_document_id, j.candidate_id, j.country, j.event_type FROM s JOIN judged j ON j.candidate_id = s.candidate_id WHERE j.action = 'publish' AND j.error IS NULL
+WITH {PUBLISHED}, s AS (SELECT DISTINCT candidate_id, source_document_id FROM obs),
+l AS (SELECT s.source_document_id, j.incident_id, j.country, j.event_type FROM s JOIN ended j ON j.candidate_id = s.candidate_id
  QUALIFY row_number() OVER (PARTITION BY s.source_document_id ORDER BY j.decided_at DESC, j.decision_id DESC) = 1)
-SELECT n.id, CASE WHEN l.candidate_id IS NULL THEN n.promoted_incident_id ELSE cast(substr(l.candidate_id, 2) AS bigint) + 500000 END AS promoted_incident_id,
+SELECT n.id, coalesce(l.incident_id, n.promoted_incident_id) AS promoted_incident_id,
  coalesce(l.event_type, n.event_type) AS event_type, coalesce(l.country, n.country) AS country FROM news_v n LEFT JOIN l ON l.source_document_id = n.id % 3000""")
 def _(fx):
-    _, observed, judged = _judged(fx)
-    news = conform(fx["news_v"].withColumn("source_document_id", F.col("id") % 3000), NEWS)
-    return lifecycle.link_reviewed_news(news, judged, observed, _published(judged)).select(
-        "id", "promoted_incident_id", "event_type", "country")
+    return _published(fx)["news"].select("id", "promoted_incident_id", "event_type", "country")
 
 
 @query("I12_partial_update", """
@@ -245,7 +254,7 @@ def _(fx):
 
 
 @query("I13_delete_cascade", """
-WITH gone AS (SELECT incident_id AS id FROM decisions_v)
+WITH gone AS (SELECT incident_id AS id FROM decisions_v WHERE action = 'reject')
 SELECT 'incidents' AS t, count(*) AS n, cast(sum(id) AS bigint) AS total FROM incidents_v WHERE id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'sources', count(*), cast(sum(incident_id) AS bigint) FROM sources_v WHERE incident_id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'audit', count(*), cast(sum(incident_id) AS bigint) FROM audit_v WHERE incident_id NOT IN (SELECT id FROM gone)
@@ -255,7 +264,7 @@ def _(fx):
     candidates = conform(fx["incidents_v"].select(
         F.col("id").cast("string").alias("id"), F.col("id").alias("canonical_incident_id")), CANDIDATES)
     left = lifecycle.delete_incidents(
-        fx["decisions_v"].select(F.col("incident_id").alias("id")), conform(fx["incidents_v"], INCIDENTS),
+        fx["decisions_v"].filter("action = 'reject'").select(F.col("incident_id").alias("id")), conform(fx["incidents_v"], INCIDENTS),
         conform(fx["sources_v"], SOURCES), conform(fx["audit_v"], AUDIT), conform(fx["news_v"], NEWS),
         candidates)
     columns = {"incidents": "id", "sources": "incident_id", "audit": "incident_id",
