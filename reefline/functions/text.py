@@ -94,15 +94,20 @@ def headline_key(title: Column) -> Column:
     return F.get(headlines(title), 0)
 
 
+def named_characters(text: Column) -> Column:
+    """The commonest character references of markup as the characters they name."""
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                         ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def strip_tags(html: Column) -> Column:
     """Visible text of markup: drop non-content blocks and comments, then tags and entities."""
     text = F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</\1\s*>", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "\n")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"(?U)\s*\n\s*", "\n")
+    text = F.regexp_replace(named_characters(text), r"(?U)\s*\n\s*", "\n")
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 

@@ -85,6 +85,15 @@ INDEX_PAGES = """SELECT page_id, concat(regexp_extract(url, '^(https?://[^/?#]+)
  '</b></a></h2></article><h3><a href="/all-2021-shark-attacks/">every attack of that year</a></h3><h2><a href="https://other.example/x/y">an off-site link</a></h2>') AS html FROM pages"""
 
 
+# The article's text goes into a nested body, with parts that a harvest must leave out and text after the body.
+def _nested_pages(fx):
+    opened = """<article class="post"><div class="meta"><a href="/tag">tag</a></div><div class='wide content'><div class="inner"><div>lead</div></div>
+<div class="comments"><div>a shark bite on the de la und wall</div></div>"""
+    closed = '<nav><div>shark</div></nav><script>if (a < b) { "</div> bite" }</script></div><div>a shark bite on the de la und the end</div></article>'
+    html = F.replace(F.replace("html", F.lit("<article>"), F.lit(opened)), F.lit("</article>"), F.lit(closed))
+    return fx["pages"].withColumn("html", html)
+
+
 @query("A03_page_harvest", f"""
 WITH linked AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS site, url, regexp_extract(html, '<title>([^<]*)', 1) AS title0, html FROM pages),
 first AS (SELECT * FROM linked WHERE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) NOT IN ('', '/')
@@ -98,7 +107,7 @@ kept AS (SELECT *, lag(seen) OVER (PARTITION BY site ORDER BY seen) AS before FR
 SELECT site, url AS source_url, title FROM kept WHERE coalesce(before, 0) < 25""")
 def _(fx):
     return pages.harvest(
-        fx.sql(INDEX_PAGES), fx["pages"], terms=["shark", "bite", "on the", "de la", "und "]).select("site", "source_url", "title")
+        fx.sql(INDEX_PAGES), _nested_pages(fx), terms=["shark", "bite", "on the", "de la", "und "]).select("site", "source_url", "title")
 
 
 @query("A03_whole_harvest", f"""
@@ -109,7 +118,7 @@ body AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_extract
 SELECT o.site, o.url AS source_url, o.title FROM first o JOIN body b ON b.url = o.url WHERE length(o.title) >= 10 AND regexp_matches(lower(b.body), 'shark|bite|on the|de la|und ')""")
 def _(fx):
     return pages.harvest(
-        fx.sql(INDEX_PAGES), fx["pages"], terms=["shark", "bite", "on the", "de la", "und "], url_cap=None, item_cap=None,
+        fx.sql(INDEX_PAGES), _nested_pages(fx), terms=["shark", "bite", "on the", "de la", "und "], url_cap=None, item_cap=None,
         body_chars=None).select("site", "source_url", "title")
 
 

@@ -115,6 +115,33 @@ def test_off_site_links_are_dropped(spark):
     assert pages.article_links(index, ["other.example"]).count() == 0
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<div class="entry-content"><div>first</div><p>second</p></div><p>out</p>', "first\nsecond"),
+    ('<section class="x post-content"><section><section>a</section>b</section> c <br> d</section>e', "a\nb\nc\nd"),
+    ('<article><div class=content>in<div class="social-share">share<div>x</div></div><p>it &amp; more</div>out</article>', "in\nit & more"),
+    ('<div class="content">not in an article</div>', None), ("<article>no body class</article>", None),
+    ('<div class="article-body"><article>a</article><nav><div>n</div></nav><script>"</div>"</script>b<!-- </div> -->c</div>d', "a\nb\nc"),
+    ('<div class="entry-content">never closed <p>one<p>two', "never closed\none\ntwo"),
+    ('<div class="post-content">first</div><div class="entry-content">second</div>', "first"), ("", None), (None, None),
+    ('<article><article><p class="content">inner</p></article></article>', "inner"),
+    ('<div class="comments"><div class="entry-content">kept</div></div>', "kept")])
+def test_article_bodies_end_at_their_own_tag(spark, html, want):
+    page = spark.createDataFrame([(1, "https://site.example/a", html)], "page_id long, url string, html string")
+    got = [r["body"] for r in pages.article_bodies(page).collect()]
+    assert got == ([] if want is None else [want])
+
+
+def test_links_come_from_elements(spark):
+    html = ('<nav><a href="/nav/">navigation link</a></nav><article class="post"><div><a href="/first/">The <b>first</b> story</a></div>'
+            '<a href="/second/">not the first of its article</a><h2><a href=/third/>Third <i>story</i></a></h2></article>'
+            '<div class="entry-content"><div><a>no target</a></div><p><a href="/fourth/">Fourth story</a></div><a href="/fifth/">outside</a>'
+            '<h3>text</h3><a href="/sixth/">after a heading</a><article><h2>no link</h2></article><h3><a href="/first/">again</a></h3>')
+    index = spark.createDataFrame([(1, "https://site.example/", html)], "page_id long, url string, html string")
+    got = {r["url"].split("/")[-2]: (r["position"]["at"], r["title"]) for r in pages.article_links(index).collect()}
+    assert {k: t for k, (_, t) in got.items()} == {"first": "Thefirststory", "third": "Thirdstory", "fourth": "Fourth story"}
+    assert sorted(got, key=got.get) == ["first", "third", "fourth"]
+
+
 def test_match_key(column):
     key = lambda d, c, p, k: candidates.match_key(d, c, p, k)
     rows = [("2026-07-12", "United States", "  Test   Beach ", "unprovoked"),
