@@ -44,14 +44,20 @@ def _(fx) -> DataFrame:
     stream.createOrReplaceTempView("events_stream")
     events = fx.spark.sql(JOB_EVENTS.replace("FROM events", "FROM events_stream"))
     root = work_folder(fx.spark, "jobs")
-    store.create(fx.spark, root, "jobs", job_state.RESULT)
-    job_state.stream_jobs(events).writeStream.outputMode("update").foreachBatch(
-        lambda df, i: store.put(df, root, "jobs", i)
-    ).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
-    rows = store.get(fx.spark, root, "jobs", job_state.RESULT)
-    return rows.groupBy("source_document_id").agg(F.max_by(
-        F.struct("status", "attempts", "available_at", "leased_until"), "batch_id").alias("j")).select(
-        "source_document_id", "j.*")
+    job_state.start_jobs(events, root, f"{root}/progress").awaitTermination()
+    return job_state.current_jobs(fx.spark, root).drop("completed_at")
+
+
+@query("J01_late_job_events", JOB_STATE_SQL)
+def _(fx) -> DataFrame:
+    """The same states where the events come in three triggers, most of them out of their order."""
+    root = work_folder(fx.spark, "late-jobs")
+    kind = fx.sql(JOB_EVENTS).withColumn("turn", (2 - F.col("event_id") % 3).cast("int"))
+    for turn in range(3):
+        kind.filter(F.col("turn") == turn).drop("turn").write.parquet(f"{root}/landed/turn={turn}")
+        events = fx.spark.readStream.schema(kind.drop("turn").schema).parquet(f"{root}/landed/turn=*")
+        job_state.start_jobs(events, root, f"{root}/progress").awaitTermination()
+    return job_state.current_jobs(fx.spark, root).drop("completed_at")
 
 
 # --- A11 and J4: the documents table as landed items ------------------------------------------
@@ -126,3 +132,35 @@ def _(fx) -> DataFrame:
     found = collector.collected_candidates(fx.spark, root)
     return rows.select("dedup_key", F.col("candidate_id").alias("id")).join(found, "id").select(
         "dedup_key", "status", F.col("observation_count").alias("observations"))
+
+
+# --- J4 in three triggers: the first answer to every fifth item is no answer, later ones come with repeats a day on
+
+
+def _three_triggers(fx) -> str:
+    """All items once, the same items a minute later (too early to be tried again), and a day later."""
+    root = work_folder(fx.spark, "triggers")
+    landed = fx.sql(LANDED.replace("cast(NULL AS timestamp)", "cast(NULL AS timestamp_ntz)").replace(
+        "timestamp '2024", "timestamp_ntz '2024"))
+    landed.createOrReplaceTempView("items")
+    answers = fx.spark.sql(RESPONSES)
+    # an answer without a proper date fails and is asked for again
+    failing = F.length("dedup_key") % 5 == 0
+    responses = lambda n: answers if n == 2 else answers.withColumn(
+        "response_text", F.when(failing, F.lit('{"is_relevant": true, "classification": "sighting", "incident_date": "soon"}')).otherwise(F.col("response_text")))
+    verifications = fx.spark.sql(VERIFICATIONS).withColumn("corrections", F.lit(None).cast("map<string,string>"))
+    for turn, delay in enumerate(("0 SECONDS", "60 SECONDS", "30 DAYS")):
+        landed.withColumn("seen_at", F.expr(f"seen_at + INTERVAL {delay}")).write.parquet(f"{root}/landed/turn={turn}")
+        items = fx.spark.readStream.schema(landed.schema).parquet(f"{root}/landed/turn=*")
+        collector.start_collector(items, responses, verifications, root, f"{root}/progress").awaitTermination()
+    return root
+
+
+@query("J04_retried_jobs", f"""
+WITH items AS ({LANDED}), t AS (SELECT {KEY} AS dedup_key, max(seen_at) AS last,
+  bool_or(regexp_matches(lower(concat(title, ' ', content)), '{SUBJECT_RE}') OR (trusted AND regexp_matches(lower(concat(title, ' ', content)), '{TRUSTED_RE}'))) FILTER (first) AS relevant
+ FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY seen_at, id) = 1 AS first FROM items) GROUP BY 1)
+SELECT dedup_key, 'completed' AS status, CASE WHEN relevant AND length(dedup_key) % 5 = 0 THEN 2 ELSE 1 END AS attempts,
+ cast(CASE WHEN relevant AND length(dedup_key) % 5 = 0 THEN last + INTERVAL 30 DAY ELSE last END AS string) AS completed_at FROM t""")
+def _(fx) -> DataFrame:
+    return collector.collected_jobs(fx.spark, _three_triggers(fx)).select("dedup_key", "status", "attempts", "completed_at")

@@ -21,22 +21,21 @@ def landed_items(spark: SparkSession, path: str, files_per_batch: int = 200) ->
 def capture_batch(root: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        for name, schema in (("evidence", SOURCE_DOCUMENTS), ("sightings", SIGHTINGS)):
+            store.compact(spark, root, name, schema, "dedup_key", batch_id)
         # Repeats and redeliveries need no state: the fold and the anti-join are idempotent, and a
         # late item is as good as any other.
         folded = fold_repeats(batch).persist()
-        stored = store.get(spark, root, "evidence", SOURCE_DOCUMENTS, before=batch_id)
+        stored = store.get(spark, root, "evidence", SOURCE_DOCUMENTS, batch_id, store.buckets_of(folded, "dedup_key"))
         fresh = unseen(folded, stored, "dedup_key")
-        store.put(conform(fresh, SOURCE_DOCUMENTS), root, "evidence", batch_id)
+        store.put(conform(fresh, SOURCE_DOCUMENTS), root, "evidence", batch_id, "dedup_key")
         store.put(folded.select("dedup_key", F.col("last_seen_at").alias("seen_at")), root,
-                  "sightings", batch_id)
+                  "sightings", batch_id, "dedup_key")
         folded.unpersist()
     return run
 
 
 def start_capture(items: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    spark = items.sparkSession
-    store.create(spark, root, "evidence", SOURCE_DOCUMENTS)
-    store.create(spark, root, "sightings", SIGHTINGS)
     return (
         shape_evidence(items).writeStream.foreachBatch(capture_batch(root))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

@@ -30,9 +30,15 @@ CLAIM_FIELDS = ["incident_date", "location_description", "country", "classificat
                 "description", "source_url", "source_title"]
 TABLES = {"evidence": SOURCE_DOCUMENTS, "sightings": SIGHTINGS, "news": NEWS, "observations": OBSERVATIONS,
           "assignments": ASSIGNMENTS, "routes": ROUTES, "jobs": JOB_STATES}
+# What each table is looked up by
+KEYS = {"observations": "source_document_id", "assignments": "match_key"}
 RECORDED = ["not_relevant", "news_only", "low_confidence", "duplicate", "invalid", "candidate"]
 
 
+def _key(name: str) -> str:
+    return KEYS.get(name, "dedup_key")
+
+
 def route_batch(items: DataFrame, responses: DataFrame, verifications: DataFrame) -> DataFrame:
     """One routed row per new item with its claim laid beside it.
 
@@ -95,13 +101,21 @@ def collect_batch(root: str, responses, verifications):
     """Work on one micro-batch; answers are tables, or functions of the batch number that give them."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = lambda name: store.get(spark, root, name, TABLES[name], before=batch_id)
+        for name, schema in TABLES.items():
+            store.compact(spark, root, name, schema, _key(name), batch_id)
+
+        def before(name: str, rows: DataFrame) -> DataFrame:
+            """What earlier batches stored in the buckets of these rows' keys."""
+            return store.get(spark, root, name, TABLES[name], batch_id, store.buckets_of(rows, _key(name)))
+
+        def put(rows: DataFrame, name: str) -> None:
+            store.put(rows, root, name, batch_id, _key(name))
         folded = fold_repeats(batch).persist()
         # evidence keeps what came first; every sighting moves the time it was seen last
-        store.put(conform(unseen(folded, before("evidence"), "dedup_key"), SOURCE_DOCUMENTS), root, "evidence", batch_id)
-        store.put(folded.select("dedup_key", F.col("last_seen_at").alias("seen_at")), root, "sightings", batch_id)
+        put(conform(unseen(folded, before("evidence", folded), "dedup_key"), SOURCE_DOCUMENTS), "evidence")
+        put(folded.select("dedup_key", F.col("last_seen_at").alias("seen_at")), "sightings")
         # several tables come from the same routed rows: keep them for the writes
-        routed = route_batch(_work(folded, before("jobs")), _answers(responses, batch_id),
+        routed = route_batch(_work(folded, before("jobs", folded)), _answers(responses, batch_id),
                              _answers(verifications, batch_id)).persist()
         promoted = F.col("route") == "candidate"
         news = routed.filter(~F.col("route").isin("not_relevant")).withColumns({
@@ -109,19 +123,22 @@ def collect_batch(root: str, responses, verifications):
             "country": F.when(promoted, F.col("country")),
             "ai_confidence": F.when(promoted, F.col("confidence")),
             "source_document_id": F.col("id")})
-        store.put(conform(news, NEWS), root, "news", batch_id)
+        put(conform(news, NEWS), "news")
         seen = routed.filter(F.col("route").isin(RECORDED)).withColumns({
             "source_document_id": F.col("id"), "extractor_name": F.lit("collector"),
             "prompt_version": F.lit("v1"), "created_at": F.col("last_seen_at"),
             "event_type": F.when(F.col("route") == "news_only", "news").otherwise(F.col("event_type"))})
-        fresh = candidates.new_observations(candidates.with_payload(seen, CLAIM_FIELDS), before("observations"))
-        existing = candidates.candidate_rows(before("assignments"))
+        shaped = candidates.with_payload(seen, CLAIM_FIELDS)
+        fresh = candidates.new_observations(shaped, before("observations", shaped)).persist()
+        keyed = candidates.assign_candidates(fresh).filter("match_key IS NOT NULL")
+        existing = candidates.candidate_rows(before("assignments", keyed))
         assigned = candidates.assign_candidates(fresh, existing)
-        store.put(assigned.select(*ASSIGNMENTS.names), root, "assignments", batch_id)
-        keyed = fresh.join(assigned.select("dedup_key", "candidate_id"), "dedup_key", "left")
-        store.put(conform(keyed, OBSERVATIONS), root, "observations", batch_id)
-        store.put(routed.select(*ROUTES.names), root, "routes", batch_id)
-        store.put(_outcome(routed).select(*JOB_STATES.names), root, "jobs", batch_id)
+        put(assigned.select(*ASSIGNMENTS.names), "assignments")
+        linked = fresh.join(assigned.select("dedup_key", "candidate_id"), "dedup_key", "left")
+        put(conform(linked, OBSERVATIONS), "observations")
+        put(routed.select(*ROUTES.names), "routes")
+        put(_outcome(routed).select(*JOB_STATES.names), "jobs")
+        fresh.unpersist()
         routed.unpersist()
         folded.unpersist()
     return run
@@ -129,8 +146,6 @@ def collect_batch(root: str, responses, verifications):
 
 def start_collector(items: DataFrame, responses, verifications, root: str,
                     checkpoint: str, **trigger) -> StreamingQuery:
-    for name, schema in TABLES.items():
-        store.create(items.sparkSession, root, name, schema)
     return (
         shape_evidence(items).writeStream
         .foreachBatch(collect_batch(root, responses, verifications))

@@ -8,12 +8,13 @@ from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from reefline.constants import (
     FIRST_RETRY_SECONDS, LEASE_MINUTES, MAX_ATTEMPTS, MAX_RETRY_SECONDS,
 )
 from reefline.session import durable
+from reefline.streaming import store
 
 LEASE = timedelta(minutes=LEASE_MINUTES)
 ORDER = ["source_document_id", "ts", "event_id"]
@@ -72,7 +73,7 @@ def _fold_slices(entries: dict):
             done = []
             for source, slice_, kind, at, retryable in zip(
                     pdf["source_document_id"].tolist(), pdf["slice"].tolist(), pdf["kind"].tolist(),
-                    pdf["ts"].dt.to_pydatetime(), pdf["retryable"].tolist()):
+                    [t.to_pydatetime() for t in pdf["ts"]], pdf["retryable"].tolist()):
                 if current != (source, slice_):
                     if current is not None:
                         done.append([*current, *_row(None, job)[1:]])
@@ -143,18 +144,41 @@ def fold_jobs(events: DataFrame, slices: int | None = None) -> DataFrame:
 
 
 # --- stream -----------------------------------------------------------------------------------
-def _on_events(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    job = Job(*[None if v is None or v is pd.NaT else v for v in state.get]) if state.exists else None
-    # a trigger's events of one source; the trigger size is bounded at the source
-    pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    for kind, at, retryable in zip(pdf["kind"], pdf["ts"], pdf["retryable"]):
-        job = advance(job, kind, at, bool(retryable))
-    if job is not None:
-        state.update(tuple(job))
-        yield pd.DataFrame([_row(key[0], job)], columns=RESULT.names).astype(_PANDAS)
-
-
-def stream_jobs(events: DataFrame) -> DataFrame:
-    """The same fold over a stream, in update mode: changed jobs per trigger."""
-    return events.groupBy("source_document_id").applyInPandasWithState(
-        _on_events, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+EVENTS = T.StructType([
+    T.StructField("source_document_id", T.LongType(), True), T.StructField("ts", T.TimestampNTZType(), True),
+    T.StructField("event_id", T.LongType(), True), T.StructField("kind", T.StringType(), True),
+    T.StructField("retryable", T.BooleanType(), True)])
+
+
+def fold_batch_of_events(root: str):
+    """Fold the sources that a micro-batch touches again, from all events they ever had.
+
+    An event counts at its own time however late it comes, and redelivered events count once.  Only
+    the touched buckets of the event log are read.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store.compact(spark, root, "events", EVENTS, "source_document_id", batch_id)
+        store.compact(spark, root, "jobs", RESULT, "source_document_id", batch_id)
+        arrived = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENTS.fields]).persist()
+        touched = arrived.select("source_document_id").distinct()
+        earlier = store.get(spark, root, "events", EVENTS, batch_id, store.buckets_of(touched, "source_document_id")).join(
+            touched, "source_document_id", "left_semi").drop("batch_id")
+        store.put(arrived, root, "events", batch_id, "source_document_id")
+        everything = earlier.unionByName(arrived).dropDuplicates(ORDER)
+        store.put(fold_jobs(everything), root, "jobs", batch_id, "source_document_id")
+        arrived.unpersist()
+    return run
+
+
+def start_jobs(events: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """The same fold over a stream of events, late ones in their place."""
+    return events.writeStream.foreachBatch(fold_batch_of_events(root)).option(
+        "checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """The state that the last batch touching each source left."""
+    rows = store.get(spark, root, "jobs", RESULT)
+    return rows.groupBy("source_document_id").agg(F.max_by(F.struct(*STATE_NAMES), "batch_id").alias("_job")).select(
+        "source_document_id", *[f"_job.{c}" for c in STATE_NAMES])

@@ -88,8 +88,6 @@ def test_capture_stream_restarts_without_loss(spark, tmp_path, landed):
 
 def test_replayed_batch_is_a_no_op(spark, tmp_path, landed):
     root = str(tmp_path / "store")
-    for name, schema in (("evidence", capture_stream.SOURCE_DOCUMENTS), ("sightings", capture_stream.SIGHTINGS)):
-        store.create(spark, root, name, schema)
     batch = capture_stream.shape_evidence(spark.read.parquet(landed)).withColumn("_at", F.col("seen_at"))
     run = capture_stream.capture_batch(root)
     run(batch, 0)
