@@ -394,3 +394,22 @@ def unlink_candidates(candidates: DataFrame, removed: DataFrame, key: str = "abs
     return candidates.join(gone, "canonical_incident_id", "left").withColumn(
         "canonical_incident_id", F.when(F.col("_gone").isNull(), F.col("canonical_incident_id"))
     ).select(*candidates.columns)
+
+
+def merge(incidents: DataFrame, sources: DataFrame, news: DataFrame, audit: DataFrame, candidates: DataFrame,
+          merge_map: DataFrame, generated_prefix: str, action: str = "merged",
+          changed_at: Column | None = None) -> dict[str, DataFrame]:
+    """The five tables after a merge, all from one merge map.
+
+    The map is made durable once, so clustering runs once and all outputs follow the same map even
+    where a lost executor has its part of it computed again.  Beside the tables comes `touched`: the
+    ids whose rows differ from before, for a store that rewrites only the parts that hold them.
+    """
+    fixed = durable(merge_map)
+    touched = fixed.select(F.col("canonical_id").alias("id")).unionByName(
+        fixed.select(F.col("absorbed_id").alias("id"))).distinct()
+    return {
+        "incidents": merge_incidents(incidents, fixed), "sources": merge_sources(sources, fixed),
+        "news": merge_news(news, fixed, generated_prefix), "audit": merge_audit(audit, fixed, action, changed_at),
+        "candidates": unlink_candidates(candidates, fixed), "merge_map": fixed, "touched": touched,
+    }

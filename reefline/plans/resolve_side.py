@@ -191,11 +191,21 @@ def _(fx):
     return rows.select("canonical_id", *CHECKED_FIELDS, "fatal", F.concat_ws(",", "filled").alias("filled"))
 
 
+def _merged(fx):
+    """All five tables from one call."""
+    return resolve.merge(
+        conform(_monthly(fx), INCIDENTS), conform(fx["sources_v"], SOURCES), conform(fx.sql(MERGE_NEWS), NEWS),
+        conform(fx["audit_v"].withColumn("incident_id", F.col("id")), AUDIT),
+        conform(fx["incidents_v"].select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"),
+                                         F.col("id").alias("canonical_incident_id")), CANDIDATES),
+        _map(fx), GENERATED_NEWS_PREFIX)
+
+
 @query("I06_merged_incidents", f"""
 WITH {MONTHLY_MAP}, {ENRICHED} SELECT i.id, i.case_number, coalesce(e.victim_age, i.victim_age) AS victim_age, coalesce(e.description, i.description) AS description,
  coalesce(e.fatal, i.fatal) AS fatal FROM monthly i LEFT JOIN enriched e ON e.canonical_id = i.id WHERE i.id NOT IN (SELECT absorbed_id FROM merge_map)""")
 def _(fx):
-    return resolve.merge_incidents(conform(_monthly(fx), INCIDENTS), _map(fx)).select(
+    return _merged(fx)["incidents"].select(
         "id", "case_number", "victim_age", "description", "fatal")
 
 
@@ -207,7 +217,7 @@ UNION ALL SELECT id, canonical_id AS incident_id, source_url FROM marked WHERE c
 UNION ALL SELECT id, canonical_id AS incident_id, source_url FROM (SELECT k.* FROM marked k LEFT JOIN held h ON h.incident_id = k.canonical_id AND h.source_url = k.source_url
  WHERE k.canonical_id IS NOT NULL AND k.source_url <> '' AND h.source_url IS NULL) QUALIFY row_number() OVER (PARTITION BY canonical_id, source_url ORDER BY absorbed_case, id) = 1""")
 def _(fx):
-    return resolve.merge_sources(conform(fx["sources_v"], SOURCES), _map(fx)).select(
+    return _merged(fx)["sources"].select(
         "id", "incident_id", "source_url")
 
 
@@ -219,7 +229,7 @@ MERGE_NEWS = """SELECT id, CASE WHEN id % 6 = 0 THEN concat('backfill:', cast(us
 WITH {MONTHLY_MAP}, n AS ({MERGE_NEWS}) SELECT n.id, n.dedup_key, coalesce(m.canonical_id, n.promoted_incident_id) AS promoted_incident_id
 FROM n LEFT JOIN merge_map m ON m.absorbed_id = n.promoted_incident_id WHERE NOT (m.canonical_id IS NOT NULL AND starts_with(n.dedup_key, 'backfill:'))""")
 def _(fx):
-    return resolve.merge_news(conform(fx.sql(MERGE_NEWS), NEWS), _map(fx), GENERATED_NEWS_PREFIX).select(
+    return _merged(fx)["news"].select(
         "id", "dedup_key", "promoted_incident_id")
 
 
@@ -228,17 +238,19 @@ WITH {MONTHLY_MAP}, a AS (SELECT id, id AS incident_id, action FROM audit_v)
 SELECT incident_id, action, CAST(NULL AS string) AS notes FROM a WHERE incident_id NOT IN (SELECT absorbed_id FROM merge_map)
 UNION ALL SELECT canonical_id, 'merged', concat('Absorbed duplicate ', absorbed_case) FROM merge_map""")
 def _(fx):
-    audit = conform(fx["audit_v"].withColumn("incident_id", F.col("id")), AUDIT)
-    return resolve.merge_audit(audit, _map(fx)).select("incident_id", "action", "notes")
+    return _merged(fx)["audit"].select("incident_id", "action", "notes")
 
 
 @query("I06_unlinked_candidates", f"""
 WITH {MONTHLY_MAP} SELECT concat('c', cast(id AS string)) AS id, CASE WHEN id IN (SELECT absorbed_id FROM merge_map) THEN NULL ELSE id END AS canonical_incident_id FROM incidents_v""")
 def _(fx):
-    rows = conform(fx["incidents_v"].select(
-        F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"),
-        F.col("id").alias("canonical_incident_id")), CANDIDATES)
-    return resolve.unlink_candidates(rows, _map(fx)).select("id", "canonical_incident_id")
+    return _merged(fx)["candidates"].select("id", "canonical_incident_id")
+
+
+@query("I06_touched_incidents", f"""
+WITH {MONTHLY_MAP} SELECT absorbed_id AS id FROM merge_map UNION SELECT canonical_id FROM merge_map""")
+def _(fx):
+    return _merged(fx)["touched"]
 
 
 @query("I07_merge_summary", f"""

@@ -73,3 +73,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "description" not in scan and "victim_name" not in scan
     searched = browse.filter_incidents(rows, date_from="2020-01-01", fatal=True)
     assert "GreaterThanOrEqual(incident_date" in searched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_merge_builds_its_map_once(spark):
+    from reefline.operators import resolve
+    from reefline.schemas import AUDIT, CANDIDATES, INCIDENTS, NEWS, SOURCES
+    empty = [spark.createDataFrame([], schema) for schema in (INCIDENTS, SOURCES, NEWS, AUDIT, CANDIDATES)]
+    merge_map = resolve.guarded_merge_map(resolve.exact_clusters(spark.createDataFrame([], INCIDENTS)))
+    done = resolve.merge(*empty, merge_map, "backfill:")
+    # the outputs start from the stored map: no plan has the clustering in it
+    for name in ("sources", "news", "audit", "candidates", "touched"):
+        assert "date_precision" not in done[name]._jdf.queryExecution().optimizedPlan().toString()
