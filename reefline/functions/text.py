@@ -119,26 +119,3 @@ STOP_WORDS = [
     "of", "on", "or", "our", "she", "so", "such", "that", "the", "their", "then", "there",
     "these", "they", "this", "to", "was", "we", "were", "will", "with", "you",
 ]
-STEM_PATTERN = r"^(.{3,}?)(ings|ing|ied|ies|ed|es|s|y|e)$"
-
-
-def search_tokens(text: Column) -> Column:
-    """Distinct lower-case words without stop words, suffix-stemmed.
-
-    A light rule, not the full dictionary stemmer of a text-search server.
-    """
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    kept = F.array_except(words, F.array(F.lit(""), *[F.lit(w) for w in STOP_WORDS]))
-    return F.array_distinct(F.transform(kept, lambda w: F.regexp_replace(w, STEM_PATTERN, "$1")))
-
-
-def matches_all_tokens(text: Column, query: str) -> Column:
-    """Every token of the query occurs in the text; an empty query matches nothing.
-
-    A stem begins the word it comes from, so a text lacking a stem as plain substring is
-    refused without being split into words.
-    """
-    wanted = search_tokens(F.lit(query))
-    plausible = let(F.lower(text), lambda low: F.forall(wanted, lambda t: F.contains(low, t)))
-    return (F.size(wanted) > 0) & plausible & (
-        F.size(F.array_except(wanted, search_tokens(text))) == 0)

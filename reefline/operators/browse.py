@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reefline.constants import PUBLIC_FIELDS, PUBLIC_SOURCE_FIELDS, SORT_FIELDS
 from reefline.functions.frames import pg_order, rank_within
-from reefline.functions.text import contains_ci, csv_values, matches_all_tokens
+from reefline.functions.text import contains_ci, csv_values
+from reefline.operators.search import matches_all_tokens
 
 
 
