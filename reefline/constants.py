@@ -285,3 +285,12 @@ PUBLIC_SOURCE_FIELDS = [
 ]
 BLOCK_WINDOW_DAYS = 3
 BLOCK_MAX_SIZE = 10
+
+# fixed values: incident fields that a partial update may set or clear
+UPDATABLE_FIELDS = [
+    "incident_date", "incident_time", "date_precision", "location_description", "country",
+    "state_province", "county_region", "body_of_water", "longitude", "latitude", "location_precision",
+    "classification", "classification_subtype", "provocation_subtype", "report_source",
+    "report_platform", "shark_species_confirmed", "shark_species_suspected", "shark_size_estimate",
+    "species_identification_method", "victim_activity", "victim_injury_severity",
+    "victim_injury_description", "victim_age", "victim_sex", "victim_name", "fatal", "description"]

@@ -9,6 +9,7 @@ from reefline.constants import (
 )
 from reefline.functions.frames import top_per_key, unseen
 from reefline.functions.text import any_term, blank_to_null
+from reefline.session import durable
 
 
 def item_key() -> Column:
@@ -75,6 +76,8 @@ def capture(documents: DataFrame, batch: DataFrame) -> DataFrame:
             (F.col(c) if offered[c] else F.lit(None)).cast(documents.schema[c].dataType).alias(c)
             for c in rest
         ]).alias("_new"))
+    # the fold of the batch is behind these rows, and they are read three times below
+    arrived = durable(arrived)
     # a left join lets the optimizer broadcast a small batch; an outer join would shuffle the bodies
     moved = stored.join(arrived.select("dedup_key", "_again"), "dedup_key", "left").select(
         "dedup_key", F.greatest("_seen", "_again").alias("last_seen_at"), F.col("_old").alias("_row"))

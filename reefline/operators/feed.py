@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reefline.functions.frames import top_per_key, unseen
 from reefline.functions.text import contains_ci
 from reefline.operators.browse import captured_range, in_list, page_of
+from reefline.session import durable
 
 UPDATED_ON_REPEAT = ["event_type", "country", "ai_confidence", "promoted_incident_id"]
 
@@ -72,6 +73,8 @@ def upsert_news(news: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFram
     arrived = incoming.select(
         "dedup_key", F.lit(True).alias("_hit"),
         F.struct(*[c for c in incoming.columns if c not in ("dedup_key", seq)]).alias("_new"))
+    # the fold is behind these rows, and they are read three times below
+    arrived = durable(arrived)
     current = news.select("dedup_key", F.struct(*[c for c in news.columns if c != "dedup_key"])
                           .alias("_old"))
     # the stored feed meets the batch in a left join, which needs no shuffle of it for a small batch

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from reefline.constants import MAX_LENGTHS, REVIEWED_SOURCE_NOTE
+from reefline.constants import MAX_LENGTHS, REVIEWED_SOURCE_NOTE, UPDATABLE_FIELDS
 from reefline.functions.frames import rank_within, top_per_key
 from reefline.functions.text import blank_to_null
 from reefline.operators import candidates as cand
@@ -296,22 +296,13 @@ def publish_candidates(candidates: DataFrame, decisions: DataFrame, observations
 
 
 # --- partial update and delete ----------------------------------------------------------------------
-UPDATABLE = [f for f in (
-    "incident_date", "incident_time", "date_precision", "location_description", "country",
-    "state_province", "county_region", "body_of_water", "longitude", "latitude", "location_precision",
-    "classification", "classification_subtype", "provocation_subtype", "report_source",
-    "report_platform", "shark_species_confirmed", "shark_species_suspected", "shark_size_estimate",
-    "species_identification_method", "victim_activity", "victim_injury_severity",
-    "victim_injury_description", "victim_age", "victim_sex", "victim_name", "fatal", "description")]
-
-
 def partial_update(incidents: DataFrame, patches: DataFrame) -> DataFrame:
     """Lay `map<string,string>` patches over incidents: absent keeps, null clears.
 
     Several patches of one incident (incident_id, seq, patch) apply in order, per field.
     """
     fields = patches.select("incident_id", "seq", F.explode("patch").alias("field", "value")).filter(
-        F.col("field").isin(UPDATABLE))
+        F.col("field").isin(UPDATABLE_FIELDS))
     last = fields.groupBy("incident_id", "field").agg(
         F.max(F.struct("seq", "value"))["value"].alias("value"))
     # at most one entry per updatable field
@@ -319,7 +310,7 @@ def partial_update(incidents: DataFrame, patches: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_patch"))
     joined = incidents.join(merged, "id", "left")
     new = {}
-    for f in UPDATABLE:
+    for f in UPDATABLE_FIELDS:
         kind = incidents.schema[f].dataType
         set_ = F.coalesce(F.map_contains_key("_patch", f), F.lit(False))
         new[f] = F.when(set_, F.try_element_at("_patch", F.lit(f)).try_cast(kind)).otherwise(F.col(f))
