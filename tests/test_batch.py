@@ -147,6 +147,26 @@ def test_random_batches(spark, seed):
     check(spark, reports, report_sources, stored, stored_sources, rnd.choice([0, 9970]))
 
 
+def test_reports_follow_chains(spark):
+    rows = [(1, "u1"), (2, "u1"), (2, "u2"), (3, "u2"), (3, "u3"), (4, "u3"), (5, "u9"), (6, None)]
+    got = check(spark, [report(i, day=None, kind="provoked") for i in range(1, 7)], [source(i, u, None, n) for n, (i, u) in enumerate(rows)])
+    assert {i: r[0] for i, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
+@pytest.mark.parametrize("block", [3, 7])
+def test_prefix_sums_by_blocks(spark, monkeypatch, block):
+    from reefline.functions import frames
+    rnd = random.Random(block)
+    rows = [("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(4)}", i, rnd.randrange(99) if rnd.random() < 0.6 else None) for i in range(1, 80)]
+    df = spark.createDataFrame(rows, "key string, pos long, v int")
+    monkeypatch.setattr(frames, "BLOCK", block)
+    got = {r["pos"]: r["low"] for r in frames.least_before(df, "key", "pos", "v", "low", 79).collect()}
+    assert got == {p: min((w for j, q, w in rows if j == k and q < p and w is not None), default=None) for k, p, _ in rows}
+    some = df.filter("v > 20")
+    counted = {r["pos"]: r["n"] for r in frames.count_up_to(some, "pos", "n", 79).collect()}
+    assert counted == {p: sum(w is not None and w > 20 and q <= p for _, q, w in rows) for _, p, v in rows if v is not None and v > 20}
+
+
 def test_empty_batch(spark):
     result = lifecycle.submit(
         spark.createDataFrame([], REPORTS), spark.createDataFrame([], REPORT_SOURCES), spark.createDataFrame([], INCIDENTS),

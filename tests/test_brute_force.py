@@ -218,17 +218,6 @@ def test_merge_conserves_urls_and_is_idempotent(spark):
     assert sorted((r["id"], r["incident_id"]) for r in again.collect()) == got
 
 
-def test_leaders_follow_chains(spark):
-    rows = [(1, "u1"), (2, "u1"), (2, "u2"), (3, "u2"), (3, "u3"), (4, "u3"), (5, "u9"), (6, None)]
-    sources = spark.createDataFrame(rows, "submission_id long, source_url string").withColumn(
-        "source_title", F.lit(None).cast("string"))
-    reports = spark.createDataFrame([(i,) for i in range(1, 7)], "submission_id long").withColumns({
-        "date_precision": F.lit("exact"), "incident_date": F.lit(None).cast("date"),
-        "classification": F.lit("provoked"), "longitude": F.lit(None).cast("double"), "latitude": F.lit(None).cast("double")})
-    got = {r["submission_id"]: r["leader"] for r in resolve.leaders_within(reports, sources).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
-
-
 def test_clusters_sum_to_the_filtered_rows(spark):
     rows = [(i, -80.0 + 0.001 * i, 29.0, "verified" if i % 4 else "pending", "provoked", i % 2 == 0) for i in range(30)]
     df = conform(spark.createDataFrame(rows, "id long, longitude double, latitude double, verification_status string, classification string, fatal boolean"), INCIDENTS)
