@@ -34,7 +34,7 @@ class Rule:
 
     A pair at the least similarity s misses all bands with probability (1 - s ** rows) ** bands:
     under 1e-10 for 0.85 and 1e-7 for 0.8.  Its signatures agree on fewer than s - slack of their
-    slots more rarely still (seven standard deviations).
+    slots with a probability of about 4e-8 for 0.85 and 8e-7 for 0.8.
     """
 
     width: int = 5

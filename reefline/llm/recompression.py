@@ -6,7 +6,7 @@ what they replace, so all executors give the same name to the same run or pair w
 other.  Each symbol carries its support: the words that fix it whatever stands around them.  Two
 equal windows hold the same symbols with support inside the window, so the window's anchor is one
 of these, and Spark groups windows by anchors.  Symbols shared between documents reveal candidates;
-the windows are then compared word by word.
+the windows are then compared by 128-bit hashes of their words' 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -1,12 +1,12 @@
-"""Suffix-array dedup: a radix sort of suffixes to the depth of the threshold, most significant digit first.
-
-Sorting every suffix of a corpus would shuffle one row per byte.  Equal windows agree on all their
-digits, so any fixed choice of digits sorts them together; the first digit here is the window's
-sample, the DIGIT bytes inside it whose hash is least.  Neighbouring suffixes share their sample, so
-one row stands for all of them (about one row for 60 bytes).  Pass one keeps samples that occur
-twice; pass two splits them by everything around the sample that its windows span; the last pass
-orders the suffixes that are still in mixed groups by all bytes of the window.  Groups of equal
-windows that remain are exactly the repeated windows, and each byte they cover goes.
+"""Repeated windows of bytes, found in passes that split groups of equal windows further and further.
+
+Sorting every suffix of a corpus would shuffle one row per byte.  Equal windows agree on every
+fixed choice of their bytes, so the first pass groups them by a sample, the DIGIT bytes inside a
+window whose hash is least.  Neighbouring windows share their sample, so one row stands for all of
+them (about one row for 60 bytes).  Samples that occur once leave; the next pass splits the others by
+everything around the sample that their windows span; the last compares windows that are still in
+mixed groups by 128-bit hashes of all their bytes.  No order of suffixes is made.  Each byte that a
+window of a group of two or more covers goes.
 """
 
 from __future__ import annotations
