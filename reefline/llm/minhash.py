@@ -1,20 +1,22 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification, union-find groups.
 
 Texts with equal shingle sets form one class, linked without comparing.  One document of each class
-goes into the bands.  Buckets of up to PLAIN_BUCKET classes give all their pairs.  A larger bucket
-first drops classes that no document can be close enough to (too many of their shingles occur
-nowhere else), and gives the pairs of everyone with one pivot, its most typical class.  Pairs whose
-sizes or signatures rule the similarity out leave; of the others each class first verifies its most
-similar one, and only what these links do not join is verified in turn.  What a pivot did not join
-meets everyone else of its bucket in a last join, again only across components.  Every link is
-confirmed on the full shingle sets.
+goes into the bands.  Buckets of up to PLAIN_BUCKET classes give all their pairs; those whose sizes
+or signatures rule the similarity out leave, each class first verifies its most similar one, and
+only what these links do not join is verified in turn.  A larger bucket first drops classes that no
+document can be close enough to (too many of their shingles occur nowhere else), and compares
+everyone with one pivot, its most typical class.  That comparison says which of the pivot's shingles
+a class holds and how many it has beside them.  Two classes share at most the pivot's shingles that
+both hold, and beside them the fewer of what either shares with anybody, so pairs that the pivot
+did not join need a look only where this bound allows the similarity.  Every link is confirmed on
+the full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +96,8 @@ def _text_sets(batch: pa.RecordBatch, node: str, text: str, words: WordHashes, w
     known |= zip(new, np.split(elements, np.cumsum(counts)[:-1]))
 
 
-@lean
-def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+def _pair_sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Rows of pairs (a, b) with the shingle sets of both."""
     words = WordHashes()
     for batch in batches:
         sizes = np.diff(buffers(batch.column("text_a"))[0]) + np.diff(buffers(batch.column("text_b"))[0])
@@ -103,13 +105,34 @@ def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
             rows, sets = batch.slice(start, stop - start), {}
             for side in "ab":
                 _text_sets(rows, side, f"text_{side}", words, rule.width, sets)
-            pairs = list(zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()))
-            linked = []
-            for a, b in pairs:
-                x, y = sets[a], sets[b]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * common >= rule.percent * (len(x) + len(y) - common))
-            yield rows.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            pairs = zip(rows.column("a").to_pylist(), rows.column("b").to_pylist())
+            yield rows.select(["a", "b"]), [(sets[a], sets[b]) for a, b in pairs]
+
+
+def _close(rule: Rule, x: np.ndarray, y: np.ndarray, common: int) -> bool:
+    return 100 * common >= rule.percent * (len(x) + len(y) - common)
+
+
+@lean
+def _verify(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    for rows, pairs in _pair_sets(batches, rule):
+        linked = [_close(rule, x, y, len(np.intersect1d(x, y, assume_unique=True))) for x, y in pairs]
+        yield rows.filter(pa.array(linked, pa.bool_()))
+
+
+@lean
+def _measure(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Of pivots a and rows b: whether they link, a's shingles that b holds (one bit each), and their number."""
+    for rows, pairs in _pair_sets(batches, rule):
+        linked, hits, inside = [], [], []
+        for x, y in pairs:
+            held = np.isin(x, y, assume_unique=True, kind="sort")
+            inside.append(int(held.sum()))
+            linked.append(_close(rule, x, y, inside[-1]))
+            hits.append(np.packbits(np.append(held, np.zeros(-len(held) % 64, bool))).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [*rows.columns, pa.array(linked, pa.bool_()), pa.array(inside, pa.int64()), pa.array(hits, pa.list_(pa.int64()))],
+            ["a", "b", "linked", "inside", "hits"])
 
 
 @lean
@@ -213,41 +236,63 @@ def _groups(entries: DataFrame, rows: DataFrame, texts_of, rule: Rule) -> DataFr
     few = entries.filter(F.col("size") <= PLAIN_BUCKET).select("band", "row", "n")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row"))
                                 & _sizes_allow(rule, "x.n", "y.n")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-    crowd = entries.filter(F.col("size") > PLAIN_BUCKET).select("band", "row", "n")
-    crowded = stored(_reachable(crowd, texts_of, rule), "crowded")
-    # the pivot of a bucket is the row with the fewest shingles of its own
-    pivots = stored(crowded.groupBy("band").agg(F.min(F.struct("alone", "row", "n")).alias("pivot")).select(
-        "band", F.col("pivot.row").alias("a"), F.col("pivot.n").alias("n_a")), "pivots")
-    near = crowded.select("band", F.col("row").alias("b"), "n").join(pivots, "band").filter(
-        (F.col("a") != F.col("b")) & _sizes_allow(rule, "n", "n_a")).select("a", "b")
-    signs = rows.select("row", "marks").join(entries.select("row").distinct(), "row", "left_semi")
-    signs = stored(signs, "marks")
-    likely = stored(_plausible(pairs.unionByName(near).distinct(), signs, rule), "likely")
-    involved = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).distinct()
-    texts = texts_of(involved)
+    signs = stored(rows.select("row", "marks").join(few.select("row").distinct(), "row", "left_semi"), "marks")
+    likely = stored(_plausible(pairs.distinct(), signs, rule), "likely")
+    homes = _homes(entries.filter(F.col("size") > PLAIN_BUCKET).select("band", "row", "n"), texts_of, rule)
+    near = stored(homes.select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct(), "near")
+    ends = [p.select(F.col(c).alias("row")) for p in (likely, near) for c in "ab"]
+    texts = texts_of(reduce(DataFrame.unionByName, ends).distinct())
+    measured = stored(_with_texts(near, texts).mapInArrow(
+        partial(_measure, rule=rule), "a long, b long, linked boolean, inside long, hits array<long>"), "measured")
     best = top_per_key(likely, ["b"], [F.desc("agree"), F.asc("a")]).select("a", "b")
-    links = stored(_verified(best, texts, rule), "best-links")
-    labels = components(links)
-    rest = _across(likely.select("a", "b"), labels).join(best, ["a", "b"], "left_anti")
+    links = stored(measured.filter("linked").select("a", "b").unionByName(_verified(best, texts, rule)), "best-links")
+    rest = _across(likely.select("a", "b"), components(links)).join(best, ["a", "b"], "left_anti")
     links = stored(links.unionByName(_verified(rest, texts, rule)), "links")
-    labels = components(links)
-    if crowded.isEmpty():
-        return labels.withColumnRenamed("node", "row")
-    marked = stored(crowded.select("band", "row", "n").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn(
-        "label", F.coalesce("label", "row")), "labelled")
+    labels = components(links).withColumnRenamed("node", "row")
+    if homes.isEmpty():
+        return labels
+    last = stored(_undecided(homes, labels, measured, rows, rule), "last")
+    if last.isEmpty():
+        return labels
+    involved = last.select(F.col("a").alias("row")).unionByName(last.select(F.col("b").alias("row"))).distinct()
+    return components(links.unionByName(_verified(last, texts_of(involved), rule))).withColumnRenamed("node", "row")
+
+
+def _homes(crowd: DataFrame, texts_of, rule: Rule) -> DataFrame:
+    """Entries of crowded buckets with their bucket's pivot, without the pivot's own: band, row, n, alone, pivot.
+
+    The pivot of a bucket is the row with the fewest shingles of its own.
+    """
+    crowded = stored(_reachable(crowd, texts_of, rule), "crowded")
+    pivots = stored(crowded.groupBy("band").agg(F.min(F.struct("alone", "row")).alias("pivot")).select(
+        "band", F.col("pivot.row").alias("pivot")), "pivots")
+    return stored(crowded.join(bounded(pivots, pivots.count(), 16), "band").filter("row <> pivot"), "homes")
+
+
+def _undecided(homes: DataFrame, labels: DataFrame, measured: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of a crowded bucket, in different components, that what the pivot shows lets be linked.
+
+    Everyone has met the pivot.  Of x and y, both measured against it, the common shingles are those
+    of the pivot that both hold and others; an other one is none that only one row has.
+    """
+    marked = stored(homes.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "labelled")
     open_bands = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
         "low <> high").select("band")
-    arrays = rows.select("row", "bands", "marks").join(marked.select("row").distinct(), "row", "left_semi")
-    left = stored(marked.join(open_bands, "band", "left_semi").join(arrays, "row"), "open")
+    known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("row"), "inside", "hits")
+    left = marked.join(open_bands, "band", "left_semi").join(known, ["pivot", "row"]).join(rows.select("row", "bands"), "row")
+    left = stored(left.withColumn("beside", F.col("n") - F.col("inside") - F.col("alone")), "open")
+
+    def allowed(inside: Column) -> Column:
+        most = inside + F.least("x.beside", "y.beside")
+        return (100 + rule.percent) * most >= rule.percent * (F.col("x.n") + F.col("y.n"))
+    both = F.aggregate(F.zip_with("x.hits", "y.hits", lambda p, q: F.bit_count(p.bitwiseAND(q)).cast("long")),
+                       F.lit(0).cast("long"), lambda total, bits: total + bits)
     # each pair once, in the first band it shares
     shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True).cast("int")
-    last = left.alias("x").join(left.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row"))
-                                & (F.col("x.label") != F.col("y.label")) & _sizes_allow(rule, "x.n", "y.n")
-                                & (F.element_at("x.bands", shared) == F.col("x.band"))
-                                & (_agreement("x.marks", "y.marks") >= _least_agreement(rule)))
-    last = stored(last.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).join(likely, ["a", "b"], "left_anti"), "last")
-    involved = last.select(F.col("a").alias("row")).unionByName(last.select(F.col("b").alias("row"))).distinct()
-    return components(links.unionByName(_verified(last, texts_of(involved), rule))).withColumnRenamed("node", "row")
+    return left.alias("x").join(left.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.row") < F.col("y.row"))
+                                & (F.col("x.label") != F.col("y.label")) & allowed(F.least("x.inside", "y.inside"))
+                                & allowed(both) & (F.element_at("x.bands", shared) == F.col("x.band"))).select(
+        F.col("x.row").alias("a"), F.col("y.row").alias("b"))
 
 
 def _plausible(pairs: DataFrame, signs: DataFrame, rule: Rule) -> DataFrame:
@@ -274,7 +319,8 @@ def _reachable(entries: DataFrame, texts_of, rule: Rule) -> DataFrame:
     (by its share of this row's, and by the least in the row's buckets), so of n shingles with n - k
     shared ones the similarity is at most (n - k) / (n + m - (n - k)).
     """
-    rows = stored(entries.join(entries.groupBy("band").agg(F.min("n").alias("_low")), "band").groupBy("row").agg(
+    lows = stored(entries.groupBy("band").agg(F.min("n").alias("_low")), "lows")
+    rows = stored(entries.join(bounded(lows, lows.count(), 16), "band").groupBy("row").agg(
         F.min("n").alias("n"), F.min("_low").alias("_low")), "crowd")
     spread = small_batches(texts_of(rows.select("row"))).mapInArrow(
         partial(_elements, width=rule.width), "row long, shingle long")
@@ -288,10 +334,13 @@ def _reachable(entries: DataFrame, texts_of, rule: Rule) -> DataFrame:
     return entries.join(kept, "row")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
     # the same plan at every size: texts are shuffled to the pairs
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        partial(_verify, rule=rule), "a long, b long")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    return _with_texts(pairs, texts).mapInArrow(partial(_verify, rule=rule), "a long, b long")

@@ -111,6 +111,77 @@ def test_near_duplicates_in_a_large_group(spark):
     check_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, minhash.Rule(width=3, percent=85))
 
 
+def pairs_looked_at(monkeypatch):
+    """Counts of the pair tables that the grouping writes."""
+    counts, write = Counter(), minhash.stored
+
+    def count(df, name):
+        out = write(df, name)
+        if name in ("likely", "near", "last"):
+            counts[name] += out.count()
+        return out
+    monkeypatch.setattr(minhash, "stored", count)
+    return counts
+
+
+def test_near_duplicates_compare_few_pairs_of_a_crowd(spark, monkeypatch):
+    """Unlinked documents with common boilerplate, and edited copies: pairs grow with documents, not their square."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(2000):
+        own = [f"u{rng.randrange(10 ** 7)}" for _ in range(rng.randrange(12, 60))]
+        rows.append((i, " ".join(base + own)))
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 7)):
+            copy[at] = f"e{rng.randrange(10 ** 7)}"
+        rows.append((5000 - i, " ".join(copy)))
+    counts = pairs_looked_at(monkeypatch)
+    rule = minhash.Rule(width=3, percent=85)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = minhash.near_duplicates(df, rule).collect()
+    # the brute force of check_near is too slow here: numbers for shingles, then one product
+    names, sets = {}, [shingle_set(t, 3) for _, t in rows]
+    held = np.zeros((len(rows), len({s for x in sets for s in x})), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [names.setdefault(s, len(names)) for s in x]] = 1
+    common, sizes = held @ held.T, held.sum(1)
+    label = np.array([r[0] for r in rows])
+    linked = 100 * common >= 85 * (sizes[:, None] + sizes[None, :] - common)
+    while True:
+        lower = np.array([label[x].min() for x in linked])
+        if (lower == label).all():
+            break
+        label = lower
+    assert {r.doc_id: r.component_id for r in got} == {i: c for (i, _), c in zip(rows, label.tolist())}
+    assert len(set(label.tolist())) > 100 and counts["near"] > 0
+    assert sum(counts.values()) < 8 * len(rows)
+
+
+def test_near_duplicates_that_a_pivot_leaves_apart(spark):
+    """Copies that share their edits link with each other, not with the pivot."""
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(150)]
+    rows, at = [], 0
+    for family in range(12):
+        changed = list(base)
+        for place in rng.sample(range(150), 6):
+            changed[place] = f"f{family}-{place}"
+        for _ in range(12):
+            copy = list(changed)
+            for place in rng.sample(range(150), rng.randrange(0, 3)):
+                copy[place] = f"e{rng.randrange(10 ** 6)}"
+            rows.append((at, " ".join(copy)))
+            at += 1
+    rule = minhash.Rule(width=3, percent=85)
+    check_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, rule)
+    monkey = pytest.MonkeyPatch()
+    with monkey.context() as m:
+        m.setattr(minhash, "PLAIN_BUCKET", 2)
+        check_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, rule)
+
+
 def test_near_deduplicate(edge, nothing):
     kept = minhash.deduplicate(edge)
     assert kept.columns == edge.columns
