@@ -31,6 +31,11 @@ SELECT source_document_id, status, attempts, cast(available_at AS string) AS ava
 QUALIFY row_number() OVER (PARTITION BY source_document_id ORDER BY rn DESC) = 1"""
 
 
+def _stream(fx, table: str) -> DataFrame:
+    """A stream over a table, be it one file or a folder of files."""
+    return fx.spark.readStream.schema(fx[table].schema).parquet(f"{fx.sf_dir}/{table}.parquet")
+
+
 @query("J01_job_state", JOB_STATE_SQL)
 def _(fx) -> DataFrame:
     return job_state.fold_jobs(fx.sql(JOB_EVENTS)).drop("completed_at")
@@ -39,9 +44,7 @@ def _(fx) -> DataFrame:
 @query("J01_job_state_stream", JOB_STATE_SQL)
 def _(fx) -> DataFrame:
     """The same states from a stream over the events file, latest update per source."""
-    stream = fx.spark.readStream.schema(fx["events"].schema).option(
-        "pathGlobFilter", "events.parquet").parquet(fx.sf_dir)
-    stream.createOrReplaceTempView("events_stream")
+    _stream(fx, "events").createOrReplaceTempView("events_stream")
     events = fx.spark.sql(JOB_EVENTS.replace("FROM events", "FROM events_stream"))
     root = work_folder(fx.spark, "jobs")
     job_state.start_jobs(events, root, f"{root}/progress").awaitTermination()
@@ -69,9 +72,7 @@ KEY = "concat(source_platform, ':', source_url)"
 
 
 def _landed(fx) -> DataFrame:
-    stream = fx.spark.readStream.schema(fx["documents"].schema).option(
-        "pathGlobFilter", "documents.parquet").parquet(fx.sf_dir)
-    stream.createOrReplaceTempView("documents_stream")
+    _stream(fx, "documents").createOrReplaceTempView("documents_stream")
     return fx.spark.sql(LANDED.replace("FROM documents", "FROM documents_stream").replace(
         "cast(NULL AS timestamp)", "cast(NULL AS timestamp_ntz)").replace(
         "timestamp '2024", "timestamp_ntz '2024"))
