@@ -98,7 +98,6 @@ def _anchors(tokens: np.ndarray, lengths: np.ndarray, width: int):
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
     fits = left >= width
     none = np.iinfo(np.uint64).max
-    best = np.full(n, none, np.uint64)
     if not fits.any():
         return np.zeros(n, np.uint64), np.zeros(n, np.int64), fits
     name, low, high, level = symbols(tokens, lengths)
@@ -108,19 +107,20 @@ def _anchors(tokens: np.ndarray, lengths: np.ndarray, width: int):
     # the upper half orders, the lower half is the symbol's number
     order = (key & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(key), dtype=np.uint64)
 
-    def offer(some: np.ndarray) -> None:
-        """Let these symbols stand for every window around them that has no lesser one."""
-        start, size, value = low[some], (high - low)[some], order[some]
-        for back in range(width):
-            here = (size + back <= width) & (start >= back)
-            np.minimum.at(best, start[here] - back, value[here])
-    offer(np.flatnonzero(high - low >= LEAST_SUPPORT))
+    def least(some: np.ndarray) -> np.ndarray:
+        """For every window the least of these symbols with support inside it."""
+        found, here = np.full(n, none, np.uint64), np.full(n, none, np.uint64)
+        size = (high - low)[some]
+        for k in range(1, width + 1):
+            # the least symbol of at most k words that begins at each place, seen from k words before a window's end
+            now = some[size == k]
+            np.minimum.at(here, low[now], order[now])
+            np.minimum(found[:n - width + k], here[width - k:], out=found[:n - width + k])
+        return found
+    best = least(np.flatnonzero(high - low >= LEAST_SUPPORT))
     bare = fits & (best == none)
     if bare.any():
-        short = high - low < LEAST_SUPPORT
-        served = best.copy()
-        offer(np.flatnonzero(short))
-        best[~bare] = served[~bare]
+        best[bare] = least(np.flatnonzero(high - low < LEAST_SUPPORT))[bare]
     chosen = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     chosen[~fits] = 0
     return key[chosen], chosen, fits
