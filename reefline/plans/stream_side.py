@@ -33,7 +33,10 @@ QUALIFY row_number() OVER (PARTITION BY source_document_id ORDER BY rn DESC) = 1
 
 def _stream(fx, table: str) -> DataFrame:
     """A stream over a table, be it one file or a folder of files."""
-    return fx.spark.readStream.schema(fx[table].schema).parquet(f"{fx.sf_dir}/{table}.parquet")
+    reader = fx.spark.readStream.schema(fx[table].schema)
+    if any(f.endswith(f"/{table}.parquet") for f in fx[table].inputFiles()):  # a stream reads folders only
+        return reader.option("pathGlobFilter", f"{table}.parquet").parquet(fx.sf_dir)
+    return reader.parquet(f"{fx.sf_dir}/{table}.parquet")
 
 
 @query("J01_job_state", JOB_STATE_SQL)
