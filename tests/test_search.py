@@ -43,3 +43,33 @@ def test_index_equals_scan(spark, query):
     assert got == {r["id"] for r in rows.filter(search.matches_all_tokens(F.col("text"), query)).collect()}
     if query == "biting swimmers":
         assert got == {0, 1}
+
+
+def test_a_word_begins_as_its_token_tells(spark):
+    from reefline.functions.stemming import KEPT, OWN_STEMS
+    texts = [*PUBLISHED, *RULES, *OWN_STEMS, *KEPT, *[f"{a}{b}" for a in ("t", "fl", "why", "enti", "hop", "a", "o") for b in (
+        "y", "ied", "ies", "ying", "eed", "eedly", "ing", "ization", "ational", "bli", "ogi", "li", "ement", "ys", "ly", "ll", "ed", "s")]]
+    rows = spark.createDataFrame([(w,) for w in texts], "w string").select("w", stem(F.col("w")).alias("t")).collect()
+    assert [r for r in rows if r["w"] and not any(r["w"].startswith(b) for b in search.beginnings(r["t"]))] == []
+
+
+def test_only_words_that_can_match_are_shuffled(spark):
+    rows = spark.createDataFrame([(1, "biting swimmers"), (2, "other words")], "id long, text string")
+    found = search.search_index(search.token_index(rows, F.col("text")), "biting swimmers")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # both sides of the join: the words of the rows and the distinct words to be stemmed
+    assert plan.count("left(word") == 2 or plan.count(" IN (bi,sw)") == 2, plan
+    # a scan looks at the query's tokens as given values
+    scan = rows.filter(search.matches_all_tokens(F.col("text"), "biting swimmers"))
+    assert "[bite,swimmer]" in scan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_of_words_that_begin_otherwise(spark):
+    rows = spark.createDataFrame([(1, "tys tie"), (2, "aed a1"), (3, "tying ox"), (4, None), (5, "")], "id long, text string")
+    index = search.token_index(rows, F.col("text"))
+    for query in ("tie", "aed"):
+        got = {r["id"] for r in search.search_index(index, query).collect()}
+        assert got == {r["id"] for r in rows.filter(search.matches_all_tokens(F.col("text"), query)).collect()}, query
+        wanted = set(rows.select(search.search_tokens(F.lit(query)).alias("t")).first()["t"])
+        each = {r["id"]: set(r["t"] or []) for r in rows.select("id", search.search_tokens(F.col("text")).alias("t")).collect()}
+        assert got == {i for i, t in each.items() if wanted and wanted <= t}, query
