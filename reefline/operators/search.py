@@ -63,9 +63,10 @@ def token_index(rows: DataFrame, text: Column, key: str = "id") -> DataFrame:
     index partitioned by it, so that a query reads only the partitions of its tokens; of an index that is
     not stored, a query stems and shuffles only the words that begin so.
     """
-    found = rows.select(key, F.explode(words(text)).alias("word"))
-    stems = found.select("word").distinct().select("word", stem(F.col("word")).alias("token"))
-    return found.join(stems, "word").select(F.left("word", F.lit(PREFIX)).alias("prefix"), "token", key).distinct()
+    found = rows.select(key, F.explode(words(text)).alias("word")).withColumn("prefix", F.left("word", F.lit(PREFIX)))
+    # joined by the prefix, too, so that what a query asks of it holds for the words to be stemmed
+    stems = found.select("prefix", "word").distinct().withColumn("token", stem(F.col("word")))
+    return found.join(stems, ["prefix", "word"]).select("prefix", "token", key).distinct()
 
 
 def search_index(index: DataFrame, query: str, key: str = "id") -> DataFrame:

@@ -57,8 +57,9 @@ def test_only_words_that_can_match_are_shuffled(spark):
     rows = spark.createDataFrame([(1, "biting swimmers"), (2, "other words")], "id long, text string")
     found = search.search_index(search.token_index(rows, F.col("text")), "biting swimmers")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    # both sides of the join: the words of the rows and the distinct words to be stemmed
-    assert plan.count("left(word") == 2 or plan.count(" IN (bi,sw)") == 2, plan
+    left, right = plan[plan.index("Join Inner"):].split("Generate explode")[:2]
+    for side in (left, right):  # both the words of the rows and the distinct words to be stemmed
+        assert "IN (bi,sw)" in side, plan
     # a scan looks at the query's tokens as given values
     scan = rows.filter(search.matches_all_tokens(F.col("text"), "biting swimmers"))
     assert "[bite,swimmer]" in scan._jdf.queryExecution().optimizedPlan().toString()
