@@ -96,20 +96,22 @@ def _state_of(row) -> Job | None:
         row["status"], row["attempts"], *[row[c] for c in STATE_NAMES[2:]])
 
 
-def fold_jobs(events: DataFrame, slices: int | None = None) -> DataFrame:
+def fold_jobs(events: DataFrame, slices: int | None = None, repeated: bool = False) -> DataFrame:
     """Current state per source from all its events in time order.
 
     Events are range-partitioned, so a source with very many events spans several slices
     instead of filling one task.  All slices fold at once; where a source spans slices,
     the later ones are folded again from the state the slice before ended in, until no
     start changes.  Only those starts (at most one per slice) pass through the driver.
+    With `repeated`, an event that was delivered again counts once.
     """
     spark = events.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = durable(
-        events.select(*ORDER, "kind", F.coalesce("retryable", F.lit(True)).alias("retryable"))
-        .repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)
-        .withColumn("slice", F.spark_partition_id()))
+    dealt = events.select(
+        *ORDER, "kind", F.coalesce("retryable", F.lit(True)).alias("retryable")).repartitionByRange(n, *ORDER)
+    if repeated:  # equal events lie in one slice, so this moves no rows
+        dealt = dealt.dropDuplicates(ORDER)
+    sliced = durable(dealt.sortWithinPartitions(*ORDER).withColumn("slice", F.spark_partition_id()))
 
     def fold(rows: DataFrame, entries: dict) -> DataFrame:
         return durable(rows.mapInPandas(_fold_slices(entries), _SLICED))
@@ -165,8 +167,8 @@ def fold_batch_of_events(root: str):
         earlier = store.get(spark, root, "events", EVENTS, batch_id, store.buckets_of(touched, "source_document_id")).join(
             touched, "source_document_id", "left_semi").drop("batch_id")
         store.put(arrived, root, "events", batch_id, "source_document_id")
-        everything = earlier.unionByName(arrived).dropDuplicates(ORDER)
-        store.put(fold_jobs(everything), root, "jobs", batch_id, "source_document_id")
+        folded = fold_jobs(earlier.unionByName(arrived), repeated=True)
+        store.put(folded, root, "jobs", batch_id, "source_document_id")
         arrived.unpersist()
     return run
 
