@@ -115,6 +115,19 @@ def test_chunk_tokens_equal_the_tokenizer():
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+def test_each_distinct_chunk_is_looked_up_once_a_batch(monkeypatch):
+    coder, asked = packing.ChunkTokens(tokenizer_path(), 2), []
+    find = coder.chunks.find
+    monkeypatch.setattr(coder.chunks, "find", lambda keys: asked.extend(keys) or find(keys))
+    texts = ["surf  shark\x0breef\x0c" * 500, "", "reef surf"]
+    ids, counts = coder.encode(texts)
+    plain = tokenizers.Tokenizer.from_file(tokenizer_path())
+    want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+    # twice when new: to see that it is, and for its row
+    assert set(asked) <= {"surf", "shark", "reefsurf", "reef", ""} and len(asked) <= 10
+
+
 def test_running_totals(spark):
     rows = [(i * 7, i % 5 + 1) for i in range(3000)]
     got = running_totals(spark.createDataFrame(rows, "k long, v long"), "k", "v", "before", block=16).collect()
